@@ -47,13 +47,15 @@ def fill_both(df: DataFrame, cols, frame: SeriesFrame = STATION_DATE,
 
 
 def days_since(df: DataFrame, observed, out: str, frame: SeriesFrame = STATION_DATE,
-               before_first: int | None = -1) -> DataFrame:
+               before_first: int | None = -1, also_ffill=None) -> DataFrame:
     """Days since the last row where ``observed`` holds (WIN12); ``before_first`` otherwise.
 
     ``observed`` is a boolean column (e.g. ``col.isNotNull()`` or a source flag).
+    ``also_ffill`` lists columns to forward fill in the same scan.
     """
     order = F.col(frame.order)
-    d = scan(df, frame, ffill={"_ds_last": F.when(observed, order)})
+    extra = {c: F.col(c) for c in _cols(also_ffill)} if also_ffill else {}
+    d = scan(df, frame, ffill={"_ds_last": F.when(observed, order), **extra})
     diff = F.datediff(order, F.col("_ds_last"))
     val = diff if before_first is None else F.coalesce(diff, F.lit(before_first))
     return d.withColumn(out, val.cast("int")).drop("_ds_last")
@@ -65,10 +67,9 @@ def staleness_counter(df: DataFrame, cols, frame: SeriesFrame = STATION_DATE,
     before the first real value it counts 1, 2, 3, ... .  With ``fill`` the
     columns are forward filled in the same scan, as the reference does."""
     cols = _cols(cols)
-    ff = {f"_sc_{c}": F.when(F.col(c).isNotNull(), F.col("_sc_rn")) for c in cols}
-    d = scan(df, frame, row_index="_sc_rn")
-    fills = {c: F.col(c) for c in cols} if fill else {}
-    d = scan(d, frame, ffill={**ff, **fills})
+    d = scan(df, frame, row_index="_sc_rn",
+             last_index={f"_sc_{c}": F.col(c).isNotNull() for c in cols},
+             ffill={c: F.col(c) for c in cols} if fill else None)
     out = {c + suffix: (F.col("_sc_rn") - F.coalesce(F.col(f"_sc_{c}"), F.lit(0))).cast("int")
            for c in cols}
     return d.withColumns(out).drop("_sc_rn", *[f"_sc_{c}" for c in cols])
@@ -103,9 +104,8 @@ def spells(df: DataFrame, flag: str, frame: SeriesFrame = STATION_DATE,
     and two forward fills, so runs may cross bucket boundaries freely.
     """
     f = F.coalesce(F.col(flag).cast("int"), F.lit(0))
-    d = scan(df, frame, row_index="_sp_rn")
+    d = scan(df, frame, row_index="_sp_rn", last_index={"_sp_last1": f == 1, "_sp_last0": f == 0})
     rn = F.col("_sp_rn")
-    d = scan(d, frame, ffill={"_sp_last1": F.when(f == 1, rn), "_sp_last0": F.when(f == 0, rn)})
     return (d.withColumns({
         dry: F.when(f == 1, 0).otherwise(rn - F.coalesce(F.col("_sp_last1"), F.lit(0))).cast("int"),
         wet: F.when(f == 0, 0).otherwise(rn - F.coalesce(F.col("_sp_last0"), F.lit(0))).cast("int"),

@@ -82,75 +82,93 @@ def scan(df: DataFrame, frame: SeriesFrame = STATION_DATE, *,
          ffill: Mapping[str, Column] | None = None,
          bfill: Mapping[str, Column] | None = None,
          cumsum: Mapping[str, Column] | None = None,
+         last_index: Mapping[str, Column] | None = None,
          row_index: str | None = None) -> DataFrame:
-    """Add prefix / suffix columns computed per series in order.
-
-    ffill   out -> expr: last non-NULL value of expr at or before the row
-    bfill   out -> expr: first non-NULL value of expr at or after the row
-    cumsum  out -> expr: running sum (NULL counts as 0)
-    row_index   name of a 1-based row-number column
-
+    """Add prefix / suffix columns computed per series in order, in one pass.
+
+    ffill       out -> expr: last non-NULL value of expr at or before the row
+    bfill       out -> expr: first non-NULL value of expr at or after the row
+    cumsum      out -> expr: running sum (NULL counts as 0)
+    last_index  out -> condition: 1-based series row number of the last row at
+                or before this one where the condition holds (NULL if none)
+    row_index   name of a 1-based series row-number column
+
+    Plan: one hash exchange of the rows on (keys, bucket); the in-bucket
+    windows and the bucket summaries both run on that partitioning; only the
+    summaries (one row per bucket) are exchanged by series and joined back.
     Output columns overwrite same-named input columns.
     """
-    ffill, bfill, cumsum = dict(ffill or {}), dict(bfill or {}), dict(cumsum or {})
+    specs = {"f": dict(ffill or {}), "b": dict(bfill or {}), "s": dict(cumsum or {}),
+             "l": dict(last_index or {})}
     keys = list(frame.keys)
-    d = df.withColumn("_pc_b", _bucket(df, frame)).withColumn(
-        "_pc_o", order_number(df, frame.order))
-    # materialise the expressions once, so summaries and windows read the same value
     tmp = {}
-    for kind, m in (("f", ffill), ("b", bfill), ("s", cumsum)):
-        for i, (out, expr) in enumerate(m.items()):
+    for kind, m in specs.items():
+        for i, out in enumerate(m):
             tmp[(kind, out)] = f"_pc_{kind}{i}"
-    d = d.select("*", *[
-        (ffill if k == "f" else bfill if k == "b" else cumsum)[out].alias(name)
-        for (k, out), name in tmp.items()])
+    if not tmp and not row_index:
+        return df
+    d = df.select("*", _bucket(df, frame).alias("_pc_b"), order_number(df, frame.order).alias("_pc_o"),
+                  *[specs[k][out].alias(name) for (k, out), name in tmp.items()])
+    d = d.repartition(*keys, "_pc_b")
+
+    wi = Window.partitionBy(*keys, "_pc_b").orderBy("_pc_o")
+    fwd = wi.rowsBetween(UNB_PRE, 0)
+    bwd = wi.rowsBetween(0, UNB_FOL)
+    d = d.withColumn("_pc_r", F.row_number().over(wi))
+    part = {}
+    for (k, out), name in tmp.items():
+        c = F.col(name)
+        if k == "f":
+            part[name + "_i"] = F.last(c, True).over(fwd)
+        elif k == "b":
+            part[name + "_i"] = F.first(c, True).over(bwd)
+        elif k == "s":
+            part[name + "_i"] = F.sum(c).over(fwd)
+        else:
+            part[name + "_i"] = F.last(F.when(c, F.col("_pc_r")), True).over(fwd)
+    d = d.withColumns(part) if part else d
 
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("_pc_n")]
     for (k, out), name in tmp.items():
         c = F.col(name)
         if k == "f":
             aggs.append(F.max_by(c, F.when(c.isNotNull(), F.col("_pc_o"))).alias(name))
         elif k == "b":
             aggs.append(F.min_by(c, F.when(c.isNotNull(), F.col("_pc_o"))).alias(name))
-        else:
+        elif k == "s":
             aggs.append(F.sum(c).alias(name))
-    if row_index:
-        aggs.append(F.count(F.lit(1)).alias("_pc_n"))
-    if not aggs:
-        return df
+        else:
+            aggs.append(F.max(F.when(c, F.col("_pc_r"))).alias(name))
+    summ = d.groupBy(*keys, "_pc_b").agg(*aggs)
 
     wb = Window.partitionBy(*keys).orderBy("_pc_b")
-    summ = d.groupBy(*keys, "_pc_b").agg(*aggs)
+    before, after = wb.rowsBetween(UNB_PRE, -1), wb.rowsBetween(1, UNB_FOL)
+    summ = summ.withColumn("_pc_off", F.coalesce(F.sum("_pc_n").over(before), F.lit(0)))
     carries = []
     for (k, out), name in tmp.items():
         c = F.col(name)
         if k == "f":
-            carries.append(F.last(c, True).over(wb.rowsBetween(UNB_PRE, -1)).alias(name + "_c"))
+            carries.append(F.last(c, True).over(before).alias(name + "_c"))
         elif k == "b":
-            carries.append(F.first(c, True).over(wb.rowsBetween(1, UNB_FOL)).alias(name + "_c"))
+            carries.append(F.first(c, True).over(after).alias(name + "_c"))
+        elif k == "s":
+            carries.append(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name + "_c"))
         else:
-            carries.append(F.coalesce(F.sum(c).over(wb.rowsBetween(UNB_PRE, -1)),
-                                      F.lit(0)).alias(name + "_c"))
-    if row_index:
-        carries.append(F.coalesce(F.sum("_pc_n").over(wb.rowsBetween(UNB_PRE, -1)),
-                                  F.lit(0)).alias("_pc_n_c"))
-    summ = summ.select(*keys, "_pc_b", *carries)
+            carries.append(F.last(F.col("_pc_off") + c, True).over(before).alias(name + "_c"))
+    summ = summ.select(*keys, "_pc_b", "_pc_off", *carries)
 
     j = d.join(summ, keys + ["_pc_b"], "left")
-    wi = Window.partitionBy(*keys, "_pc_b").orderBy("_pc_o")
-    fwd = wi.rowsBetween(UNB_PRE, 0)
-    bwd = wi.rowsBetween(0, UNB_FOL)
     outs = {}
     for (k, out), name in tmp.items():
-        c, carry = F.col(name), F.col(name + "_c")
-        if k == "f":
-            outs[out] = F.coalesce(F.last(c, True).over(fwd), carry)
-        elif k == "b":
-            outs[out] = F.coalesce(F.first(c, True).over(bwd), carry)
+        inner, carry = F.col(name + "_i"), F.col(name + "_c")
+        if k in ("f", "b"):
+            outs[out] = F.coalesce(inner, carry)
+        elif k == "s":
+            outs[out] = carry + F.coalesce(inner, F.lit(0))
         else:
-            outs[out] = carry + F.coalesce(F.sum(c).over(fwd), F.lit(0))
+            outs[out] = F.coalesce(F.col("_pc_off") + inner, carry)
     if row_index:
-        outs[row_index] = F.col("_pc_n_c") + F.row_number().over(wi)
+        outs[row_index] = F.col("_pc_off") + F.col("_pc_r")
     keep = [c for c in df.columns if c not in outs]
     return j.select(*keep, *[v.alias(k) for k, v in outs.items()])
 

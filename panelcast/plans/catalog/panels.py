@@ -96,8 +96,8 @@ SELECT {rnd('price_avg', 'price_ffill', 'price_roll7')} FROM (
 def flagship(spark, d):
     """Densify the sparse panel, forward fill, count staleness, 7-day mean (JN7+JN8+WIN8+WIN12+WIN6)."""
     x = dense_orders(spark, d).select("station", "date", "price_avg")
-    x = fills.days_since(x, F.col("price_avg").isNotNull(), "days_since_update")
-    x = fills.ffill(x.withColumn("price_ffill", F.col("price_avg")), "price_ffill")
+    x = fills.days_since(x.withColumn("price_ffill", F.col("price_avg")), F.col("price_avg").isNotNull(),
+                         "days_since_update", also_ffill=["price_ffill"])
     x = windows.rolling(x, "price_ffill", [7], ["mean"], name="price_roll7")
     return x.select("station", "date", "price_avg", "price_ffill", "days_since_update", "price_roll7")
 
