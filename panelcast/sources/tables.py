@@ -137,12 +137,125 @@ POINTS_SQL = """points AS (
   FROM embeddings)"""
 
 
+def panel_air(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(station, date) -> the six pollutant columns, kategori label, n_lines.
+
+    Every value is a ratio of exact integer sums (quantities, discount and tax
+    in hundredths, whole prices), so any engine computes the same doubles and
+    band boundaries classify identically.  Some cells are NULL and some labels
+    are the no-data sentinel or NULL, as in the raw air-quality files.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    j = (li.join(s, li.l_suppkey == s.s_suppkey)
+           .join(F.broadcast(n), F.col("s_nationkey") == n.n_nationkey))
+    cnt = F.count(F.lit(1))
+    g = (j.groupBy(_station(F.col("n_regionkey")).alias("station"),
+                   F.to_date("l_shipdate").alias("date"))
+          .agg(cnt.alias("n_lines"),
+               F.sum("l_quantity").alias("q"),
+               F.sum(F.round(F.col("l_discount") * 100)).alias("dsc"),
+               F.sum(F.round(F.col("l_tax") * 100)).alias("tx"),
+               F.sum(F.round("l_extendedprice")).alias("px")))
+    n_ = F.col("n_lines")
+    return g.select(
+        "station", "date",
+        (F.lit(3.0) * F.col("q") / n_).alias("pm_sepuluh"),
+        F.when(n_ % 7 != 0, F.lit(1.5) * F.col("q") / n_).alias("pm_duakomalima"),
+        (F.lit(10.0) * F.col("dsc") / n_).alias("sulfur_dioksida"),
+        F.when(n_ % 5 != 0, F.col("px") / n_ / F.lit(10.0)).alias("karbon_monoksida"),
+        (F.lit(25.0) * F.col("tx") / n_).alias("ozon"),
+        (F.lit(15.0) * n_).cast("double").alias("nitrogen_dioksida"),
+        F.when(n_ % 11 == 0, F.lit("TIDAK ADA DATA"))
+         .when(n_ % 13 == 0, F.lit(None).cast("string"))
+         .when(F.lit(3.0) * F.col("q") / n_ > 100, F.lit("TIDAK SEHAT"))
+         .when(F.lit(3.0) * F.col("q") / n_ > 50, F.lit("SEDANG"))
+         .otherwise(F.lit("BAIK")).alias("kategori"),
+        "n_lines")
+
+
+PANEL_AIR_SQL = """panel_air AS (
+  SELECT station, date,
+         3.0 * q / n_lines AS pm_sepuluh,
+         CASE WHEN n_lines % 7 <> 0 THEN 1.5 * q / n_lines END AS pm_duakomalima,
+         10.0 * dsc / n_lines AS sulfur_dioksida,
+         CASE WHEN n_lines % 5 <> 0 THEN px / n_lines / 10.0 END AS karbon_monoksida,
+         25.0 * tx / n_lines AS ozon,
+         CAST(15.0 * n_lines AS DOUBLE) AS nitrogen_dioksida,
+         CASE WHEN n_lines % 11 = 0 THEN 'TIDAK ADA DATA'
+              WHEN n_lines % 13 = 0 THEN NULL
+              WHEN 3.0 * q / n_lines > 100 THEN 'TIDAK SEHAT'
+              WHEN 3.0 * q / n_lines > 50 THEN 'SEDANG'
+              ELSE 'BAIK' END AS kategori,
+         n_lines
+  FROM (
+    SELECT 'DKI' || CAST(n.n_regionkey + 1 AS VARCHAR) AS station,
+           CAST(l.l_shipdate AS DATE) AS date,
+           count(*) AS n_lines,
+           sum(l.l_quantity) AS q,
+           sum(round(l.l_discount * 100)) AS dsc,
+           sum(round(l.l_tax * 100)) AS tx,
+           sum(round(l.l_extendedprice)) AS px
+    FROM lineitem l
+    JOIN supplier s ON l.l_suppkey = s.s_suppkey
+    JOIN nation n ON s.s_nationkey = n.n_nationkey
+    GROUP BY 1, 2) g)"""
+
+
+def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw-file style text derived from orders: sentinels, European numbers,
+    censored values, mixed date layouts, spreadsheet serials, station labels."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    d = F.to_date("o_orderdate")
+    serial = F.concat((F.datediff(d, F.lit("1899-12-30").cast("date")) + 7305).cast("string"), F.lit(".625"))
+    return o.select(
+        k.alias("k"), F.col("o_totalprice").alias("price"), d.alias("order_date"),
+        F.when(k % 17 == 0, F.lit("---")).when(k % 19 == 0, F.lit(""))
+         .when(k % 23 == 0, F.lit("-")).otherwise(price).alias("price_txt"),
+        F.replace(price, F.lit("."), F.lit(",")).alias("price_eu"),
+        F.concat(F.when(k % 4 == 0, F.lit("<")).when(k % 4 == 1, F.lit("<=")).when(k % 4 == 2, F.lit(" "))
+                  .otherwise(F.lit("")), F.replace(price, F.lit("."), F.lit(","))).alias("price_censored"),
+        F.when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
+         .when(k % 3 == 1, F.date_format(d, "dd/MM/yyyy")).otherwise(serial).alias("date_txt"),
+        F.when(k % 29 == 0, F.lit("O3"))
+         .otherwise(F.concat(F.when(F.col("o_custkey") % 2 == 0, F.lit("Stasiun DKI"))
+                                   .otherwise(F.lit("stasiun dki")),
+                             (F.col("o_custkey") % 5 + 1).cast("string"),
+                             F.lit(" Kebon Jeruk"))).alias("station_txt"),
+        F.col("o_orderpriority").alias("priority"))
+
+
+DIRTY_ORDERS_SQL = """dirty_orders AS (
+  SELECT o_orderkey AS k, o_totalprice AS price, CAST(o_orderdate AS DATE) AS order_date,
+         CASE WHEN o_orderkey % 17 = 0 THEN '---' WHEN o_orderkey % 19 = 0 THEN ''
+              WHEN o_orderkey % 23 = 0 THEN '-'
+              ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END AS price_txt,
+         replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '.', ',') AS price_eu,
+         CASE o_orderkey % 4 WHEN 0 THEN '<' WHEN 1 THEN '<=' WHEN 2 THEN ' ' ELSE '' END
+           || replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '.', ',') AS price_censored,
+         CASE o_orderkey % 3 WHEN 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')
+              WHEN 1 THEN strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y')
+              ELSE CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) + 7305 AS VARCHAR) || '.625'
+         END AS date_txt,
+         CASE WHEN o_orderkey % 29 = 0 THEN 'O3'
+              ELSE CASE WHEN o_custkey % 2 = 0 THEN 'Stasiun DKI' ELSE 'stasiun dki' END
+                   || CAST(o_custkey % 5 + 1 AS VARCHAR) || ' Kebon Jeruk' END AS station_txt,
+         o_orderpriority AS priority
+  FROM orders)"""
+
+
 VIEW_SQL = {
     "panel_orders": PANEL_ORDERS_SQL,
     "panel_ship": PANEL_SHIP_SQL,
     "obs_events": OBS_EVENTS_SQL,
     "yearly": YEARLY_SQL,
     "points": POINTS_SQL,
+    "panel_air": PANEL_AIR_SQL,
+    "dirty_orders": DIRTY_ORDERS_SQL,
 }
 _VIEW_DEPS = {"yearly": ("panel_orders",)}
 
