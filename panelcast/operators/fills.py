@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import STATION_DATE, SeriesFrame, order_number, scan
@@ -138,14 +138,3 @@ def interpolate_time(df: DataFrame, cols, frame: SeriesFrame = STATION_DATE,
             pv.isNotNull() & nv.isNotNull(), F.coalesce(inner, pv)).otherwise(F.coalesce(pv, nv))
     tmp = [k for k in list(ff) + list(bf)] + ["_it_t"]
     return d.withColumns(out).drop(*tmp)
-
-
-def global_ffill(df: DataFrame, cols, order: list[str]) -> DataFrame:
-    """Whole-frame fill ignoring series (WIN20 fidelity mode).
-
-    The reference fills the unsorted frame globally, so values leak across
-    stations.  A global order needs one partition; this is offered for parity
-    only and is not used by any flow.
-    """
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, True).over(w) for c in _cols(cols)})

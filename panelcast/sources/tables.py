@@ -118,7 +118,7 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 YEARLY_SQL = """yearly AS (
   SELECT station, CAST(year(date) AS INTEGER) AS year,
-         sum(n_orders) AS n_orders, sum(price_avg * n_orders) AS total
+         CAST(sum(n_orders) AS BIGINT) AS n_orders, sum(price_avg * n_orders) AS total
   FROM panel_orders GROUP BY 1, 2)"""
 
 
