@@ -79,11 +79,11 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], margins:
     """Counts row x col with optional margins (AGG8).  Margins come from ``rollup``
     over the pivoted counts, i.e. grouping sets on aggregated data."""
     base = df.groupBy(row).pivot(col, list(values)).count().na.fill(0, subset=list(values))
-    base = base.select(row, *[F.col(v).cast("long").alias(v) for v in values])
+    base = base.select(row, *[F.col(f"`{v}`").cast("long").alias(v) for v in values])
     if not margins:
         return base
-    base = base.withColumn(total, sum((F.col(v) for v in values), F.lit(0)).cast("long"))
-    tot = base.agg(*[F.sum(v).cast("long").alias(v) for v in values + [total]]) \
+    base = base.withColumn(total, sum((F.col(f"`{v}`") for v in values), F.lit(0)).cast("long"))
+    tot = base.agg(*[F.sum(F.col(f"`{v}`")).cast("long").alias(v) for v in list(values) + [total]]) \
               .select(F.lit(total).alias(row), *values, total)
     return base.unionByName(tot)
 
@@ -158,8 +158,8 @@ def series_stats(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: st
     """Per (id, parameter): median, q1, q3, iqr, min, max, mean, std (AGG17)."""
     long = unpivot(df.select(*ids, *cols), ids, cols, var, "value").where(F.col("value").isNotNull())
     q = quantiles(long, ["value"], [0.25, 0.5, 0.75], by=list(ids) + [var], name="{col}_{p}")
-    q = q.select(*ids, var, F.col("value_0.5").alias("median"), F.col("value_0.25").alias("q1"),
-                 F.col("value_0.75").alias("q3"), (F.col("value_0.75") - F.col("value_0.25")).alias("iqr"))
+    q1, q2, q3 = F.col("`value_0.25`"), F.col("`value_0.5`"), F.col("`value_0.75`")
+    q = q.select(*ids, var, q2.alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"))
     s = long.groupBy(*ids, var).agg(F.min("value").alias("min"), F.max("value").alias("max"),
                                      F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                      F.count(F.lit(1)).alias("n"))

@@ -77,7 +77,7 @@ def jn4_dimension_lookup(spark, d):
 
 
 # Fixed dictionary: title-cased place name -> station code.
-CITY_TO_STATION = {"Algeria": "DKI1", "Argentina": "DKI2", "Brazil": "DKI3", "Canada": "DKI4", "Egypt": "DKI5"}
+CITY_TO_STATION = {"Nation_0": "DKI1", "Nation_1": "DKI2", "Nation_2": "DKI3", "Nation_3": "DKI4", "Nation_4": "DKI5"}
 _CASE = "CASE " + " ".join(f"WHEN city = '{k}' THEN '{v}'" for k, v in CITY_TO_STATION.items()) + " END"
 _TITLE = ("array_to_string(list_transform(string_split(lower(n.n_name), ' '), "
           "lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')")
