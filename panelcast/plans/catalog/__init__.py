@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("panels", "cleaning", "features", "joins", "aggregates", "profiling",
-            "imputation", "rules", "spatial", "schema", "modelling")
+_MODULES = ("panels", "cleaning", "features", "joins", "aggregates", "imputation", "spatial",
+            "schema", "ingest", "modelling")
 
 
 @dataclass(frozen=True)
