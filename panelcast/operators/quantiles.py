@@ -69,7 +69,6 @@ def _wide(res: DataFrame, by, cols, probs, name) -> DataFrame:
 
 
 def _exact(long: DataFrame, keys, probs, accuracy, max_rows, max_rounds) -> DataFrame:
-    spark = long.sparkSession
     n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q_n"))
     pv = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                              for i, p in enumerate(probs)]))
@@ -77,7 +76,34 @@ def _exact(long: DataFrame, keys, probs, accuracy, max_rows, max_rounds) -> Data
           .select(*keys, "_q_n", F.col("_q_pp.i").alias("_q_i"), F.col("_q_pp.p").alias("_q_p")))
     pos = F.col("_q_p") * (F.col("_q_n") - 1)
     t = t.select(*keys, "_q_i", "_q_n", F.floor(pos).alias("_q_k0"), F.ceil(pos).alias("_q_k1"),
-                 (pos - F.floor(pos)).alias("_q_f"),
+                 (pos - F.floor(pos)).alias("_q_f"))
+    val = _select_ranks(long, keys, t, accuracy, max_rows, max_rounds)
+    return val.groupBy(*keys).agg(*[F.first(F.when(F.col("_q_i") == i, F.col("_q_x")), True).alias(f"_q_{i}")
+                                    for i in range(len(probs))])
+
+
+def kth_smallest(df: DataFrame, col: str, by: Sequence[str], k, accuracy: int = 10_000,
+                 max_rows: int = 250_000, out: str = "kth") -> DataFrame:
+    """Per group of ``by``: the ``k``-th smallest value of ``col`` (1-based; ``k`` is a
+    column expression that may use ``n``, the group's non-NULL count).  Same
+    bracketing as :func:`quantiles`, so a huge group is never ranked whole."""
+    by = list(by)
+    keys = by + ["_q_col"]
+    long = _long(df, [col], by)
+    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q_n"))
+    kk = (k if not isinstance(k, int) else F.lit(k))
+    t = n.withColumn("n", F.col("_q_n")).select(*keys, F.lit(0).alias("_q_i"), "_q_n",
+                                                 (kk - 1).cast("long").alias("_q_k0"),
+                                                 (kk - 1).cast("long").alias("_q_k1"), F.lit(0.0).alias("_q_f"))
+    t = t.where((F.col("_q_k0") >= 0) & (F.col("_q_k0") < F.col("_q_n")))
+    val = _select_ranks(long, keys, t, accuracy, max_rows, max_rounds=6)
+    return val.select(*by, F.col("_q_x").alias(out))
+
+
+def _select_ranks(long: DataFrame, keys, t: DataFrame, accuracy, max_rows, max_rounds) -> DataFrame:
+    """Values at 0-based ranks ``_q_k0`` / ``_q_k1`` interpolated by ``_q_f`` per (keys, _q_i)."""
+    spark = long.sparkSession
+    t = t.select(*keys, "_q_i", "_q_n", "_q_k0", "_q_k1", "_q_f",
                  F.lit(None).cast("double").alias("_q_lo"), F.lit(None).cast("double").alias("_q_hi"),
                  F.lit(0).cast("long").alias("_q_below"))
 
@@ -126,7 +152,4 @@ def _exact(long: DataFrame, keys, probs, accuracy, max_rows, max_rounds) -> Data
     picked = ranked.where((F.col("_q_r") == F.col("_q_k0")) | (F.col("_q_r") == F.col("_q_k1")))
     val = picked.groupBy(*keys, "_q_i", "_q_f").agg(
         F.min_by("_q_v", "_q_r").alias("_q_v0"), F.max_by("_q_v", "_q_r").alias("_q_v1"))
-    val = val.select(*keys, "_q_i", ((F.col("_q_v1") - F.col("_q_v0")) * F.col("_q_f") + F.col("_q_v0")).alias("_q_x"))
-    width = len(probs)
-    return val.groupBy(*keys).agg(*[F.first(F.when(F.col("_q_i") == i, F.col("_q_x")), True).alias(f"_q_{i}")
-                                    for i in range(width)])
+    return val.select(*keys, "_q_i", ((F.col("_q_v1") - F.col("_q_v0")) * F.col("_q_f") + F.col("_q_v0")).alias("_q_x"))
