@@ -40,7 +40,7 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", accuracy: int = 10_000, max_rows: int = 250_000,
+              method: str = "exact", accuracy: int = 10_000, max_rows: int = 1_000_000,
               name: str = "{col}_q{p}", max_rounds: int = 6) -> DataFrame:
     """One row per group of ``by`` with a column per (col, prob).
 
@@ -83,7 +83,7 @@ def _exact(long: DataFrame, keys, probs, accuracy, max_rows, max_rounds) -> Data
 
 
 def kth_smallest(df: DataFrame, col: str, by: Sequence[str], k, accuracy: int = 10_000,
-                 max_rows: int = 250_000, out: str = "kth") -> DataFrame:
+                 max_rows: int = 1_000_000, out: str = "kth") -> DataFrame:
     """Per group of ``by``: the ``k``-th smallest value of ``col`` (1-based; ``k`` is a
     column expression that may use ``n``, the group's non-NULL count).  Same
     bracketing as :func:`quantiles`, so a huge group is never ranked whole."""
@@ -113,12 +113,18 @@ def _select_ranks(long: DataFrame, keys, t: DataFrame, accuracy, max_rows, max_r
                   & (F.col("_q_hi").isNull() | (F.col("_q_v") <= F.col("_q_hi"))))
         return j.where(inside)
 
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
+        if rnd == 0:
+            # the first bracket is the whole group: its size is the group count
+            biggest = t.agg(F.max("_q_n")).first()[0]
+            if biggest is None or biggest <= max_rows:
+                break
         cand = candidates(t)
         size = cand.groupBy(*keys, "_q_i").agg(F.count(F.lit(1)).alias("_q_m"))
-        biggest = size.agg(F.max("_q_m")).first()[0]
-        if biggest is None or biggest <= max_rows:
-            break
+        if rnd > 0:
+            biggest = size.agg(F.max("_q_m")).first()[0]
+            if biggest is None or biggest <= max_rows:
+                break
         # narrow every bracket that is still too large around its two target ranks
         rel0 = (F.col("_q_k0") - F.col("_q_below")) / F.greatest(F.col("_q_m") - 1, F.lit(1))
         rel1 = (F.col("_q_k1") - F.col("_q_below")) / F.greatest(F.col("_q_m") - 1, F.lit(1))

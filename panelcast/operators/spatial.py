@@ -91,7 +91,7 @@ def nearest(points: DataFrame, edges: DataFrame, counts: DataFrame | None = None
     far = todo.agg(F.max(F.greatest(F.abs(F.col("_pcx")), F.abs(F.col("_pcy"))))).first()[0] or 0
     ensure_checkpoint_dir(points.sparkSession)
     found = None
-    r, last = 1, False
+    r, last = 2, False
     while True:
         off = F.sequence(F.lit(-r), F.lit(r))
         cand = todo.select("*", F.explode(off).alias("_dx")).select("*", F.explode(off).alias("_dy"))
@@ -104,7 +104,7 @@ def nearest(points: DataFrame, edges: DataFrame, counts: DataFrame | None = None
             F.min_by(F.struct("region", "_d"), F.struct("_d", F.coalesce("_cnt", F.lit(0)), "region")).alias("_b"))
         ok = best.where(F.col("_b._d") <= F.lit(r * cs)) if not last else best
         ok = ok.select(F.col("_pid"), F.col("_b.region").alias("region"), F.col("_b._d").alias("distance"))
-        ok = ok.checkpoint(eager=True)
+        ok = ok.checkpoint(eager=True)   # resolved points: small, and the loop's lineage stops here
         found = ok if found is None else found.unionByName(ok)
         todo = todo.join(ok.select("_pid"), "_pid", "left_anti").checkpoint(eager=True)
         if last or todo.isEmpty():
