@@ -27,7 +27,7 @@ Both keep the keys NOT NULL contract of a panel.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -51,9 +51,15 @@ class SeriesFrame:
     order: str = "date"
     bucket: int = 64
     chunk_rows: int = 1024
+    index: str | None = None
 
     def with_keys(self, *keys: str) -> "SeriesFrame":
-        return SeriesFrame(tuple(keys), self.order, self.bucket, self.chunk_rows)
+        return replace(self, keys=tuple(keys))
+
+    def with_index(self, index: str) -> "SeriesFrame":
+        """The same frame, declaring that ``index`` already holds the 1-based series row
+        number (see :func:`add_index`): halo windows then skip their own scan."""
+        return replace(self, index=index)
 
     def series_window(self) -> WindowSpec:
         """Plain per-series window (one task per series): for small, bounded series only."""
@@ -182,10 +188,11 @@ def bounded(df: DataFrame, frame: SeriesFrame,
     ``build(w)`` gets a window spec ordered like the series and returns
     ``{name: expression over w}``; frames must be written with
     ``w.rowsBetween(..)`` inside ``[-before, after]`` (``lag``/``lead`` too).
-    ``row_index`` names an existing 1-based series row number; without it one
-    is computed with :func:`scan`.
+    ``row_index`` (or ``frame.index``) names an existing 1-based series row
+    number; without it one is computed with :func:`scan`.
     """
     keys = list(frame.keys)
+    row_index = row_index or (frame.index if frame.index and frame.index in df.columns else None)
     rn = row_index or "_pc_rn"
     d = df if row_index else scan(df, frame, row_index=rn)
     size = max(frame.chunk_rows, before, after, 1)
@@ -213,6 +220,18 @@ def bounded(df: DataFrame, frame: SeriesFrame,
     return out
 
 
+def add_index(df: DataFrame, frame: SeriesFrame = STATION_DATE, name: str = "_rn") -> tuple[DataFrame, SeriesFrame]:
+    """Add the series row number once; return the frame that reuses it in later windows."""
+    return scan(df, frame, row_index=name), frame.with_index(name)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing to the shared checkpoint folder (never a local checkpoint)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def assert_unique(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
     """Raise if ``keys`` repeat (pandas reindex / pivot fail there).  One aggregate job."""
     dup = df.groupBy(*keys).count().filter("count > 1").limit(1).collect()

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 Builder = Callable[[SparkSession, str], DataFrame]
 
 _MODULES = ("panels", "cleaning", "features", "joins", "aggregates", "imputation", "spatial",
-            "schema", "ingest", "modelling")
+            "schema", "ingest", "modelling", "flows")
 
 
 @dataclass(frozen=True)
