@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .aggregates import attach_params
 from .frames import STATION_DATE, SeriesFrame, bounded, scan
 from .quantiles import kth_smallest
 
@@ -45,7 +46,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     """``N / (K * n_c)`` per row (ML4), from one grouped count joined back."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = c.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = c.crossJoin(F.broadcast(tot)).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    w = attach_params(c, tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(w), label, "left")
 
 
@@ -128,7 +129,7 @@ def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     rec = F.try_divide(F.col("tp"), F.col("support"))
     r = r.select("cls", prec.alias("precision"), rec.alias("recall"),
                  F.try_divide(2 * prec * rec, prec + rec).alias("f1"), F.col("support").cast("long").alias("support"))
-    return r.crossJoin(F.broadcast(acc))
+    return attach_params(r, acc)
 
 
 # ------------------------------------------------------------------ forecast frames
@@ -190,7 +191,7 @@ def ar1_forecast(history: DataFrame, horizon_dates: DataFrame, col: str, station
     from .windows import last_rows
     last10 = last_rows(h, 10, frame).groupBy(station).agg(F.avg(col).alias("_m10"))
     glob = h.agg(F.avg(col).alias("_g"))
-    j = horizon_dates.join(fit, station, "left").join(last10, station, "left").crossJoin(F.broadcast(glob))
+    j = attach_params(horizon_dates.join(fit, station, "left").join(last10, station, "left"), glob)
     hh = F.datediff(F.col(date), F.col("_t0")).cast("double")
     a, b, d0 = F.col("_a"), F.col("_b"), F.coalesce(F.col("_d0"), F.lit(0.0))
     bh = F.pow(b, hh)

@@ -390,3 +390,12 @@ SELECT count(*) AS actual_rows FROM (SELECT DISTINCT station FROM panel_orders)
 def agg15_densified_completeness(spark, d):
     """After densifying, actual rows equal days x stations (the reference's invariant)."""
     return dz.densify_panel(tb.panel_orders(spark, d)).agg(F.count(F.lit(1)).alias("actual_rows"))
+
+
+@register("flt5_minimum_support", EV + """
+SELECT station, parameter, count(value) AS n_values FROM obs_events GROUP BY 1, 2 HAVING count(value) >= 395""")
+def flt5_minimum_support(spark, d):
+    """Keep groups with enough observations (``having count >= n``)."""
+    e = tb.obs_events(spark, d)
+    return e.groupBy("station", "parameter").agg(F.count("value").alias("n_values")) \
+            .where(F.col("n_values") >= 395)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import rules as rl
 from ...operators import profile as pf
+from ...operators.aggregates import attach_params
 from ...operators import schema as sc
 from ...operators import windows
 from ...sources import tables as tb
@@ -117,8 +118,8 @@ def prj11_schema_alignment(spark, d):
     names = diff["both"] + diff["only_a"] + diff["only_b"]
     rows = [(c, int(c in a.columns), int(c in b.columns)) for c in names]
     cols = spark.createDataFrame(rows, "column string, in_a int, in_b int")
-    counts = a.agg(F.count(F.lit(1)).alias("rows_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("rows_b")))
-    return cols.crossJoin(F.broadcast(counts))
+    counts = attach_params(a.agg(F.count(F.lit(1)).alias("rows_a")), b.agg(F.count(F.lit(1)).alias("rows_b")))
+    return attach_params(cols, counts)
 
 
 _FAMILIES = {"lag": r"_lag_\d+d$", "rolling": r"_roll(mean|std|sum)_\d+d$", "change": r"_(delta|pct_change)_\d+d$"}
@@ -146,7 +147,7 @@ def prj12_prj13_feature_families(spark, d):
     names = spark.createDataFrame([(c,) for c in keep], "column string")
     fam = sc.families(names, _FAMILIES)
     n = g.agg(F.count(F.lit(1)).alias("rows"))
-    return fam.crossJoin(F.broadcast(n))
+    return attach_params(fam, n)
 
 
 @register("set2_key_set_difference", tb.with_views("panel_orders", "panel_ship") + """
@@ -192,3 +193,30 @@ def set4_source_priority(spark, d):
     s = tb.panel_ship(spark, d).groupBy("station", F.year("date").alias("year")).agg(F.sum("n_lines").alias("n")) \
           .select("station", "year", F.lit(2).alias("priority"), F.lit("lines").alias("source"), "n")
     return sc.prefer_sources(o.unionByName(s), ["station", "year"], "priority")
+
+
+@register("prj10_left_wins_on_collision", tb.with_views("panel_air", "panel_ship") + f"""
+SELECT a.station, a.date, a.n_lines, {R('s.qty_avg')} AS qty_avg
+FROM panel_air a LEFT JOIN panel_ship s ON a.station = s.station AND a.date = s.date""")
+def prj10_left_wins_on_collision(spark, d):
+    """Both panels carry ``n_lines``; the right copy is dropped before the join."""
+    from ...operators import joins as jn
+    a = tb.panel_air(spark, d).select("station", "date", "n_lines")
+    s = tb.panel_ship(spark, d).select("station", "date", "qty_avg", F.lit(-1).alias("n_lines"))
+    return jn.join_panels(a, [s])
+
+
+@register("srt1_sorted_sink_order", AIR + f"""
+SELECT station, date, {R('pm_sepuluh')} AS pm_sepuluh FROM panel_air ORDER BY station, date""")
+def srt1_sorted_sink_order(spark, d):
+    """Global sort only at the sink (range-partitioned sort, no single-task gather)."""
+    return tb.panel_air(spark, d).select("station", "date", "pm_sepuluh").orderBy("station", "date")
+
+
+@register("srt2_top_k_days", AIR + f"""
+SELECT station, date, {R('pm_sepuluh')} AS pm_sepuluh FROM panel_air
+WHERE pm_sepuluh IS NOT NULL ORDER BY pm_sepuluh DESC, station, date LIMIT 20""")
+def srt2_top_k_days(spark, d):
+    """Top-k as ``orderBy.limit`` (TakeOrderedAndProject: per-partition top k, then merge)."""
+    a = tb.panel_air(spark, d).where(F.col("pm_sepuluh").isNotNull())
+    return a.select("station", "date", "pm_sepuluh").orderBy(F.col("pm_sepuluh").desc(), "station", "date").limit(20)
