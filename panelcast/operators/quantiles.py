@@ -113,12 +113,14 @@ def _select_ranks(long: DataFrame, keys, t: DataFrame, accuracy, max_rows, max_r
                   & (F.col("_q_hi").isNull() | (F.col("_q_v") <= F.col("_q_hi"))))
         return j.where(inside)
 
+    refined = False
     for rnd in range(max_rounds):
         if rnd == 0:
             # the first bracket is the whole group: its size is the group count
             biggest = t.agg(F.max("_q_n")).first()[0]
             if biggest is None or biggest <= max_rows:
                 break
+        refined = True
         cand = candidates(t)
         size = cand.groupBy(*keys, "_q_i").agg(F.count(F.lit(1)).alias("_q_m"))
         if rnd > 0:
@@ -152,10 +154,19 @@ def _select_ranks(long: DataFrame, keys, t: DataFrame, accuracy, max_rows, max_r
         ensure_checkpoint_dir(spark)
         t = t.checkpoint(eager=True)
 
-    cand = candidates(t)
-    w = Window.partitionBy(*keys, "_q_i").orderBy("_q_v")
-    ranked = cand.withColumn("_q_r", F.col("_q_below") + F.row_number().over(w) - 1)
-    picked = ranked.where((F.col("_q_r") == F.col("_q_k0")) | (F.col("_q_r") == F.col("_q_k1")))
+    if not refined:
+        # every group fits the bound: rank each group once and pick all target ranks
+        need = t.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(F.array("_q_k0", "_q_k1"))))
+                                    .alias("_q_need"))
+        w = Window.partitionBy(*keys).orderBy("_q_v")
+        ranked = long.withColumn("_q_r", F.row_number().over(w) - 1).join(need, keys) \
+                     .where(F.array_contains("_q_need", F.col("_q_r"))).drop("_q_need")
+        picked = ranked.join(t, keys).where((F.col("_q_r") == F.col("_q_k0")) | (F.col("_q_r") == F.col("_q_k1")))
+    else:
+        cand = candidates(t)
+        w = Window.partitionBy(*keys, "_q_i").orderBy("_q_v")
+        ranked = cand.withColumn("_q_r", F.col("_q_below") + F.row_number().over(w) - 1)
+        picked = ranked.where((F.col("_q_r") == F.col("_q_k0")) | (F.col("_q_r") == F.col("_q_k1")))
     val = picked.groupBy(*keys, "_q_i", "_q_f").agg(
         F.min_by("_q_v", "_q_r").alias("_q_v0"), F.max_by("_q_v", "_q_r").alias("_q_v1"))
     return val.select(*keys, "_q_i", ((F.col("_q_v1") - F.col("_q_v0")) * F.col("_q_f") + F.col("_q_v0")).alias("_q_x"))

@@ -59,7 +59,7 @@ def air_quality_features(panel: DataFrame, pollutants: Sequence[str] = POLL,
     """Entry 2: lags, rolling statistics, changes, spikes, composites, calendar and
     cyclical parts, unhealthy-day counts and deviations, each family in one pass."""
     p = list(pollutants)
-    x, fr = add_index(panel, frame or SeriesFrame())
+    x, fr = add_index(checkpoint(panel), frame or SeriesFrame())
     x = windows.lags(x, p, [7, 14, 30], fr)
     x = windows.rolling(x, p, [7, 14, 30], ["mean"], fr, name="{col}_rollmean_{n}d")
     x = windows.rolling(x, p, [30], ["std"], fr, min_periods=7, name="{col}_rollstd_{n}d")
@@ -98,6 +98,7 @@ def forecast_and_classify(panel: DataFrame, others: Sequence[DataFrame], calenda
     x = jn.join_panels(panel, others)
     if calendar is not None:
         x = jn.join_by_date(x, calendar)
+    x = checkpoint(x)
     cut = F.lit(last_train_date).cast("date")
     train = x.where(F.col("date") <= cut)
     feats = sc.feature_columns(train, meta=["station", "date"], targets=list(pollutants),
