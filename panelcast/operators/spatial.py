@@ -118,7 +118,9 @@ def nearest(points: DataFrame, edges: DataFrame, counts: DataFrame | None = None
 def assign_regions(points: DataFrame, edges: DataFrame, pid: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """Region of every point: inside-polygon first, nearest boundary for the rest
     (JN12 + JN13).  Returns ``pid, region, method`` (``within`` / ``nearest``)."""
-    inside = within(points, edges, pid, x, y)
+    ensure_checkpoint_dir(points.sparkSession)
+    edges = edges.checkpoint(eager=True)          # boundary dimension: parsed once
+    inside = within(points, edges, pid, x, y).checkpoint(eager=True)
     counts = inside.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
     rest = points.join(inside.select(pid), pid, "left_anti")
     near = nearest(rest, edges, counts, pid, x, y)
