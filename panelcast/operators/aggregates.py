@@ -89,10 +89,11 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], margins:
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], share: str = "share") -> DataFrame:
-    """Counts per value combination and their share of all rows (AGG9).  The share
-    window runs over the aggregated rows only."""
+    """Counts per value combination and their share of all rows (AGG9).  The total is
+    a one-row aggregate, so high-cardinality columns never meet in one task."""
     c = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("count"))
-    return c.withColumn(share, F.col("count") / F.sum("count").over(Window.partitionBy()))
+    tot = c.agg(F.sum("count").alias("_tot"))          # one row, attached by broadcast
+    return _attach_row(c, tot).withColumn(share, F.col("count") / F.col("_tot")).drop("_tot")
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:

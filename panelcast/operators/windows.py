@@ -181,8 +181,12 @@ def rank_top(df: DataFrame, score: Column | str, n: int | None = None, out: str
     """Ranking by score (WIN23), optional top ``n``.  Without ``partition`` this is a
     global ranking: use it on aggregated rows (one per station), not on raw data."""
     s = F.col(score) if isinstance(score, str) else score
-    w = Window.partitionBy(*partition).orderBy(s.asc() if ascending else s.desc())
-    d = df.withColumn(out, F.row_number().over(w))
+    o = s.asc() if ascending else s.desc()
+    if n and not partition:
+        # global top-n: per-partition top n, then one merge of n rows (TakeOrdered)
+        top = df.orderBy(o).limit(n)
+        return top.withColumn(out, F.row_number().over(Window.orderBy(o)))
+    d = df.withColumn(out, F.row_number().over(Window.partitionBy(*partition).orderBy(o)))
     return d.filter(F.col(out) <= n) if n else d
 
 
