@@ -60,12 +60,18 @@ def stage_air_yearly(spark, d) -> str:
     return root
 
 
-def read_air_yearly(spark, root: str, years=None):
-    """SRC1 + SRC2 + SRC3 + PRJ1 + PRJ3: two layout families, two dialects, one canonical frame."""
+# The 2011-2020 family layout (no PM2.5 column).
+FAMILY_2011_2020 = ["periode_data", "tanggal", "pm10", "so2", "co", "o3", "no2", "max", "critical", "categori",
+                    "lokasi_spku"]
+
+
+def read_air_yearly(spark, root: str, years=None, old_cols=OLD_COLS, new_cols=NEW_COLS):
+    """SRC1 + SRC2 + SRC3 + PRJ1 + PRJ3: two layout families, two dialects, one canonical frame.
+    Each family is read with its own positional column list."""
     rx = r"ispu_(\d{4})"
-    old = fs.scan_yearly(spark, f"{root}/old", OLD_COLS, sep=",", year_regex=rx, years=years)
+    old = fs.scan_yearly(spark, f"{root}/old", old_cols, sep=",", year_regex=rx, years=years)
     old = sc.rename(old, {**OLD_TO_CANONICAL, "lokasi_spku": "stasiun"})
-    new = fs.scan_yearly(spark, f"{root}/new", NEW_COLS, sep=";", year_regex=rx, years=years)
+    new = fs.scan_yearly(spark, f"{root}/new", new_cols, sep=";", year_regex=rx, years=years)
     both = sc.harmonise([old, new], ["file_year", "_ingest", *NEW_COLS])
     return both.select(
         "file_year", "_ingest", tx.station_code("stasiun").alias("station"), dt.parse_date("tanggal").alias("date"),
