@@ -202,7 +202,8 @@ def ml10_recursive_forecast(spark, d):
     a = tb.panel_air(spark, d).select("station", "date", "pm_sepuluh").where(F.col("pm_sepuluh").isNotNull())
     lagged = windows.lags(a, ["pm_sepuluh"], [1, 7]).na.drop()
     from pyspark.ml import Pipeline
-    lr = ml.LinearRegression(featuresCol="features", labelCol="pm_sepuluh", predictionCol="pm_sepuluh_pred")
+    from pyspark.ml.regression import LinearRegression
+    lr = LinearRegression(featuresCol="features", labelCol="pm_sepuluh", predictionCol="pm_sepuluh_pred")
     model = Pipeline(stages=[ml.assemble(["pm_sepuluh_lag_1d", "pm_sepuluh_lag_7d"]), lr]).fit(lagged)
     return ml.recursive_forecast(a, model, "pm_sepuluh", [1, 7], horizon=14, checkpoint_every=5)
 
