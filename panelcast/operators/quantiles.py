@@ -106,6 +106,10 @@ def _select_ranks(long: DataFrame, keys, t: DataFrame, accuracy, max_rows, max_r
     t = t.select(*keys, "_q_i", "_q_n", "_q_k0", "_q_k1", "_q_f",
                  F.lit(None).cast("double").alias("_q_lo"), F.lit(None).cast("double").alias("_q_hi"),
                  F.lit(0).cast("long").alias("_q_below"))
+    # the target table is small (groups x probabilities): materialise it once, so the
+    # size check and the final ranking do not both recount the groups upstream
+    ensure_checkpoint_dir(spark)
+    t = t.checkpoint(eager=True)
 
     def candidates(tt: DataFrame) -> DataFrame:
         j = long.join(tt, keys)
