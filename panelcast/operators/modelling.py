@@ -253,32 +253,45 @@ def fill_features(train: DataFrame, others: Sequence[DataFrame], features: Seque
 
 def oversample_minority(df: DataFrame, features: Sequence[str], label: str, minority: str, needed: int,
                         k: int = 2, seed: int = 42, bucket_length: float = 2.0, threshold: float = 5.0) -> DataFrame:
-    """Synthetic minority rows ``a + u (b - a)`` between a row and one of its k nearest
-    same-class neighbours (ML14).
+    """Exactly ``needed`` synthetic minority rows ``a + u (b - a)`` between a row and one
+    of its k nearest same-class neighbours (ML14).
 
     Neighbours come from ``BucketedRandomProjectionLSH`` candidate pairs, so only
     rows sharing a hash bucket are compared; per row the k closest candidates
-    are kept (a window per row id, i.e. at most the bucket's size).  Each
-    minority row then yields ``ceil(needed / n_minority)`` synthetic rows.
+    are kept (a window per row, bounded by its bucket).  Every minority row gets
+    ``needed // n`` copies and the rows under an exact hash cut (``kth_smallest``)
+    one more, so the count is exact without a limit; copy r of a row uses its
+    ``(r mod k')``-th neighbour.  A row without any candidate pairs with itself.
     """
-    m = df.where(F.col(label) == minority).withColumn("_id", F.monotonically_increasing_id())
+    key = F.xxhash64(*[F.col(f) for f in features], F.lit(seed))
+    m = df.where(F.col(label) == minority).withColumn("_id", key)
+    n_min = m.count()
+    if needed <= 0 or n_min == 0:
+        return df.limit(0).select(*features, label)
     m = assemble(features, "_v").transform(m)
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hash", bucketLength=bucket_length,
                                       numHashTables=3, seed=seed).fit(m)
     pairs = lsh.approxSimilarityJoin(m, m, threshold, distCol="_dist").where(F.col("datasetA._id") != F.col("datasetB._id"))
     pairs = pairs.select(F.col("datasetA._id").alias("_a"), F.col("datasetB._id").alias("_b"), "_dist")
     w = Window.partitionBy("_a").orderBy("_dist", "_b")
-    nb = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    n_min = m.count()
-    per = max(1, math.ceil(needed / max(n_min, 1)))
-    base = m.select("_id", *features)
-    other = base.select(F.col("_id").alias("_b"), *[F.col(f).alias(f"_o_{f}") for f in features])
-    j = nb.join(base.withColumnRenamed("_id", "_a"), "_a").join(other, "_b")
-    j = j.select("*", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("_rep"))
+    nb = pairs.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") <= k)
+    nb = nb.groupBy("_a").agg(F.sort_array(F.collect_list(F.struct("_nr", "_b"))).alias("_nbs"))
+    base, extra = divmod(needed, n_min)
+    rows = m.select(F.col("_id").alias("_a"), *features).withColumn("_hh", F.xxhash64("_a", F.lit(seed + 1)).cast("double"))
+    if extra:
+        cut = kth_smallest(rows, "_hh", [], extra, out="_cut")
+        rows = attach_params(rows, cut).withColumn("_reps", F.lit(base) + (F.col("_hh") <= F.col("_cut")).cast("int"))
+    else:
+        rows = rows.withColumn("_reps", F.lit(base))
+    rows = rows.where(F.col("_reps") > 0).join(nb, "_a", "left")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_reps") - 1)).alias("_rep"))
+    pick = F.when(F.size("_nbs") > 0, F.get(F.col("_nbs"), F.col("_rep") % F.size("_nbs"))["_b"]).otherwise(F.col("_a"))
+    rows = rows.withColumn("_b", pick)
+    other = m.select(F.col("_id").alias("_b"), *[F.col(f).alias(f"_o_{f}") for f in features]).dropDuplicates(["_b"])
+    j = rows.join(other, "_b", "left")
     u = (F.abs(F.xxhash64("_a", "_b", "_rep", F.lit(seed))) % 1_000_000) / F.lit(1_000_000.0)
-    syn = j.select(*[(F.col(f) + u * (F.col(f"_o_{f}") - F.col(f))).alias(f) for f in features],
-                   F.lit(minority).alias(label))
-    return syn.limit(needed) if needed else syn
+    return j.select(*[(F.col(f) + u * (F.coalesce(F.col(f"_o_{f}"), F.col(f)) - F.col(f))).alias(f) for f in features],
+                    F.lit(minority).alias(label))
 
 
 def scan_cumulative(df: DataFrame, col: str, frame: SeriesFrame = STATION_DATE, out: str | None = None) -> DataFrame:

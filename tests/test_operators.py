@@ -49,3 +49,13 @@ def test_schema_helpers(spark):
     with pytest.raises(ValueError):
         schema.first_present(df, ["lat", "latitude"], "lintang")
     assert schema.drop_dominant(["x_rolling_1", "x_lag_7", "y"], "x", keep=["x_lag_7"]) == ["x_lag_7", "y"]
+
+
+def test_oversample_exact_count(spark):
+    from panelcast.operators.modelling import oversample_minority
+    df = spark.range(0, 300).select((F.col("id") % 17).cast("double").alias("a"),
+                                    (F.col("id") % 5).cast("double").alias("b"),
+                                    F.when(F.col("id") % 10 == 0, "min").otherwise("maj").alias("y"))
+    out = oversample_minority(df, ["a", "b"], "y", "min", 47, bucket_length=4.0, threshold=10.0)
+    assert out.count() == 47
+    assert out.where("y <> 'min'").count() == 0
