@@ -263,8 +263,9 @@ def oversample_minority(df: DataFrame, features: Sequence[str], label: str, mino
     one more, so the count is exact without a limit; copy r of a row uses its
     ``(r mod k')``-th neighbour.  A row without any candidate pairs with itself.
     """
-    key = F.xxhash64(*[F.col(f) for f in features], F.lit(seed))
-    m = df.where(F.col(label) == minority).withColumn("_id", key)
+    ensure_checkpoint_dir(df.sparkSession)
+    # unique row ids, fixed once by a checkpoint so every later read sees the same ids
+    m = df.where(F.col(label) == minority).withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
     n_min = m.count()
     if needed <= 0 or n_min == 0:
         return df.limit(0).select(*features, label)
