@@ -47,15 +47,17 @@ def fill_both(df: DataFrame, cols, frame: SeriesFrame = STATION_DATE,
 
 
 def days_since(df: DataFrame, observed, out: str, frame: SeriesFrame = STATION_DATE,
-               before_first: int | None = -1, also_ffill=None) -> DataFrame:
+               before_first: int | None = -1, also_ffill=None, row_index: str | None = None) -> DataFrame:
     """Days since the last row where ``observed`` holds (WIN12); ``before_first`` otherwise.
 
     ``observed`` is a boolean column (e.g. ``col.isNotNull()`` or a source flag).
-    ``also_ffill`` lists columns to forward fill in the same scan.
+    ``also_ffill`` lists columns to forward fill in the same scan; ``row_index``
+    names a series row-number column to add in the same scan (for later
+    windows via ``frame.with_index``).
     """
     order = F.col(frame.order)
     extra = {c: F.col(c) for c in _cols(also_ffill)} if also_ffill else {}
-    d = scan(df, frame, ffill={"_ds_last": F.when(observed, order), **extra})
+    d = scan(df, frame, ffill={"_ds_last": F.when(observed, order), **extra}, row_index=row_index)
     diff = F.datediff(order, F.col("_ds_last"))
     val = diff if before_first is None else F.coalesce(diff, F.lit(before_first))
     return d.withColumn(out, val.cast("int")).drop("_ds_last")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import maths as mt
 from ...functions import rules as rl
 from ...operators import fills, windows
-from ...operators.frames import SeriesFrame
+from ...operators.frames import SeriesFrame, add_index
 from ...sources import tables as tb
 from . import register
 from . import sql_round as R
@@ -84,8 +84,10 @@ def win6_rolling_mean(spark, d):
     f"{R(f'stddev_samp({c}) OVER ({W} {_rows(7)})')} AS {c}_rollstd_7d" for c in _ROLL_COLS) + " FROM panel_air")
 def win7_rolling_std(spark, d):
     a = tb.panel_air(spark, d).select("station", "date", *_ROLL_COLS)
-    a = windows.rolling(a, list(_ROLL_COLS), [30], ["std"], min_periods=7, name="{col}_rollstd_{n}d")
-    return windows.rolling(a, list(_ROLL_COLS), [7], ["std"], name="{col}_rollstd_{n}d").drop(*_ROLL_COLS)
+    a, fr = add_index(a)                      # one row index shared by both rolling passes
+    a = windows.rolling(a, list(_ROLL_COLS), [30], ["std"], fr, min_periods=7, name="{col}_rollstd_{n}d")
+    return windows.rolling(a, list(_ROLL_COLS), [7], ["std"], fr, name="{col}_rollstd_{n}d") \
+        .drop(*_ROLL_COLS, fr.index)
 
 
 _RAIN_SQL = "CAST(coalesce(sulfur_dioksida - 50 > 0, false) AS INTEGER)"
@@ -101,9 +103,10 @@ def win11_rolling_counts(spark, d):
     a = tb.panel_air(spark, d)
     a = a.select("station", "date", mt.rainy(F.col("sulfur_dioksida") - 50).alias("is_rainy"),
                  mt.above("pm_sepuluh", 100).alias("is_unhealthy"))
-    a = windows.rolling(a, ["is_rainy"], [7, 14, 30], ["sum"], name="rainy_days_{n}d")
-    a = windows.rolling(a, ["is_unhealthy"], [7, 30], ["sum"], name="unhealthy_days_{n}d")
-    return a.drop("is_unhealthy").withColumns(
+    a, fr = add_index(a)
+    a = windows.rolling(a, ["is_rainy"], [7, 14, 30], ["sum"], fr, name="rainy_days_{n}d")
+    a = windows.rolling(a, ["is_unhealthy"], [7, 30], ["sum"], fr, name="unhealthy_days_{n}d")
+    return a.drop("is_unhealthy", fr.index).withColumns(
         {c: F.col(c).cast("long") for c in ["rainy_days_7d", "rainy_days_14d", "rainy_days_30d",
                                             "unhealthy_days_7d", "unhealthy_days_30d"]})
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import densify as dz
 from ...operators import fills, windows
+from ...operators.frames import STATION_DATE
 from ...sources import tables as tb
 from . import register, rnd
 from . import sql_round as R
@@ -97,8 +98,8 @@ def flagship(spark, d):
     """Densify the sparse panel, forward fill, count staleness, 7-day mean (JN7+JN8+WIN8+WIN12+WIN6)."""
     x = dense_orders(spark, d).select("station", "date", "price_avg")
     x = fills.days_since(x.withColumn("price_ffill", F.col("price_avg")), F.col("price_avg").isNotNull(),
-                         "days_since_update", also_ffill=["price_ffill"])
-    x = windows.rolling(x, "price_ffill", [7], ["mean"], name="price_roll7")
+                         "days_since_update", also_ffill=["price_ffill"], row_index="_rn")
+    x = windows.rolling(x, "price_ffill", [7], ["mean"], STATION_DATE.with_index("_rn"), name="price_roll7")
     return x.select("station", "date", "price_avg", "price_ffill", "days_since_update", "price_roll7")
 
 
