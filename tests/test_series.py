@@ -89,3 +89,21 @@ def test_bounded_lead(spark):
     df = series(spark, [float(i) for i in range(12)])
     out = bounded(df, SeriesFrame(chunk_rows=4), lambda w: {"nxt": F.lead("v", 2).over(w)}, before=0, after=2)
     assert [r[0] for r in ordered(out, "nxt")] == [float(i + 2) for i in range(10)] + [None, None]
+
+
+def test_hot_station_spreads_over_partitions(spark):
+    """One station holding every row is still processed by many tasks."""
+    vals = [float(i) if i % 5 else None for i in range(3000)]
+    df = series(spark, vals, station="HOT")
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = fills.ffill(df, "v", SeriesFrame(bucket=32)).withColumn("pid", F.spark_partition_id())
+        parts = out.select("pid").distinct().count()
+        got = ordered(out, "v")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    assert parts > 1
+    w = Window.partitionBy("station").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    ref = ordered(df.select("station", "date", F.last("v", True).over(w).alias("v")), "v")
+    assert got == ref
