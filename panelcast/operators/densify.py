@@ -52,10 +52,18 @@ def densify(sparse: DataFrame, skeleton: DataFrame,
 
 def densify_panel(sparse: DataFrame, start=None, end=None, station: str = "station",
                   date: str = "date") -> DataFrame:
-    """Skeleton over the panel's stations and [start, end] (defaults: data bounds), then densify."""
+    """Skeleton over the panel's stations and [start, end] (defaults: data bounds), then densify.
+
+    Missing bounds come from a one-row aggregate attached to the station list
+    inside the plan (no eager job), so the panel is not computed an extra time.
+    """
+    stations = sparse.select(station).distinct()
     if start is None or end is None:
-        d0, d1 = date_bounds(sparse, date)
-        start = d0 if start is None else start
-        end = d1 if end is None else end
-    sk = date_skeleton(sparse.select(station), start, end, station, date)
+        b = sparse.agg(F.min(date).alias("_d0"), F.max(date).alias("_d1"))
+        stations = stations.withColumn("_one", F.lit(1)).join(
+            F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")   # exactly one row
+        start = F.col("_d0") if start is None else _date_lit(start)
+        end = F.col("_d1") if end is None else _date_lit(end)
+    sk = stations.select(station, F.explode(F.sequence(_date_lit(start), _date_lit(end),
+                                                       F.expr("INTERVAL 1 DAY"))).alias(date))
     return densify(sparse, sk, (station, date))
