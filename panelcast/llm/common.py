@@ -83,3 +83,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def crc_of_id(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode())
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker process, shared by its tasks."""
+    import sys
+    import types
+
+    name = "panelcast_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import langid, lookup_sharding, pu_quality
+from panelcast.llm import langid, lookup_sharding, pu_quality, spaced_seed, swap_packing
 from panelcast.llm.common import table
 
 
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -18,14 +22,22 @@ def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_sharding.place_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swap_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op3_language_id": op3_language_id,
     "op7_lookup_sharding": op7_lookup_sharding,
+    "op8_swap_packing": op8_swap_packing,
     "op10_pu_quality": op10_pu_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_spaced_seed_decontamination": spaced_seed.ORACLE_SQL,
+}
