@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import chunk_dedup, langid, lookup_sharding, pu_quality, spaced_seed, stable_ann, swap_packing
+from panelcast.llm import chunk_dedup, langid, lookup_sharding, mixing_lm, pu_quality, spaced_seed, stable_ann, swap_packing
 from panelcast.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_ann.nearest_fiftieths(table(spark, sf_dir, "embeddings"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op3_language_id": op3_language_id,
     "op4_stable_ann": op4_stable_ann,
+    "op5_context_mixing": op5_context_mixing,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_lookup_sharding": op7_lookup_sharding,
     "op8_swap_packing": op8_swap_packing,
