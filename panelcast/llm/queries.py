@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import chunk_dedup, langid, lookup_sharding, mixing_lm, pu_quality, spaced_seed, stable_ann, swap_packing
+from panelcast.llm import chunk_dedup, langid, lookup_sharding, mixing_lm, order_minhash, pu_quality, spaced_seed, stable_ann, swap_packing
 from panelcast.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return spaced_seed.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+    "op2_order_minhash": op2_order_minhash,
     "op3_language_id": op3_language_id,
     "op4_stable_ann": op4_stable_ann,
     "op5_context_mixing": op5_context_mixing,
