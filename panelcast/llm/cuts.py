@@ -1,7 +1,7 @@
 """Cutting byte spans out of documents: shared by the substring operators.
 
 A document is known by ``(__doc, __row)``: its id (null ids count as the
-largest) and 19 bits of a hash of id and text, so that repeated rows share
+largest) and 17 bits of a hash of id and text, so that repeated rows share
 their spans and rows that share an id but not a text do not.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import binary_views
 
 LAST = (1 << 63) - 1
-ROW_BITS = 19
+ROW_BITS = 17
 
 
 def keyed(docs: DataFrame) -> DataFrame:

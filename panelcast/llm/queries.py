@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import chunk_dedup, langid, lookup_sharding, mixing_lm, order_minhash, pu_quality, spaced_seed, stable_ann, swap_packing
+from panelcast.llm import chunk_dedup, langid, lookup_sharding, mixing_lm, order_minhash, pu_quality, spaced_seed, stable_ann, suffix_dedup, swap_packing
 from panelcast.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swap_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_lookup_sharding": op7_lookup_sharding,
     "op8_swap_packing": op8_swap_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pu_quality": op10_pu_quality,
 }
 
