@@ -43,13 +43,16 @@ class SeriesFrame:
 
     keys        series identity (``station`` or ``station, parameter``)
     order       ordering column, unique within a series (date, timestamp or integer)
-    bucket      width of a scan bucket in order units (days for dates/timestamps)
+    tie         second ordering column where ``order`` repeats within a series
+    bucket      width of a scan bucket in order units (64 days of dates, 64 units of
+                integers; timestamps, which may hold many rows a day: one day)
     chunk_rows  rows per chunk of a bounded window (grown to the halo if smaller)
     """
 
     keys: tuple[str, ...] = ("station",)
     order: str = "date"
-    bucket: int = 64
+    tie: str | None = None
+    bucket: int | None = None
     chunk_rows: int = 1024
     index: str | None = None
 
@@ -63,25 +66,31 @@ class SeriesFrame:
 
     def series_window(self) -> WindowSpec:
         """Plain per-series window (one task per series): for small, bounded series only."""
-        return Window.partitionBy(*self.keys).orderBy(self.order)
+        return Window.partitionBy(*self.keys).orderBy(*self.order_by)
+
+    @property
+    def order_by(self) -> list[str]:
+        return [self.order] + ([self.tie] if self.tie else [])
 
 
 STATION_DATE = SeriesFrame()
 
 
 def order_number(df: DataFrame, order: str) -> Column:
-    """The order column as a number: days for dates / timestamps, itself otherwise."""
+    """The order column as a number: days for dates, days and their fraction for timestamps, itself otherwise."""
     dtype = df.schema[order].dataType
     c = F.col(order)
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000))
+        return F.unix_micros(c.cast("timestamp")) / F.lit(86_400_000_000)
     return c.cast("long")
 
 
-def _bucket(df: DataFrame, frame: SeriesFrame) -> Column:
-    return F.floor(order_number(df, frame.order) / F.lit(frame.bucket))
+def bucket_of(df: DataFrame, frame: SeriesFrame) -> Column:
+    """The scan bucket of a row; the order inside it is that of the full columns."""
+    sub_daily = isinstance(df.schema[frame.order].dataType, (T.TimestampType, T.TimestampNTZType))
+    return F.floor(order_number(df, frame.order) / F.lit(frame.bucket or (1 if sub_daily else 64)))
 
 
 def scan(df: DataFrame, frame: SeriesFrame = STATION_DATE, *,
@@ -99,9 +108,10 @@ def scan(df: DataFrame, frame: SeriesFrame = STATION_DATE, *,
                 or before this one where the condition holds (NULL if none)
     row_index   name of a 1-based series row-number column
 
-    Plan: one hash exchange of the rows on (keys, bucket); the in-bucket
-    windows and the bucket summaries both run on that partitioning; only the
-    summaries (one row per bucket) are exchanged by series and joined back.
+    Plan: one hash exchange of the rows on (keys, bucket), read by the in-bucket
+    windows and by the bucket summaries (which ask for the same columns, so
+    that the exchange is made once); only the summaries (one row per bucket)
+    are exchanged by series and joined back.
     Output columns overwrite same-named input columns.
     """
     specs = {"f": dict(ffill or {}), "b": dict(bfill or {}), "s": dict(cumsum or {}),
@@ -113,11 +123,12 @@ def scan(df: DataFrame, frame: SeriesFrame = STATION_DATE, *,
             tmp[(kind, out)] = f"_pc_{kind}{i}"
     if not tmp and not row_index:
         return df
-    d = df.select("*", _bucket(df, frame).alias("_pc_b"), order_number(df, frame.order).alias("_pc_o"),
+    d = df.select("*", bucket_of(df, frame).alias("_pc_b"),
                   *[specs[k][out].alias(name) for (k, out), name in tmp.items()])
     d = d.repartition(*keys, "_pc_b")
+    rows = d   # what both readers of the exchange start from
 
-    wi = Window.partitionBy(*keys, "_pc_b").orderBy("_pc_o")
+    wi = Window.partitionBy(*keys, "_pc_b").orderBy(*frame.order_by)
     fwd = wi.rowsBetween(UNB_PRE, 0)
     bwd = wi.rowsBetween(0, UNB_FOL)
     d = d.withColumn("_pc_r", F.row_number().over(wi))
@@ -134,18 +145,23 @@ def scan(df: DataFrame, frame: SeriesFrame = STATION_DATE, *,
             part[name + "_i"] = F.last(F.when(c, F.col("_pc_r")), True).over(fwd)
     d = d.withColumns(part) if part else d
 
-    aggs = [F.count(F.lit(1)).alias("_pc_n")]
+    at = F.struct(*frame.order_by)
+    # every column takes part in the mark, so the exchange below is the one the windows read
+    hashed = [c for c, t in rows.dtypes if "map<" not in t and t != "variant"]
+    aggs = [F.count(F.lit(1)).alias("_pc_n"), F.max(F.xxhash64(*[F.col(f"`{c}`") for c in hashed])).alias("_pc_mark")]
+    has_last = any(k == "l" for k, _ in tmp)
+    src = rows.withColumn("_pc_r", F.row_number().over(wi)) if has_last else rows
     for (k, out), name in tmp.items():
         c = F.col(name)
         if k == "f":
-            aggs.append(F.max_by(c, F.when(c.isNotNull(), F.col("_pc_o"))).alias(name))
+            aggs.append(F.max_by(c, F.when(c.isNotNull(), at)).alias(name))
         elif k == "b":
-            aggs.append(F.min_by(c, F.when(c.isNotNull(), F.col("_pc_o"))).alias(name))
+            aggs.append(F.min_by(c, F.when(c.isNotNull(), at)).alias(name))
         elif k == "s":
             aggs.append(F.sum(c).alias(name))
         else:
             aggs.append(F.max(F.when(c, F.col("_pc_r"))).alias(name))
-    summ = d.groupBy(*keys, "_pc_b").agg(*aggs)
+    summ = src.groupBy(*keys, "_pc_b").agg(*aggs).where(F.col("_pc_mark").isNotNull())
 
     wb = Window.partitionBy(*keys).orderBy("_pc_b")
     before, after = wb.rowsBetween(UNB_PRE, -1), wb.rowsBetween(1, UNB_FOL)

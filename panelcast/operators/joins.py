@@ -1,10 +1,9 @@
 """Panel joins (JN1-JN6, JN9, JN10, JN14-JN16, PRJ10).
 
 Panels join on the full key (station, date), so a hot station still spreads
-over all partitions.  Broadcasts are used for fixed dimensions (calendar days,
-station lists, one-row parameter tables) and otherwise only behind
-:func:`broadcast_if_small`, which counts rows first and falls back to a
-shuffle join beyond the bound.
+over all partitions.  How a dimension is joined is left to the planner, which
+knows its size in bytes when it runs; only one-row parameter tables are
+broadcast by hint.
 """
 
 from __future__ import annotations
@@ -21,13 +20,6 @@ from .quantiles import quantiles
 PANEL_KEYS = ("station", "date")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged
-    (the planner / AQE then picks a shuffle join).  Costs one counting job."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def drop_colliding(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Right side without the non-key columns the left already has (PRJ10: left wins)."""
     taken = set(left.columns)
@@ -47,16 +39,16 @@ def join_panels(spine: DataFrame, others: Sequence[DataFrame], keys: Sequence[st
     return out
 
 
-def join_by_date(panel: DataFrame, calendar: DataFrame, date: str = "date", max_rows: int = 200_000) -> DataFrame:
+def join_by_date(panel: DataFrame, calendar: DataFrame, date: str = "date") -> DataFrame:
     """Date-only left join of a calendar onto every station (JN2).  A calendar has
-    one row per day, so it is broadcast when within ``max_rows`` days."""
+    one row per day."""
     cal = drop_colliding(panel, calendar, [date])
-    return panel.join(broadcast_if_small(cal, max_rows), date, "left")
+    return panel.join(cal, date, "left")
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, on: str | Sequence[str], max_rows: int = 1_000_000) -> DataFrame:
+def lookup_join(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Dimension lookup left join (JN4)."""
-    return df.join(broadcast_if_small(drop_colliding(df, dim, [on] if isinstance(on, str) else on), max_rows),
+    return df.join(drop_colliding(df, dim, [on] if isinstance(on, str) else on),
                    on, "left")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .aggregates import attach_params
-from .frames import STATION_DATE, SeriesFrame, bounded, scan
+from .frames import STATION_DATE, SeriesFrame, bounded
 from .quantiles import kth_smallest
 
 # Booster settings of the reference forecaster.
@@ -34,11 +34,11 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], frac: float
                      out: str = "is_train") -> DataFrame:
     """Seeded stratified split (ML5): per class, the ``floor(frac * n_c)`` rows with the
     smallest ``xxhash64(key, seed)`` train.  The per-class cut is the exact k-th
-    smallest hash (bracketed ranks), so no class is ranked in one task."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed)).cast("double")
+    smallest 64-bit hash, so no class is ranked in one task."""
+    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
     d = df.withColumn("_h", h)
     cut = kth_smallest(d, "_h", [label], F.floor(F.col("n") * frac), out="_cut")
-    j = d.join(F.broadcast(cut), label, "left")
+    j = d.join(cut, label, "left")
     return j.withColumn(out, F.coalesce((F.col("_h") <= F.col("_cut")).cast("int"), F.lit(0))).drop("_h", "_cut")
 
 
@@ -252,16 +252,18 @@ def fill_features(train: DataFrame, others: Sequence[DataFrame], features: Seque
 
 
 def oversample_minority(df: DataFrame, features: Sequence[str], label: str, minority: str, needed: int,
-                        k: int = 2, seed: int = 42, bucket_length: float = 2.0, threshold: float = 5.0) -> DataFrame:
+                        k: int = 2, seed: int = 42, bucket_length: float = 2.0) -> DataFrame:
     """Exactly ``needed`` synthetic minority rows ``a + u (b - a)`` between a row and one
     of its k nearest same-class neighbours (ML14).
 
     Neighbours come from ``BucketedRandomProjectionLSH`` candidate pairs, so only
     rows sharing a hash bucket are compared; per row the k closest candidates
-    are kept (a window per row, bounded by its bucket).  Every minority row gets
+    are kept, at whatever distance.  Rows with fewer than k candidates are
+    searched again with buckets four times as long, until every row has k (or
+    all there are).  Every minority row gets
     ``needed // n`` copies and the rows under an exact hash cut (``kth_smallest``)
     one more, so the count is exact without a limit; copy r of a row uses its
-    ``(r mod k')``-th neighbour.  A row without any candidate pairs with itself.
+    ``(r mod k')``-th neighbour.  A row that is alone in its class pairs with itself.
     """
     ensure_checkpoint_dir(df.sparkSession)
     # unique row ids, fixed once by a checkpoint so every later read sees the same ids
@@ -270,15 +272,28 @@ def oversample_minority(df: DataFrame, features: Sequence[str], label: str, mino
     if needed <= 0 or n_min == 0:
         return df.limit(0).select(*features, label)
     m = assemble(features, "_v").transform(m)
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hash", bucketLength=bucket_length,
-                                      numHashTables=3, seed=seed).fit(m)
-    pairs = lsh.approxSimilarityJoin(m, m, threshold, distCol="_dist").where(F.col("datasetA._id") != F.col("datasetB._id"))
-    pairs = pairs.select(F.col("datasetA._id").alias("_a"), F.col("datasetB._id").alias("_b"), "_dist")
-    w = Window.partitionBy("_a").orderBy("_dist", "_b")
-    nb = pairs.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") <= k)
+    want = min(k, n_min - 1)
+    todo, nb = m, None
+    while want > 0:
+        lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hash", bucketLength=bucket_length,
+                                          numHashTables=3, seed=seed).fit(m)
+        pairs = lsh.approxSimilarityJoin(todo, m, float("inf"), distCol="_dist").where(
+            F.col("datasetA._id") != F.col("datasetB._id"))
+        pairs = pairs.select(F.col("datasetA._id").alias("_a"), F.col("datasetB._id").alias("_b"), "_dist")
+        w = Window.partitionBy("_a").orderBy("_dist", "_b")
+        got = pairs.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") <= k).checkpoint(eager=True)
+        full = got.where(F.col("_nr") == want).select("_a")
+        got = got.join(full, "_a", "left_semi")
+        nb = got if nb is None else nb.unionByName(got)
+        todo = todo.join(full, F.col("_id") == F.col("_a"), "left_anti").checkpoint(eager=True)
+        if todo.isEmpty():
+            break
+        bucket_length *= 4
+    if nb is None:
+        nb = m.select(F.col("_id").alias("_a"), F.col("_id").alias("_b"), F.lit(0.0).alias("_dist"), F.lit(1).alias("_nr"))
     nb = nb.groupBy("_a").agg(F.sort_array(F.collect_list(F.struct("_nr", "_b"))).alias("_nbs"))
     base, extra = divmod(needed, n_min)
-    rows = m.select(F.col("_id").alias("_a"), *features).withColumn("_hh", F.xxhash64("_a", F.lit(seed + 1)).cast("double"))
+    rows = m.select(F.col("_id").alias("_a"), *features).withColumn("_hh", F.xxhash64("_a", F.lit(seed + 1)))
     if extra:
         cut = kth_smallest(rows, "_hh", [], extra, out="_cut")
         rows = attach_params(rows, cut).withColumn("_reps", F.lit(base) + (F.col("_hh") <= F.col("_cut")).cast("int"))
@@ -293,8 +308,3 @@ def oversample_minority(df: DataFrame, features: Sequence[str], label: str, mino
     u = (F.abs(F.xxhash64("_a", "_b", "_rep", F.lit(seed))) % 1_000_000) / F.lit(1_000_000.0)
     return j.select(*[(F.col(f) + u * (F.coalesce(F.col(f"_o_{f}"), F.col(f)) - F.col(f))).alias(f) for f in features],
                     F.lit(minority).alias(label))
-
-
-def scan_cumulative(df: DataFrame, col: str, frame: SeriesFrame = STATION_DATE, out: str | None = None) -> DataFrame:
-    """Running sum per series (helper for drift / noise day indices)."""
-    return scan(df, frame, cumsum={out or f"{col}_cum": F.col(col)})

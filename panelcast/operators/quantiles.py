@@ -4,19 +4,17 @@
 a station's few thousand days, fatal for a group holding a third of a large
 table (or for one global threshold).  ``quantiles`` keeps the result exact
 (linear interpolation between the closest ranks, like pandas ``quantile`` and
-Spark ``percentile``) but only ever ranks a small bracket of each group:
-
-1. per (group, column): ``n`` and the 0-based target ranks ``k0 = floor(p(n-1))``,
-   ``k1 = ceil(p(n-1))``;
-2. a bracket ``[lo, hi]`` per target starts unbounded with ``below = 0``
-   values under it; while a bracket holds more than ``max_rows`` values, a
-   mergeable ``percentile_approx`` sketch of the bracket's values narrows it
-   around the target rank and ``below`` is recounted;
-3. the final brackets are ranked with a window (bounded by ``max_rows``) and
-   the two ranks are interpolated.
-
-Each refinement round scans the candidate rows once; the bracket tables are
-small and are checkpointed to the shared checkpoint folder to cut lineage.
+Spark ``percentile``) with one lazy plan, the same at every size:
+
+1. rows become ``(keys, value, count)`` by a partial aggregation, so ties are
+   one row however many they are;
+2. a mergeable sketch of each group's distinct values (``percentile_approx``
+   on a fixed grid) cuts them into ``GRID + 1`` ranges of about equal size;
+3. the ranges' counts, prefix-summed per group (at most ``GRID + 1`` rows),
+   name the range that holds each target rank;
+4. only these ranges are ranked, each by itself, and the two closest ranks are
+   interpolated.
+
 ``method='approx'`` returns ``percentile_approx`` directly.
 """
 
@@ -27,21 +25,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+
+#: Range borders per group; one less than a power of two, for the binary search.
+GRID = 255
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    if len(cols) == 1:
-        x = df.select(*by, F.lit(cols[0]).alias("_q_col"), F.col(cols[0]).cast("double").alias("_q_v"))
-    else:
-        x = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-            list(by), list(cols), "_q_col", "_q_v")
+    """(by, _q_col, _q_v) without NULLs; unpivoted even for one column, so that the name is a key, not a constant."""
+    x = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(by), list(cols), "_q_col", "_q_v")
     return x.where(F.col("_q_v").isNotNull())
 
 
 def quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", accuracy: int = 10_000, max_rows: int = 1_000_000,
-              name: str = "{col}_q{p}", max_rounds: int = 6) -> DataFrame:
+              method: str = "exact", accuracy: int = 10_000, name: str = "{col}_q{p}") -> DataFrame:
     """One row per group of ``by`` with a column per (col, prob).
 
     Column names default to ``{col}_q{p}`` with ``p`` as given (e.g. ``x_q0.5``);
@@ -56,7 +52,7 @@ def quantiles(df: DataFrame, cols: Sequence[str] | str, probs: Sequence[float],
         res = long.groupBy(*keys).agg(F.percentile_approx("_q_v", probs, accuracy).alias("_q_a"))
         res = res.select(*keys, *[F.col("_q_a")[i].alias(f"_q_{i}") for i in range(len(probs))])
     else:
-        res = _exact(long, keys, probs, accuracy, max_rows, max_rounds)
+        res = _exact(long, keys, probs, accuracy)
     return _wide(res, by, cols, probs, name)
 
 
@@ -68,109 +64,69 @@ def _wide(res: DataFrame, by, cols, probs, name) -> DataFrame:
     return res.agg(*aggs)
 
 
-def _exact(long: DataFrame, keys, probs, accuracy, max_rows, max_rounds) -> DataFrame:
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q_n"))
-    pv = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                             for i, p in enumerate(probs)]))
-    t = (n.select(*keys, "_q_n", pv.alias("_q_pp"))
-          .select(*keys, "_q_n", F.col("_q_pp.i").alias("_q_i"), F.col("_q_pp.p").alias("_q_p")))
-    pos = F.col("_q_p") * (F.col("_q_n") - 1)
-    t = t.select(*keys, "_q_i", "_q_n", F.floor(pos).alias("_q_k0"), F.ceil(pos).alias("_q_k1"),
-                 (pos - F.floor(pos)).alias("_q_f"))
-    val = _select_ranks(long, keys, t, accuracy, max_rows, max_rounds)
+def _exact(long: DataFrame, keys, probs, accuracy) -> DataFrame:
+    def targets(n):
+        out = []
+        for i, p in enumerate(probs):
+            pos = F.lit(float(p)) * (n - 1)
+            out.append(F.struct(F.lit(i).alias("i"), F.floor(pos).cast("long").alias("k0"),
+                                F.ceil(pos).cast("long").alias("k1"), (pos - F.floor(pos)).alias("f")))
+        return F.array(*out)
+
+    at = _select_ranks(long, keys, targets, accuracy)
+    # equal neighbours stand as they are (infinities have no difference)
+    val = at.withColumn("_q_x", F.when(F.col("_q_v0") == F.col("_q_v1"), F.col("_q_v0")).otherwise(
+        (F.col("_q_v1") - F.col("_q_v0")) * F.col("_q_f") + F.col("_q_v0")))
     return val.groupBy(*keys).agg(*[F.first(F.when(F.col("_q_i") == i, F.col("_q_x")), True).alias(f"_q_{i}")
                                     for i in range(len(probs))])
 
 
-def kth_smallest(df: DataFrame, col: str, by: Sequence[str], k, accuracy: int = 10_000,
-                 max_rows: int = 1_000_000, out: str = "kth") -> DataFrame:
+def kth_smallest(df: DataFrame, col: str, by: Sequence[str], k, accuracy: int = 10_000, out: str = "kth") -> DataFrame:
     """Per group of ``by``: the ``k``-th smallest value of ``col`` (1-based; ``k`` is a
-    column expression that may use ``n``, the group's non-NULL count).  Same
-    bracketing as :func:`quantiles`, so a huge group is never ranked whole."""
+    column expression that may use ``n``, the group's non-NULL count).  Same plan
+    as :func:`quantiles`; the column keeps its type.  Groups in which ``k`` is out of range give no row."""
     by = list(by)
     keys = by + ["_q_col"]
-    long = _long(df, [col], by)
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q_n"))
-    kk = (k if not isinstance(k, int) else F.lit(k))
-    t = n.withColumn("n", F.col("_q_n")).select(*keys, F.lit(0).alias("_q_i"), "_q_n",
-                                                 (kk - 1).cast("long").alias("_q_k0"),
-                                                 (kk - 1).cast("long").alias("_q_k1"), F.lit(0.0).alias("_q_f"))
-    t = t.where((F.col("_q_k0") >= 0) & (F.col("_q_k0") < F.col("_q_n")))
-    val = _select_ranks(long, keys, t, accuracy, max_rows, max_rounds=6)
-    return val.select(*by, F.col("_q_x").alias(out))
-
-
-def _select_ranks(long: DataFrame, keys, t: DataFrame, accuracy, max_rows, max_rounds) -> DataFrame:
-    """Values at 0-based ranks ``_q_k0`` / ``_q_k1`` interpolated by ``_q_f`` per (keys, _q_i)."""
-    spark = long.sparkSession
-    t = t.select(*keys, "_q_i", "_q_n", "_q_k0", "_q_k1", "_q_f",
-                 F.lit(None).cast("double").alias("_q_lo"), F.lit(None).cast("double").alias("_q_hi"),
-                 F.lit(0).cast("long").alias("_q_below"))
-    # the target table is small (groups x probabilities): materialise it once, so the
-    # size check and the final ranking do not both recount the groups upstream
-    ensure_checkpoint_dir(spark)
-    t = t.checkpoint(eager=True)
-
-    def candidates(tt: DataFrame) -> DataFrame:
-        j = long.join(tt, keys)
-        inside = ((F.col("_q_lo").isNull() | (F.col("_q_v") >= F.col("_q_lo")))
-                  & (F.col("_q_hi").isNull() | (F.col("_q_v") <= F.col("_q_hi"))))
-        return j.where(inside)
-
-    refined = False
-    for rnd in range(max_rounds):
-        if rnd == 0:
-            # the first bracket is the whole group: its size is the group count
-            biggest = t.agg(F.max("_q_n")).first()[0]
-            if biggest is None or biggest <= max_rows:
-                break
-        refined = True
-        cand = candidates(t)
-        size = cand.groupBy(*keys, "_q_i").agg(F.count(F.lit(1)).alias("_q_m"))
-        if rnd > 0:
-            biggest = size.agg(F.max("_q_m")).first()[0]
-            if biggest is None or biggest <= max_rows:
-                break
-        # narrow every bracket that is still too large around its two target ranks
-        rel0 = (F.col("_q_k0") - F.col("_q_below")) / F.greatest(F.col("_q_m") - 1, F.lit(1))
-        rel1 = (F.col("_q_k1") - F.col("_q_below")) / F.greatest(F.col("_q_m") - 1, F.lit(1))
-        slack = F.lit(4.0 / accuracy)
-        # percentile_approx takes literal probabilities: sketch each oversized
-        # bracket on a fixed grid and keep the grid points around the targets.
-        grid = [i / 512 for i in range(513)]
-        sk = (cand.join(size.where(F.col("_q_m") > max_rows), keys + ["_q_i"])
-                  .groupBy(*keys, "_q_i").agg(F.percentile_approx("_q_v", grid, accuracy).alias("_q_g")))
-        nt = t.join(size, keys + ["_q_i"], "left").join(sk, keys + ["_q_i"], "left")
-        g_lo = F.greatest(F.floor((rel0 - slack) * 512), F.lit(0)).cast("int")
-        g_hi = F.least(F.ceil((rel1 + slack) * 512), F.lit(512)).cast("int")
-        new_lo = F.when(F.col("_q_g").isNotNull() & (g_lo > 0), F.get(F.col("_q_g"), g_lo)).otherwise(F.col("_q_lo"))
-        new_hi = F.when(F.col("_q_g").isNotNull() & (g_hi < 512), F.get(F.col("_q_g"), g_hi)).otherwise(F.col("_q_hi"))
-        nt = nt.select(*keys, "_q_i", "_q_n", "_q_k0", "_q_k1", "_q_f", F.col("_q_lo").alias("_q_lo_old"),
-                       new_lo.alias("_q_lo"), new_hi.alias("_q_hi"), "_q_below")
-        # values between the old and the new lower bound move into ``below``
-        moved = (long.join(nt, keys)
-                     .where((F.col("_q_lo_old").isNull() | (F.col("_q_v") >= F.col("_q_lo_old")))
-                            & F.col("_q_lo").isNotNull() & (F.col("_q_v") < F.col("_q_lo")))
-                     .groupBy(*keys, "_q_i").agg(F.count(F.lit(1)).alias("_q_mv")))
-        t = (nt.join(moved, keys + ["_q_i"], "left")
-               .select(*keys, "_q_i", "_q_n", "_q_k0", "_q_k1", "_q_f", "_q_lo", "_q_hi",
-                       (F.col("_q_below") + F.coalesce(F.col("_q_mv"), F.lit(0))).alias("_q_below")))
-        ensure_checkpoint_dir(spark)
-        t = t.checkpoint(eager=True)
-
-    if not refined:
-        # every group fits the bound: rank each group once and pick all target ranks
-        need = t.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(F.array("_q_k0", "_q_k1"))))
-                                    .alias("_q_need"))
-        w = Window.partitionBy(*keys).orderBy("_q_v")
-        ranked = long.withColumn("_q_r", F.row_number().over(w) - 1).join(need, keys) \
-                     .where(F.array_contains("_q_need", F.col("_q_r"))).drop("_q_need")
-        picked = ranked.join(t, keys).where((F.col("_q_r") == F.col("_q_k0")) | (F.col("_q_r") == F.col("_q_k1")))
-    else:
-        cand = candidates(t)
-        w = Window.partitionBy(*keys, "_q_i").orderBy("_q_v")
-        ranked = cand.withColumn("_q_r", F.col("_q_below") + F.row_number().over(w) - 1)
-        picked = ranked.where((F.col("_q_r") == F.col("_q_k0")) | (F.col("_q_r") == F.col("_q_k1")))
-    val = picked.groupBy(*keys, "_q_i", "_q_f").agg(
-        F.min_by("_q_v", "_q_r").alias("_q_v0"), F.max_by("_q_v", "_q_r").alias("_q_v1"))
-    return val.select(*keys, "_q_i", ((F.col("_q_v1") - F.col("_q_v0")) * F.col("_q_f") + F.col("_q_v0")).alias("_q_x"))
+    long = df.select(*by, F.col(col).alias(col)).unpivot(by, [col], "_q_col", "_q_v").where(F.col("_q_v").isNotNull())
+    kk = k if not isinstance(k, int) else F.lit(k)
+
+    def targets(_):
+        rank = (kk - 1).cast("long")
+        return F.array(F.struct(F.lit(0).alias("i"), rank.alias("k0"), rank.alias("k1"), F.lit(None).cast("double").alias("f")))
+
+    val = _select_ranks(long, keys, targets, accuracy)
+    return val.select(*by, F.col("_q_v0").alias(out))
+
+
+def _ranges(long: DataFrame, keys, accuracy) -> DataFrame:
+    """Distinct values: (keys, _q_v, _q_c, n, _q_b) with their count, the group's size and the number of their range."""
+    counts = long.groupBy(*keys, "_q_v").agg(F.count(F.lit(1)).alias("_q_c"))
+    grid = [(i + 1) / (GRID + 1) for i in range(GRID)]
+    sketch = counts.groupBy(*keys).agg(F.percentile_approx("_q_v", grid, accuracy).alias("_q_g"), F.sum("_q_c").alias("n"))
+    x = counts.join(sketch, keys).withColumn("_q_b", F.lit(0))
+    step = (GRID + 1) // 2
+    while step:   # binary search of the first border that is not below the value
+        x = x.withColumn("_q_b", F.col("_q_b") + F.when(F.get("_q_g", F.col("_q_b") + F.lit(step - 1)) < F.col("_q_v"), step).otherwise(0))
+        step //= 2
+    return x.drop("_q_g")
+
+
+def _select_ranks(long: DataFrame, keys, targets, accuracy) -> DataFrame:
+    """Values ``_q_v0``, ``_q_v1`` at the 0-based ranks ``k0``, ``k1`` of ``targets(n)``, and ``_q_f``."""
+    x = _ranges(long, keys, accuracy)
+    hist = x.groupBy(*keys, "_q_b").agg(F.sum("_q_c").alias("_q_m"), F.first("n").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_q_below", F.coalesce(F.sum("_q_m").over(before), F.lit(0)))
+    t = F.col("_q_t")
+    side = lambda s, k: F.struct(t["i"].alias("i"), F.lit(s).alias("s"), (t[k] - F.col("_q_below")).alias("r"), t["f"].alias("f"))
+    need = hist.withColumn("_q_t", F.explode(targets(F.col("n")))).select(
+        *keys, "_q_b", "_q_m", F.explode(F.array(side(0, "k0"), side(1, "k1"))).alias("_q_n")).select(
+        *keys, "_q_b", "_q_m", F.col("_q_n.i").alias("_q_i"), F.col("_q_n.s").alias("_q_s"), F.col("_q_n.r").alias("_q_r"),
+        F.col("_q_n.f").alias("_q_f")).where((F.col("_q_r") >= 0) & (F.col("_q_r") < F.col("_q_m"))).drop("_q_m")
+    upto = Window.partitionBy(*keys, "_q_b").orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = x.join(need.select(*keys, "_q_b").distinct(), [*keys, "_q_b"], "left_semi").withColumn("_q_hi", F.sum("_q_c").over(upto))
+    got = inside.join(need, [*keys, "_q_b"]).where(
+        (F.col("_q_r") < F.col("_q_hi")) & (F.col("_q_r") >= F.col("_q_hi") - F.col("_q_c")))
+    low, high = (F.max(F.when(F.col("_q_s") == s, F.col("_q_v"))) for s in (0, 1))
+    val = got.groupBy(*keys, "_q_i").agg(low.alias("_q_v0"), high.alias("_q_v1"), F.max("_q_f").alias("_q_f"))
+    return val.select(*keys, "_q_i", "_q_v0", "_q_v1", "_q_f")

@@ -11,7 +11,7 @@ grow with the data.  Neither join pairs every point with every edge:
   cells around each point, growing the ring until the best distance found is
   provably the global minimum (``d <= r * cell``).
 
-The edge tables are broadcast only behind a row-count check.
+How the edge tables are joined is left to the planner.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .joins import broadcast_if_small
 
 
 def _bbox(edges: DataFrame) -> tuple[float, float, float, float]:
@@ -39,7 +38,7 @@ def crosses(px: Column, py: Column) -> Column:
 
 
 def within(points: DataFrame, edges: DataFrame, pid: str = "id", x: str = "x", y: str = "y",
-           bands: int = 64, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+           bands: int = 64) -> DataFrame:
     """``(pid, region)`` for every point strictly inside a region (JN12)."""
     x0, x1, y0, y1 = _bbox(edges)
     h = (y1 - y0) / bands if y1 > y0 else 1.0
@@ -49,7 +48,7 @@ def within(points: DataFrame, edges: DataFrame, pid: str = "id", x: str = "x", y
     pts = points.select(F.col(pid).alias("_pid"), F.col(x).alias("_px"), F.col(y).alias("_py")) \
                 .where((F.col("_py") >= y0) & (F.col("_py") <= y1) & (F.col("_px") <= x1)) \
                 .withColumn("_band", band_of(F.col("_py")))
-    j = pts.join(broadcast_if_small(eb, max_broadcast_rows), "_band")
+    j = pts.join(eb, "_band")
     hits = j.where(crosses(F.col("_px"), F.col("_py")))
     par = hits.groupBy("_pid", "region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") % 2 == 1)
     return par.select(F.col("_pid").alias(pid), "region")
@@ -67,7 +66,7 @@ def segment_distance(px: Column, py: Column) -> Column:
 
 
 def nearest(points: DataFrame, edges: DataFrame, counts: DataFrame | None = None, pid: str = "id",
-            x: str = "x", y: str = "y", grid: int = 32, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+            x: str = "x", y: str = "y", grid: int = 32) -> DataFrame:
     """``(pid, region, distance)``: the region with the nearest boundary (JN13).
 
     Ties are broken by the region's initial point count (fewer first) and then
@@ -81,7 +80,6 @@ def nearest(points: DataFrame, edges: DataFrame, counts: DataFrame | None = None
     ec = edges.select("region", "x1", "y1", "x2", "y2",
                       F.explode(F.sequence(cx(F.least("x1", "x2")), cx(F.greatest("x1", "x2")))).alias("_cx"))
     ec = ec.select("*", F.explode(F.sequence(cy(F.least("y1", "y2")), cy(F.greatest("y1", "y2")))).alias("_cy"))
-    ec = broadcast_if_small(ec, max_broadcast_rows)
     cnt = counts if counts is not None else edges.select("region").distinct().withColumn("n", F.lit(0))
     cnt = cnt.select("region", F.col(cnt.columns[1]).cast("long").alias("_cnt"))
 

@@ -8,12 +8,14 @@ exchange, one sort), however many columns and widths are asked for.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import STATION_DATE, SeriesFrame, bounded, order_number, scan
+from .frames import STATION_DATE, SeriesFrame, bounded, bucket_of, scan
 
 
 def _cols(cols) -> list[str]:
@@ -143,7 +145,7 @@ def last_rows(df: DataFrame, n: int, frame: SeriesFrame = STATION_DATE) -> DataF
     latest ``n`` of those per series, so no task sorts a whole series.
     """
     keys = list(frame.keys)
-    d = df.withColumn("_lr_b", F.floor(order_number(df, frame.order) / F.lit(frame.bucket)))
+    d = df.withColumn("_lr_b", bucket_of(df, frame))
     w1 = Window.partitionBy(*keys, "_lr_b").orderBy(F.col(frame.order).desc())
     d = d.withColumn("_lr", F.row_number().over(w1)).filter(F.col("_lr") <= n)
     w2 = Window.partitionBy(*keys).orderBy(F.col(frame.order).desc())
@@ -190,21 +192,50 @@ def rank_top(df: DataFrame, score: Column | str, n: int | None = None, out: str
     return d.filter(F.col(out) <= n) if n else d
 
 
-def ar_noise(df: DataFrame, sigma: Column, frame: SeriesFrame = STATION_DATE, phi: float = 0.9,
-             seed: int = 42, out: str = "noise") -> DataFrame:
-    """Mean-reverting noise ``v_i = phi * v_{i-1} + e_i`` per series (WIN21).
+def hash_draws(frame: SeriesFrame, seed: int = 42) -> Column:
+    """Standard normal draws (Box-Muller from two hashes of series, order and seed), independent of partitioning."""
+    keys, o = [F.col(k) for k in frame.keys], F.col(frame.order).cast("string")
+    uniform = lambda s: F.pmod(F.xxhash64(*keys, o, F.lit(s)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.sqrt(-2 * F.log(1 - uniform(seed))) * F.cos(2 * F.pi() * uniform(seed + 1))
+
+
+def mean_reverting_noise(forecast: DataFrame, draws: Column, sigma: Column, frame: SeriesFrame = STATION_DATE,
+                         phi: float = 0.9, out: str = "noise") -> DataFrame:
+    """Noise of forecast rows (WIN21): ``v_1 = 0``, ``v_i = phi * v_{i-1} + sigma * draw_i`` per series.
 
-    Closed form ``v_i = phi^i * sum_{j<=i} phi^{-j} e_j`` as a running sum (scan),
-    with ``e_j ~ N(0, sigma)`` drawn by Box-Muller from two hashes of (series,
-    order, seed), so the draw does not depend on partitioning.  Suitable for
-    horizons of a few hundred steps (``phi^-i`` grows).
+    Rows are cut into runs of ``STEP`` rows.  Within a run the recursion is a
+    running sum scaled by powers of ``phi`` that stay small; the run's last value
+    is carried to the following runs with ``phi^STEP`` per run, so no series is
+    too long.  Carries from so many runs back that their weight is below the
+    precision of a double are left out.
+    """
+    step = 64
+    d = scan(forecast.withColumn("_an_e", F.when(F.lit(True), draws * sigma)), frame, row_index="_an_i")
+    d = d.withColumn("_an_e", F.when(F.col("_an_i") == 1, F.lit(0.0)).otherwise(F.coalesce(F.col("_an_e"), F.lit(0.0))))
+    d = d.withColumns({"_an_c": F.floor((F.col("_an_i") - 1) / step), "_an_p": (F.col("_an_i") - 1) % step})
+    keys = list(frame.keys)
+    run = Window.partitionBy(*keys, "_an_c").orderBy("_an_i").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_an_v", F.pow(F.lit(phi), F.col("_an_p")) * F.sum(F.col("_an_e") * F.pow(F.lit(phi), -F.col("_an_p"))).over(run))
+    ends = d.where(F.col("_an_p") == step - 1).select(*keys, "_an_c", "_an_v")
+    depth = 2 + int(40 / (-step * math.log10(phi)))
+    # each run's end reaches the next `depth` runs
+    carry = ends.select(*keys, "_an_v", "_an_c", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("_an_k")).groupBy(
+        *keys, (F.col("_an_c") + F.col("_an_k")).alias("_an_c")).agg(
+        F.sum(F.col("_an_v") * F.pow(F.lit(phi), (F.col("_an_k") - 1) * step)).alias("_an_in"))
+    d = d.join(carry, [*keys, "_an_c"], "left")
+    v = F.col("_an_v") + F.coalesce(F.col("_an_in"), F.lit(0.0)) * F.pow(F.lit(phi), F.col("_an_p") + 1)
+    return d.withColumn(out, v).drop("_an_e", "_an_i", "_an_c", "_an_p", "_an_v", "_an_in")
+
+
+def noisy_forecast(forecast: DataFrame, value: str, history_volatility: DataFrame, draws: Column,
+                   frame: SeriesFrame = STATION_DATE, share: float = 0.3, out: str | None = None) -> DataFrame:
+    """``value`` of every forecast row: its series' first prediction plus mean-reverting noise, at least 0 (WIN21).
+
+    ``history_volatility`` is one row with ``sigma``, the mean of the stations' standard deviations.
     """
-    keys = [F.col(k) for k in frame.keys]
-    o = F.col(frame.order).cast("string")
-    u1 = (F.abs(F.xxhash64(*keys, o, F.lit(seed))) % F.lit(1 << 30) + 1) / F.lit(float(1 << 30) + 1)
-    u2 = (F.abs(F.xxhash64(*keys, o, F.lit(seed + 1))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    e = F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.pi() * u2) * sigma
-    d = scan(df.withColumn("_an_e", e), frame, row_index="_an_i")
-    i = F.col("_an_i") - 1
-    d = scan(d, frame, cumsum={"_an_s": F.col("_an_e") * F.pow(F.lit(phi), -i)})
-    return d.withColumn(out, F.pow(F.lit(phi), i) * F.col("_an_s")).drop("_an_e", "_an_i", "_an_s")
+    one = history_volatility.select((F.col("sigma") * F.lit(share)).alias("_nf_s"))
+    x = forecast.join(F.broadcast(one), how="cross")  # a single row by construction
+    x = mean_reverting_noise(x, draws, F.col("_nf_s"), frame, out="_nf_v")
+    first = forecast.groupBy(*frame.keys).agg(F.min_by(value, frame.order).alias("_nf_b"))
+    x = x.join(first, list(frame.keys))
+    return x.withColumn(out or value, F.greatest(F.col("_nf_b") + F.col("_nf_v"), F.lit(0.0))).drop("_nf_s", "_nf_v", "_nf_b")

@@ -1,8 +1,8 @@
 """Registered queries: one Spark builder and (where SQL can say it) one DuckDB oracle each.
 
 Every query reads the driver's tables (``sf_dir``) or data Spark derives from
-them, so its work grows with the tables.  Doubles are rounded to 4 digits on
-both sides, counts are BIGINT, flags INTEGER, days DATE.
+them, so its work grows with the tables.  Doubles are compared as they are,
+counts are BIGINT, flags INTEGER, days DATE.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -39,39 +37,15 @@ def register(name: str, sql: str | None = None, note: str = ""):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
 
-        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(spark, sf_dir))
-
-        REGISTRY[name] = Query(name, build, sql, note)
+        REGISTRY[name] = Query(name, fn, sql, note)
         return fn
 
     return deco
 
 
-def spark_round(c, digits: int = 4):
-    """``floor(x * 10^d + 0.5005) / 10^d``: the same IEEE operations as :func:`sql_round`.
-
-    Averages of 2-decimal values land exactly on half units; engines break such
-    ties differently with ``round``.  One explicit formula on both sides gives
-    identical doubles for identical inputs.
-    """
-    scale = float(10 ** digits)
-    return (F.floor(c * F.lit(scale) + F.lit(0.5005)) / F.lit(scale)).cast("double")
-
-
-def sql_round(expr: str, digits: int = 4) -> str:
-    return f"floor(({expr}) * {float(10 ** digits)} + 0.5005) / {float(10 ** digits)}"
-
-
-def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double column (oracle hygiene) and keep names."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(spark_round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
+def as_double(expr: str) -> str:
+    """An oracle expression as DOUBLE, the type of the Spark column it is held against."""
+    return f"CAST(({expr}) AS DOUBLE)"
 
 
 def load_all() -> dict[str, Query]:
@@ -84,6 +58,6 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-def rnd(*cols: str, digits: int = 4) -> str:
-    """``* REPLACE (round(c, 4) AS c, ...)`` select list for the oracle side."""
-    return "* REPLACE (" + ", ".join(f"{sql_round(c, digits)} AS {c}" for c in cols) + ")"
+def doubles(*cols: str) -> str:
+    """``* REPLACE (CAST(c AS DOUBLE) AS c, ...)`` select list for the oracle side."""
+    return "* REPLACE (" + ", ".join(f"{as_double(c)} AS {c}" for c in cols) + ")"

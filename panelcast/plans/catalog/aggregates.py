@@ -12,7 +12,7 @@ from ...operators import profile as pf
 from ...operators.quantiles import quantiles
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 POLL = list(rl.POLLUTANTS)
 PARAMS = ("click", "view", "purchase", "signup", "error")
@@ -393,9 +393,9 @@ def agg15_densified_completeness(spark, d):
 
 
 @register("flt5_minimum_support", EV + """
-SELECT station, parameter, count(value) AS n_values FROM obs_events GROUP BY 1, 2 HAVING count(value) >= 395""")
+SELECT station, parameter, count(value) AS n_values FROM obs_events GROUP BY 1, 2 HAVING count(value) >= 30""")
 def flt5_minimum_support(spark, d):
     """Keep groups with enough observations (``having count >= n``)."""
     e = tb.obs_events(spark, d)
     return e.groupBy("station", "parameter").agg(F.count("value").alias("n_values")) \
-            .where(F.col("n_values") >= 395)
+            .where(F.col("n_values") >= 30)

@@ -14,7 +14,7 @@ from ...functions import text as tx
 from ...operators import aggregates as ag
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 def _sql_number(expr: str) -> str:
     t = f"trim({expr})"

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ...functions import maths as mt
 from ...functions import rules as rl
 from ...operators import fills, windows
+from ...operators.aggregates import attach_params
 from ...operators.frames import SeriesFrame, add_index
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 W = "PARTITION BY station ORDER BY date"
 AIR = tb.with_views("panel_air")
@@ -176,13 +177,26 @@ def win19_latest_row(spark, d):
     return windows.latest_row(a)
 
 
-@register("win21_mean_reverting_noise", None, note="seeded hash noise: rows-only check")
+@register("win21_mean_reverting_noise", AIR + f"""
+, cut AS (SELECT CAST(max(date) - INTERVAL 91 DAY AS DATE) AS d FROM panel_air),
+vol AS (SELECT avg(s) AS sigma FROM (SELECT station, stddev_samp(pm_sepuluh) AS s FROM panel_air, cut WHERE date <= d GROUP BY station)),
+f AS (SELECT station, date, pm_sepuluh, row_number() OVER w AS i, first_value(pm_sepuluh) OVER w AS base,
+  CASE WHEN row_number() OVER w = 1 THEN 0.0
+       ELSE (CAST('0x' || substr(md5(station || CAST(date AS VARCHAR)), 1, 8) AS BIGINT) / 2147483648.0 - 1) * 0.3 * (SELECT sigma FROM vol) END AS e
+  FROM panel_air, cut WHERE date > d WINDOW w AS (PARTITION BY station ORDER BY date))
+SELECT a.station, a.date, {R('greatest(any_value(a.base) + sum(b.e * pow(0.9, a.i - b.i)), 0)')} AS pm_sepuluh_noisy
+FROM f a JOIN f b ON a.station = b.station AND b.i <= a.i GROUP BY a.station, a.date""")
 def win21_mean_reverting_noise(spark, d):
+    """The last 91 days stand for the forecast rows; draws come from a digest, so that SQL can make the same."""
     a = tb.panel_air(spark, d).select("station", "date", "pm_sepuluh")
-    sd = a.groupBy("station").agg(F.stddev_samp("pm_sepuluh").alias("_sd"))
-    a = a.join(sd, "station")
-    a = windows.ar_noise(a, F.col("_sd") * 0.3)
-    return a.select("station", "date", mt.clip_lower(F.col("pm_sepuluh") + F.col("noise")).alias("pm_sepuluh_noisy"))
+    cut = a.agg(F.date_sub(F.max("date"), 91).alias("_cut"))
+    a = attach_params(a, cut)
+    old = a.where(F.col("date") <= F.col("_cut"))
+    sigma = old.groupBy("station").agg(F.stddev_samp("pm_sepuluh").alias("s")).agg(F.avg("s").alias("sigma"))
+    digest = F.md5(F.concat("station", F.col("date").cast("string")).cast("binary"))
+    draws = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2147483648.0 - 1
+    new = a.where(F.col("date") > F.col("_cut")).drop("_cut")
+    return windows.noisy_forecast(new, "pm_sepuluh", sigma, draws, out="pm_sepuluh_noisy").select("station", "date", "pm_sepuluh_noisy")
 
 
 @register("win22_chronological_split", AIR + """

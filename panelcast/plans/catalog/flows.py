@@ -8,7 +8,7 @@ from ...functions import rules as rl
 from ...sources import tables as tb
 from .. import flows
 from . import register
-from . import sql_round as R
+from . import as_double as R
 from .ingest import read_air_yearly, stage_air_yearly
 from .joins import calendar
 

@@ -9,7 +9,7 @@ from ...operators import impute as im
 from ...operators import windows
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 AIR = tb.with_views("panel_air")
 W = "PARTITION BY station ORDER BY date"

@@ -19,8 +19,8 @@ from ...operators import schema as sc
 from ...sources import files as fs
 from ...sources import sinks as sk
 from ...sources import tables as tb
-from . import register, spark_round
-from . import sql_round as R
+from . import register
+from . import as_double as R
 from .schema import OLD_TO_CANONICAL
 
 POLL = list(rl.POLLUTANTS)
@@ -169,8 +169,8 @@ def src10_report_cells(spark, d):
     w = Window.partitionBy("station", F.year("date")).orderBy("date")
     body = p.select(tno.alias("table_no"), (F.row_number().over(w) + 4).cast("int").alias("row_no"),
                     F.col("station").alias("c0"), F.date_format("date", "dd/MM/yyyy").alias("c1"),
-                    F.format_number(spark_round(F.col("price_avg")), 4).alias("_p"))
-    # 12,345.6789 -> 12.345,6789 (European text)
+                    F.format_number(F.col("price_avg"), 10).alias("_p"))
+    # 12,345.6789012345 -> 12.345,6789012345 (European text)
     swapped = F.replace(F.replace(F.replace(F.col("_p"), F.lit(","), F.lit("#")), F.lit("."), F.lit(",")),
                         F.lit("#"), F.lit("."))
     body = body.select("table_no", "row_no", "c0", "c1", swapped.alias("c2"))

@@ -9,7 +9,7 @@ from ...operators import densify as dz
 from ...operators import joins as jn
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 W = "PARTITION BY station ORDER BY date"
 

@@ -19,7 +19,7 @@ from ...operators import modelling as ml
 from ...operators import windows
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 AIR = tb.with_views("panel_air")
 W = "PARTITION BY station ORDER BY date"
@@ -280,7 +280,7 @@ def ml14_minority_oversampling(spark, d):
     minority = min(counts, key=counts.get)
     needed = max(counts.values()) - counts[minority]
     feats = ["ozon", "sulfur_dioksida", "nitrogen_dioksida", "pm_sepuluh_lag_1d"]
-    return ml.oversample_minority(a, feats, "kategori", minority, needed, bucket_length=20.0, threshold=30.0)
+    return ml.oversample_minority(a, feats, "kategori", minority, needed, bucket_length=20.0)
 
 
 _PB = tuple(p + "_b" for p in PROBS)

@@ -8,8 +8,8 @@ from ...operators import densify as dz
 from ...operators import fills, windows
 from ...operators.frames import STATION_DATE
 from ...sources import tables as tb
-from . import register, rnd
-from . import sql_round as R
+from . import register, doubles
+from . import as_double as R
 
 # Shared oracle CTEs: skeleton over the global date range x stations, then densify.
 DENSE_SQL = """bounds AS (SELECT min(date) AS d0, max(date) AS d1 FROM panel_orders),
@@ -36,13 +36,13 @@ def jn7_date_skeleton(spark, d):
 
 
 @register("jn8_densify", tb.with_views("panel_orders", extra=DENSE_SQL)
-          + f"SELECT {rnd('price_avg', 'price_max')} FROM dense")
+          + f"SELECT {doubles('price_avg', 'price_max')} FROM dense")
 def jn8_densify(spark, d):
     return dense_orders(spark, d)
 
 
 @register("win8_ffill", tb.with_views("panel_orders", extra=DENSE_SQL) + f"""
-SELECT {rnd('price_avg', 'price_ffill')} FROM (
+SELECT {doubles('price_avg', 'price_ffill')} FROM (
   SELECT station, date, price_avg,
          last_value(price_avg IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
            AS price_ffill
@@ -53,7 +53,7 @@ def win8_ffill(spark, d):
 
 
 @register("win9_bfill", tb.with_views("panel_orders", extra=DENSE_SQL) + f"""
-SELECT {rnd('price_avg', 'price_bfill')} FROM (
+SELECT {doubles('price_avg', 'price_bfill')} FROM (
   SELECT station, date, price_avg,
          first_value(price_avg IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
            AS price_bfill
@@ -65,7 +65,7 @@ def win9_bfill(spark, d):
 
 
 @register("win10_bfill_then_ffill", tb.with_views("panel_orders", extra=DENSE_SQL) + f"""
-SELECT {rnd('price_avg', 'bf_ff', 'ff_bf')} FROM (
+SELECT {doubles('price_avg', 'bf_ff', 'ff_bf')} FROM (
   SELECT station, date, price_avg,
     coalesce(first_value(price_avg IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
              last_value(price_avg IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS bf_ff,
@@ -89,7 +89,7 @@ FLAGSHIP_SQL = tb.with_views("panel_orders", extra=DENSE_SQL) + f"""
                 OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), date), -1) AS INTEGER)
            AS days_since_update
   FROM dense)
-SELECT {rnd('price_avg', 'price_ffill', 'price_roll7')} FROM (
+SELECT {doubles('price_avg', 'price_ffill', 'price_roll7')} FROM (
   SELECT *, avg(price_ffill) OVER ({W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS price_roll7
   FROM filled)"""
 

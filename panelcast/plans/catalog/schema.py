@@ -11,7 +11,7 @@ from ...operators import schema as sc
 from ...operators import windows
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 POLL = list(rl.POLLUTANTS)
 AIR = tb.with_views("panel_air")

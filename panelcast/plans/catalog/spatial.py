@@ -15,7 +15,7 @@ from ...operators import spatial as sp
 from ...sources import dumps as dp
 from ...sources import tables as tb
 from . import register
-from . import sql_round as R
+from . import as_double as R
 
 W_ = 0.16
 Y0, Y1 = -0.3, 0.3

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
@@ -42,12 +42,10 @@ def clean_air_quality(raw: DataFrame, pollutants: Sequence[str] = POLL) -> DataF
     """
     x = pr.drop_sentinel(raw, "kategori")
     x = pr.drop_null_keys(x, ["station", "date"])
-    # unique per-series order: day number * 4096 + position of the row among same-day duplicates
-    pos = F.row_number().over(Window.partitionBy("station", "date").orderBy("_ingest")) - 1
-    x = x.withColumn("_ord", F.unix_date("date").cast("long") * 4096 + pos)
-    x = fills.ffill(x, list(pollutants), SeriesFrame(("station",), "_ord", bucket=64 * 4096))
-    others = [c for c in x.columns if c not in (*pollutants, "station", "date", "_ord", "_ingest")]
-    x = ag.collapse_duplicates(x.withColumn("_o", F.col("_ord")), ["station", "date"], list(pollutants),
+    # same-day duplicates follow each other by their place in the file, however many there are
+    x = fills.ffill(x, list(pollutants), SeriesFrame(("station",), "date", tie="_ingest", bucket=1))
+    others = [c for c in x.columns if c not in (*pollutants, "station", "date", "_ingest")]
+    x = ag.collapse_duplicates(x.withColumn("_o", F.col("_ingest")), ["station", "date"], list(pollutants),
                                others, ordinal="_o")
     x = sc.with_id(x)
     x = x.withColumn("kategori", enc.collapse_category("kategori"))

@@ -32,12 +32,8 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "NaN"
-        return round(v, 4)
+    if isinstance(v, float) and math.isnan(v):
+        return "NaN"
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -45,10 +41,25 @@ def _norm(v):
     return v
 
 
+def same(x, y, rel: float = 1e-7, near_zero: float = 1e-9) -> bool:
+    """Equal, or doubles that differ by the order of a sum at most."""
+    if isinstance(x, tuple) and isinstance(y, tuple):
+        return len(x) == len(y) and all(same(a, b, rel, near_zero) for a, b in zip(x, y))
+    if isinstance(x, float) and isinstance(y, float):
+        return x == y or math.isclose(x, y, rel_tol=rel, abs_tol=near_zero)
+    return x == y
+
+
 def _rows(cols, rows):
+    """Rows with columns in name order, sorted by the exact columns first, then by coarse doubles."""
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
+
+    def key(t):
+        exact = tuple((x is None, str(type(x)), x) if x is not None else (True, "", 0) for x in t if not isinstance(x, float))
+        return exact, tuple((x is None, float(f"{x:.6g}") if isinstance(x, float) else 0.0) for x in t if x is None or isinstance(x, float))
+
+    return sorted(out, key=key)
 
 
 def compare(spark, con, name, q, sf_dir):
@@ -77,7 +88,7 @@ def compare(spark, con, name, q, sf_dir):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
     elif not problems:
         a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
-        diff = [(x, y) for x, y in zip(a, b) if x != y]
+        diff = [(x, y) for x, y in zip(a, b) if not same(x, y)]
         if diff:
             problems.append(f"{len(diff)} value diffs, e.g. spark={diff[0][0]} duck={diff[0][1]}")
     status = "OK" if not problems else "MISMATCH"
