@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -18,9 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``."""
+    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+
+    Shuffle files that only the cut lineage needed go when the driver's JVM
+    collects its garbage, which by itself may be long after; it is asked to do
+    so here, so pass ``df`` as an expression of which nothing else is kept.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    context = df.sparkSession.sparkContext
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def id_bucket(col: str, modulus: int) -> Column:

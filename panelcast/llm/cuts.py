@@ -97,7 +97,10 @@ def digests(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
 
 def cut_texts(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
     """``docs``, all rows and columns, with the spans cut out of ``text`` and ``n_chars`` (if there) counted anew."""
-    names = docs.columns
+    others = [c for c in docs.columns if c != "text"]
+    place = {c: f"c{i}" for i, c in enumerate(others)}  # names that can't clash with those used here
+    plain = docs.select(*[F.col(f"`{c}`").alias(place[c]) for c in others], "doc_id", "text")
+    inner = [*place.values(), "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +109,10 @@ def cut_texts(docs: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
             for i, (starts, ends) in enumerate(_spans_of(batch.column("__at"))):
                 text = data[offs[i]:offs[i + 1]].tobytes()
                 out.append(None if null[i] else _kept(text, merged(starts, ends, least)).decode("utf-8", "replace"))
-            cols = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in inner], inner)
 
-    cut = with_spans(docs, spans).select(*[F.col(f"`{c}`") for c in names], "__at").mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut
+    cut = with_spans(plain, spans).select(*inner, "__at")
+    cut = cut.mapInArrow(run, cut.drop("__at").schema)
+    if "n_chars" in place:
+        cut = cut.withColumn(place["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(place.get(c, c)).alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import row_key
+from panelcast.llm.common import boxed, row_key
 
 SPAN = 9
 MASKS = ((0, 1, 3, 7, 8), (0, 1, 2, 7, 8), (0, 2, 3, 5, 8))
@@ -137,8 +137,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, share: float = SHA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Filtering form: the rows of ``docs``, all columns, without a verified overlap with any benchmark item."""
-    bad = overlaps(docs, benchmark, share).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__key", row_key("doc_id", "text")).join(bad, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
+    bad = overlaps(docs, benchmark, share).select("row").distinct()
+    return docs.select(boxed(docs).alias("all"), row_key("doc_id", "text").alias("row")).join(bad, "row", "left_anti").select("all.*")
 
 
 ORACLE_SQL = f"""
