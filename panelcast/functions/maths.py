@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,15 +66,6 @@ def above(c, threshold) -> Column:
     return F.coalesce((_c(c) > t).cast("int"), F.lit(0))
 
 
-def count_true(flags) -> Column:
-    """Sum of 0/1 flag columns (MTH5 elevated-pollutant count)."""
-    flags = [_c(f) for f in flags]
-    out = flags[0]
-    for f in flags[1:]:
-        out = out + f
-    return out
-
-
 def rainy(precip) -> Column:
     """precip > 0 as 0/1; NULL -> 0 (MTH6)."""
     return above(precip, 0)
@@ -131,11 +121,3 @@ def clip(c, lo, hi) -> Column:
     lo = lo if isinstance(lo, Column) else F.lit(lo)
     hi = hi if isinstance(hi, Column) else F.lit(hi)
     return F.when(c < lo, lo).when(c > hi, hi).otherwise(c)
-
-
-def weighted_sum(cols: Mapping[str, float]) -> Column:
-    out = None
-    for c, w in cols.items():
-        term = F.col(c) * F.lit(w)
-        out = term if out is None else out + term
-    return out

@@ -75,9 +75,12 @@ def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: str = "
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], margins: bool = True,
-             total: str = "All") -> DataFrame:
-    """Counts row x col with optional margins (AGG8).  Margins come from ``rollup``
-    over the pivoted counts, i.e. grouping sets on aggregated data."""
+             total: str = "All", other: str = "Other") -> DataFrame:
+    """Counts row x col with optional margins (AGG8).  Values that are not listed count
+    under ``other``; rows without a value are left out, as in a frequency table.
+    Margins are sums of the pivoted counts."""
+    df = df.where(F.col(col).isNotNull()).withColumn(col, F.when(F.col(col).isin(*values), F.col(col)).otherwise(other))
+    values = [*values, other]
     base = df.groupBy(row).pivot(col, list(values)).count().na.fill(0, subset=list(values))
     base = base.select(row, *[F.col(f"`{v}`").cast("long").alias(v) for v in values])
     if not margins:
@@ -97,9 +100,17 @@ def value_counts(df: DataFrame, cols: Sequence[str], share: str = "share") -> Da
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Number of distinct values per column, one row (AGG10)."""
-    fn = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    return df.agg(*[fn(c).cast("long").alias(c) for c in cols])
+    """Number of distinct values per column, one row (AGG10).
+
+    Exact counts are one partial aggregation per column over that column alone,
+    so no row is multiplied by the number of columns."""
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c).cast("long").alias(c) for c in cols])
+    out = None
+    for c in cols:
+        one = df.agg(F.count_distinct(c).cast("long").alias(c))
+        out = one if out is None else _attach_row(out, one)
+    return out
 
 
 def null_report(df: DataFrame, cols: Sequence[str] | None = None, min_pct: float | None = None,
@@ -128,11 +139,11 @@ def null_pct_by(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFr
 
 def sampling_regime(df: DataFrame, date: str = "date", station: str = "station") -> DataFrame:
     """Per year: rows, distinct dates, distinct stations, rows per date (AGG13)."""
-    y = df.withColumn("year", F.year(date))
-    return y.groupBy("year").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(date).alias("n_dates"),
-        F.count_distinct(station).alias("n_stations")).withColumn(
-        "rows_per_date", F.col("rows") / F.col("n_dates"))
+    # rows per (year, date) first: dates and rows need no distinct then
+    y = df.groupBy(F.year(date).alias("year"), F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    per = y.groupBy("year").agg(F.sum("_n").alias("rows"), F.count("_d").alias("n_dates"))
+    st = df.groupBy(F.year(date).alias("year")).agg(F.count_distinct(station).alias("n_stations"))
+    return per.join(st, "year").select("year", "rows", "n_dates", "n_stations", (F.col("rows") / F.col("n_dates")).alias("rows_per_date"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -258,9 +269,13 @@ def availability_sets(df: DataFrame, source: str, params: Sequence[str]) -> Data
     """Per parameter: in how many sources it has any value; common to all / any (AGG30)."""
     long = unpivot(df.select(source, *params), [source], params, "parameter", "value") \
         .where(F.col("value").isNotNull()).select(source, "parameter").distinct()
-    n_src = df.select(source).distinct().count()
+    all_src = df.agg(F.count_distinct(source).alias("_all"))
     per = long.groupBy("parameter").agg(F.count(F.lit(1)).alias("n_sources"))
-    return per.withColumn("in_all", (F.col("n_sources") == n_src).cast("int"))
+    names = df.sparkSession.createDataFrame([(p,) for p in params], "parameter string")
+    per = names.join(per, "parameter", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+    return _attach_row(per, all_src).select(
+        "parameter", "n_sources", (F.col("n_sources") == F.col("_all")).cast("int").alias("in_all"),
+        (F.col("n_sources") > 0).cast("int").alias("in_any"))
 
 
 def daily_change_stats(df: DataFrame, cols: Sequence[str], frame: SeriesFrame = STATION_DATE) -> DataFrame:
@@ -310,13 +325,16 @@ def variance_ranking(df: DataFrame, cols: Sequence[str], top: int = 20) -> DataF
     return long.orderBy(F.col("variance").desc_nulls_last(), "feature").limit(top)
 
 
-def station_summary(df: DataFrame, cols: Sequence[str], category: str, unhealthy: Column,
-                    station: str = "station", score: Column | None = None) -> DataFrame:
-    """Per station: means and maxima, category shares, unhealthy share, rank (AGG24)."""
+def station_summary(df: DataFrame, cols: Sequence[str], category: str, unhealthy: Column, scores: dict[str, float],
+                    station: str = "station") -> DataFrame:
+    """Per station: means and maxima, the share of every category of ``scores``, the
+    unhealthy share, the mean score, and the rank from best (lowest score) to worst (AGG24)."""
     aggs = [F.count(F.lit(1)).alias("days")]
     aggs += [F.avg(c).alias(f"{c}_mean") for c in cols]
     aggs += [F.max(c).alias(f"{c}_max") for c in cols]
     aggs += [F.avg(unhealthy.cast("double")).alias("unhealthy_share")]
+    aggs += [F.avg((F.col(category) == c).cast("double")).alias(f"{c}_share") for c in scores]
+    worth = F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])
+    aggs += [F.avg(worth[F.col(category)]).alias("mean_score")]
     s = df.groupBy(station).agg(*aggs)
-    sc = score if score is not None else F.col("unhealthy_share")
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(sc.asc(), F.col(station))))
+    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_score").asc_nulls_last(), F.col(station))))

@@ -13,7 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fills import fill_both
 from .frames import STATION_DATE, SeriesFrame, scan
 from .quantiles import quantiles
 
@@ -137,8 +136,3 @@ def target_encode(df: DataFrame, key: str, target: str, out: str | None = None,
     src = fit if fit is not None else df
     enc = src.groupBy(key).agg(F.avg(target).alias(out or f"{key}_{target}_mean"))
     return df.join(enc, key, "left")
-
-
-def fill_between(df: DataFrame, cols: Sequence[str], frame: SeriesFrame = STATION_DATE) -> DataFrame:
-    """ffill then bfill per series (JN11 after an exact reindex)."""
-    return fill_both(df, cols, frame, first="ffill")

@@ -41,6 +41,8 @@ def within(points: DataFrame, edges: DataFrame, pid: str = "id", x: str = "x", y
            bands: int = 64) -> DataFrame:
     """``(pid, region)`` for every point strictly inside a region (JN12)."""
     x0, x1, y0, y1 = _bbox(edges)
+    if x0 is None:
+        return points.limit(0).select(F.col(pid), F.lit("").alias("region"))
     h = (y1 - y0) / bands if y1 > y0 else 1.0
     band_of = lambda v: F.floor((v - F.lit(y0)) / F.lit(h)).cast("int")
     eb = edges.select("region", "x1", "y1", "x2", "y2",
@@ -69,47 +71,51 @@ def nearest(points: DataFrame, edges: DataFrame, counts: DataFrame | None = None
             x: str = "x", y: str = "y", grid: int = 32) -> DataFrame:
     """``(pid, region, distance)``: the region with the nearest boundary (JN13).
 
+    The search starts at the grid cell nearest to the point and widens ring by
+    ring; every round joins only the cells of the new ring that lie inside the
+    grid, so a point far outside costs no more than the grid's cells.  Whatever
+    lies beyond ring r is at least ``r * cell`` away, which ends the search.
     Ties are broken by the region's initial point count (fewer first) and then
     by name; the reference updates the counts while assigning, which only
-    matters on exact ties.
+    matters on exact ties.  Without edges there is no region: no rows.
     """
     x0, x1, y0, y1 = _bbox(edges)
+    if x0 is None:
+        return points.limit(0).select(F.col(pid), F.lit("").alias("region"), F.lit(0.0).alias("distance"))
     cs = max(x1 - x0, y1 - y0) / grid or 1.0
-    cx = lambda v: F.floor((v - F.lit(x0)) / F.lit(cs)).cast("int")
-    cy = lambda v: F.floor((v - F.lit(y0)) / F.lit(cs)).cast("int")
+    cell = lambda v, low: F.floor((v - F.lit(low)) / F.lit(cs)).cast("int")
     ec = edges.select("region", "x1", "y1", "x2", "y2",
-                      F.explode(F.sequence(cx(F.least("x1", "x2")), cx(F.greatest("x1", "x2")))).alias("_cx"))
-    ec = ec.select("*", F.explode(F.sequence(cy(F.least("y1", "y2")), cy(F.greatest("y1", "y2")))).alias("_cy"))
+                      F.explode(F.sequence(cell(F.least("x1", "x2"), x0), cell(F.greatest("x1", "x2"), x0))).alias("_cx"))
+    ec = ec.select("*", F.explode(F.sequence(cell(F.least("y1", "y2"), y0), cell(F.greatest("y1", "y2"), y0))).alias("_cy"))
     cnt = counts if counts is not None else edges.select("region").distinct().withColumn("n", F.lit(0))
     cnt = cnt.select("region", F.col(cnt.columns[1]).cast("long").alias("_cnt"))
+    ec = ec.join(cnt, "region", "left").withColumn("_cnt", F.coalesce("_cnt", F.lit(0)))
+    last_x, last_y = int((x1 - x0) // cs), int((y1 - y0) // cs)
+    near = lambda v, low, top: F.greatest(F.lit(0), F.least(F.lit(top), F.floor((v - F.lit(low)) / F.lit(cs)))).cast("int")
 
-    todo = points.select(F.col(pid).alias("_pid"), F.col(x).alias("_px"), F.col(y).alias("_py"))
-    todo = todo.withColumn("_pcx", cx(F.col("_px"))).withColumn("_pcy", cy(F.col("_py")))
-    # rings needed to reach the grid from the farthest point bound the loop
-    far = todo.agg(F.max(F.greatest(F.abs(F.col("_pcx")), F.abs(F.col("_pcy"))))).first()[0] or 0
+    todo = points.select(F.col(pid).alias("_pid"), F.col(x).alias("_px"), F.col(y).alias("_py")).withColumns(
+        {"_qx": near(F.col("_px"), x0, last_x), "_qy": near(F.col("_py"), y0, last_y),
+         "_b": F.lit(None).cast("struct<d:double,n:bigint,region:string>")})
     ensure_checkpoint_dir(points.sparkSession)
-    found = None
-    r, last = 2, False
+    found, r, done = None, 2, -1
     while True:
-        off = F.sequence(F.lit(-r), F.lit(r))
-        cand = todo.select("*", F.explode(off).alias("_dx")).select("*", F.explode(off).alias("_dy"))
-        cand = cand.select("_pid", "_px", "_py", (F.col("_pcx") + F.col("_dx")).alias("_cx"),
-                           (F.col("_pcy") + F.col("_dy")).alias("_cy"))
-        j = cand.join(ec, ["_cx", "_cy"]).select("_pid", "_px", "_py", "region",
-                                                 segment_distance(F.col("_px"), F.col("_py")).alias("_d"))
-        best = j.groupBy("_pid", "region").agg(F.min("_d").alias("_d"))
-        best = best.join(F.broadcast(cnt), "region", "left").groupBy("_pid").agg(
-            F.min_by(F.struct("region", "_d"), F.struct("_d", F.coalesce("_cnt", F.lit(0)), "region")).alias("_b"))
-        ok = best.where(F.col("_b._d") <= F.lit(r * cs)) if not last else best
-        ok = ok.select(F.col("_pid"), F.col("_b.region").alias("region"), F.col("_b._d").alias("distance"))
-        ok = ok.checkpoint(eager=True)   # resolved points: small, and the loop's lineage stops here
+        span = lambda q, top, r=r: F.explode(F.sequence(F.greatest(F.col(q) - r, F.lit(0)), F.least(F.col(q) + r, F.lit(top))))
+        ring = todo.select("_pid", "_px", "_py", "_qx", "_qy", span("_qx", last_x).alias("_cx")).select(
+            "*", span("_qy", last_y).alias("_cy")).where(
+            F.greatest(F.abs(F.col("_cx") - F.col("_qx")), F.abs(F.col("_cy") - F.col("_qy"))) > done)
+        got = ring.join(ec, ["_cx", "_cy"]).groupBy("_pid").agg(
+            F.min(F.struct(segment_distance(F.col("_px"), F.col("_py")).alias("d"), F.col("_cnt").alias("n"), "region")).alias("_new"))
+        todo = todo.join(got, "_pid", "left").withColumn("_b", F.least("_b", "_new")).drop("_new").checkpoint(eager=True)
+        last = r >= max(last_x, last_y) + 1
+        ok = todo.where(F.col("_b").isNotNull() if last else F.col("_b.d") <= F.lit(r * cs))
+        ok = ok.select("_pid", F.col("_b.region").alias("region"), F.col("_b.d").alias("distance"))
         found = ok if found is None else found.unionByName(ok)
-        todo = todo.join(ok.select("_pid"), "_pid", "left_anti").checkpoint(eager=True)
-        if last or todo.isEmpty():
+        if last:
             break
-        r *= 2
-        if r >= grid + far:
-            last = True
+        todo = todo.where(F.col("_b").isNull() | (F.col("_b.d") > F.lit(r * cs)))
+        if todo.isEmpty():
+            break
+        done, r = r, r * 2
     return found.select(F.col("_pid").alias(pid), "region", "distance")
 
 

@@ -88,11 +88,12 @@ _CATS3 = ("BAIK", "SEDANG", "TIDAK SEHAT")
 @register("agg8_crosstab_margins", AIR + """
 , ct AS (SELECT station, """ + ", ".join(
     f"CAST(count_if(kategori = '{c}') AS BIGINT) AS \"{c}\"" for c in _CATS3) + """
-         FROM panel_air GROUP BY station)
-SELECT station, "BAIK", "SEDANG", "TIDAK SEHAT", "BAIK" + "SEDANG" + "TIDAK SEHAT" AS "All" FROM ct
+  , CAST(count_if(kategori NOT IN ('BAIK', 'SEDANG', 'TIDAK SEHAT')) AS BIGINT) AS "Other", count(kategori) AS "All"
+         FROM panel_air WHERE kategori IS NOT NULL GROUP BY station)
+SELECT * FROM ct
 UNION ALL
 SELECT 'All', CAST(sum("BAIK") AS BIGINT), CAST(sum("SEDANG") AS BIGINT), CAST(sum("TIDAK SEHAT") AS BIGINT),
-       CAST(sum("BAIK" + "SEDANG" + "TIDAK SEHAT") AS BIGINT) FROM ct""")
+       CAST(sum("Other") AS BIGINT), CAST(sum("All") AS BIGINT) FROM ct""")
 def agg8_crosstab_margins(spark, d):
     return ag.crosstab(tb.panel_air(spark, d), "station", "kategori", _CATS3)
 
@@ -276,16 +277,22 @@ def agg23_inf_counts(spark, d):
     return ag.inf_counts(a, ["ratio", "pm_sepuluh"]).select(*[F.col(c).cast("long") for c in ["ratio", "pm_sepuluh"]])
 
 
+# Severity of the categories, best to worst.
+_SCORES = {"BAIK": 1.0, "SEDANG": 2.0, "TIDAK SEHAT": 3.0, "SANGAT TIDAK SEHAT": 4.0, "BERBAHAYA": 5.0}
+_SCORE_SQL = "CASE kategori " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in _SCORES.items()) + " END"
+
+
 @register("agg24_station_summary", AIR + f"""
 SELECT station, count(*) AS days, {R('avg(pm_sepuluh)')} AS pm_sepuluh_mean, {R('avg(ozon)')} AS ozon_mean,
        {R('max(pm_sepuluh)')} AS pm_sepuluh_max, {R('max(ozon)')} AS ozon_max,
        {R("avg(CAST(kategori IN ('TIDAK SEHAT', 'SANGAT TIDAK SEHAT', 'BERBAHAYA') AS DOUBLE))")} AS unhealthy_share,
-       CAST(row_number() OVER (ORDER BY avg(CAST(kategori IN ('TIDAK SEHAT', 'SANGAT TIDAK SEHAT', 'BERBAHAYA') AS DOUBLE)), station)
-            AS INTEGER) AS rank
+       """ + ", ".join(f"avg(CAST(kategori = '{c}' AS DOUBLE)) AS \"{c}_share\"" for c in _SCORES) + f""",
+       avg({_SCORE_SQL}) AS mean_score,
+       CAST(row_number() OVER (ORDER BY avg({_SCORE_SQL}) NULLS LAST, station) AS INTEGER) AS rank
 FROM panel_air GROUP BY station""")
 def agg24_station_summary(spark, d):
     a = tb.panel_air(spark, d)
-    return ag.station_summary(a, ["pm_sepuluh", "ozon"], "kategori", F.col("kategori").isin(*enc.UNHEALTHY))
+    return ag.station_summary(a, ["pm_sepuluh", "ozon"], "kategori", F.col("kategori").isin(*enc.UNHEALTHY), _SCORES)
 
 
 _LAGS = (1, 3, 5, 7, 14, 30)
@@ -338,7 +345,7 @@ def agg29_cross_station_mean(spark, d):
     f"SELECT station, '{p}' AS parameter, {p} AS value FROM panel_air WHERE station <> 'DKI2' OR '{p}' <> 'ozon'"
     for p in POLL) + """)
 SELECT parameter, count(DISTINCT station) AS n_sources,
-       CAST(count(DISTINCT station) = (SELECT count(DISTINCT station) FROM panel_air) AS INTEGER) AS in_all
+       CAST(count(DISTINCT station) = (SELECT count(DISTINCT station) FROM panel_air) AS INTEGER) AS in_all, 1 AS in_any
 FROM l WHERE value IS NOT NULL GROUP BY 1""")
 def agg30_parameter_availability(spark, d):
     a = tb.panel_air(spark, d)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ...functions import rules as rl
 from ...sources import tables as tb
 from .. import flows
@@ -17,14 +15,14 @@ W = "PARTITION BY station ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CUR
 
 
 @register("flow1_clean_air_quality", tb.with_views("panel_air") + """
-, k AS (SELECT * FROM panel_air WHERE kategori IS DISTINCT FROM 'TIDAK ADA DATA' AND year(date) BETWEEN 1995 AND 2000)
+, k AS (SELECT * FROM panel_air WHERE kategori IS DISTINCT FROM 'TIDAK ADA DATA')
 SELECT strftime(date, '%Y-%m-%d') || '_' || station AS ID, date, station, """ + ", ".join(
     f"{R(f'last_value({p} IGNORE NULLS) OVER ({W})')} AS {p}" for p in POLL) + """,
   CASE WHEN kategori IN ('SANGAT TIDAK SEHAT', 'BERBAHAYA') THEN 'TIDAK SEHAT' ELSE kategori END AS kategori
 FROM k""")
 def flow1_clean_air_quality(spark, d):
     root = stage_air_yearly(spark, d)
-    raw = read_air_yearly(spark, root, years=list(range(1995, 2001)))
+    raw = read_air_yearly(spark, root)
     out = flows.clean_air_quality(raw)
     return out.select("ID", "date", "station", *POLL, "kategori")
 
@@ -40,6 +38,6 @@ def flow3_forecast_submission(spark, d):
     a = tb.panel_air(spark, d).drop("n_lines")
     s = tb.panel_ship(spark, d).select("station", "date", "qty_avg", "disc_avg", "tax_avg")
     cal = calendar(spark, d).select("date", "is_holiday_nasional")
-    _, sub = flows.forecast_and_classify(a.where(F.year("date") >= 1999), [s], cal, "2001-08-31", 30,
+    _, sub = flows.forecast_and_classify(a, [s], cal, "2001-08-31", 30,
                                          gbt_params={"maxIter": 5, "maxDepth": 3})
     return sub

@@ -80,11 +80,10 @@ def read_air_yearly(spark, root: str, years=None, old_cols=OLD_COLS, new_cols=NE
 
 
 @register("src1_src2_src3_yearly_files", tb.with_views("panel_air") + "SELECT CAST(year(date) AS INTEGER) AS file_year, "
-          "station, date, " + ", ".join(f"{R(p)} AS {p}" for p in POLL) + ", kategori FROM panel_air "
-          "WHERE year(date) BETWEEN 1995 AND 2000")
+          "station, date, " + ", ".join(f"{R(p)} AS {p}" for p in POLL) + ", kategori FROM panel_air")
 def src1_src2_src3_yearly_files(spark, d):
     root = stage_air_yearly(spark, d)
-    x = read_air_yearly(spark, root, years=list(range(1995, 2001)))
+    x = read_air_yearly(spark, root)
     return x.drop("_ingest", "periode_data")
 
 
@@ -196,13 +195,18 @@ def snk2_submission_csv(spark, d):
     return spark.read.option("header", True).schema("id string, category string").csv(root)
 
 
-@register("snk3_feature_lists", tb.with_views("panel_air") + """
-SELECT 'keep' AS list, c AS feature FROM (SELECT unnest(['karbon_monoksida', 'n_lines', 'nitrogen_dioksida', 'ozon',
-       'sulfur_dioksida']) AS c) t, (SELECT count(*) AS n FROM panel_air) r WHERE r.n > 0""")
+_SNK3 = ["ozon", "karbon_monoksida", "sulfur_dioksida", "nitrogen_dioksida", "n_lines"]
+
+
+@register("snk3_feature_lists", tb.with_views("panel_air") + ", c AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, abs(corr({f}, pm_sepuluh)) AS m FROM panel_air" for f in _SNK3) + """)
+SELECT CASE WHEN m >= (SELECT median(m) FROM c) THEN 'keep' ELSE 'remove' END AS list, feature FROM c""")
 def snk3_feature_lists(spark, d):
     from ...operators import profile as pf
-    feats = ["ozon", "karbon_monoksida", "sulfur_dioksida", "nitrogen_dioksida", "n_lines"]
-    sel = pf.select_features(pf.corr_matrix(tb.panel_air(spark, d), feats, ["pm_sepuluh"], 0), ["pm_sepuluh"], 0.0)
+    corr = pf.corr_matrix(tb.panel_air(spark, d), _SNK3, ["pm_sepuluh"], 0)
+    # the threshold is the middle of five correlations, so both lists have members
+    cut = sorted(abs(r["pm_sepuluh"]) for r in corr.collect())[len(_SNK3) // 2]
+    sel = pf.select_features(corr, ["pm_sepuluh"], cut)
     root = fs.staging_path(spark, "features")
     sk.write_lines(sel.where("keep"), f"{root}/keep")
     sk.write_lines(sel.where("NOT keep"), f"{root}/remove")

@@ -63,12 +63,11 @@ def scan_yearly(spark: SparkSession, path: str, columns: Sequence[str], sep: str
     """One layout family of yearly files; ``file_year`` from the path; optional year
     filter (SRC1, SRC2).  An ingest ordinal (file, position) is added for
     first-value semantics later."""
-    df = with_file_facts(read_delimited(spark, path, columns, sep), year_regex)
-    df = df.withColumn("_ingest", F.struct(F.col("_metadata.file_path").alias("f"),
-                                           F.monotonically_increasing_id().alias("i")))
-    if years is not None:
+    df = with_file_facts(read_delimited(spark, path, columns, sep), year_regex, keep_path=True)
+    if years is not None:  # before the numbering: the filter on the path then prunes files
         df = df.where(F.col("file_year").isin(*years))
-    return df
+    return df.withColumn("_ingest", F.struct(F.col("file_path").alias("f"), F.monotonically_increasing_id().alias("i"))) \
+        .drop("file_path")
 
 
 def scan_per_station(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",",
