@@ -34,6 +34,7 @@ from panelcast.llm.common import binary_views, id_bucket, segment_sum, slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
+PART = 1 << 22  # bytes handled at once
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
@@ -139,14 +140,14 @@ def _predictor(shared):
             n = batch.num_rows
             pred, score, accepted = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
             for i, j in slices(offs) if model else ():
-                part, at = data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
-                three, four = gram_ids(part)
-                lo, hi = at[:-1], at[1:]
-                size = np.maximum(1, hi - lo) * 2
-                z = np.empty((j - i, len(model.languages)))
-                for c in range(0, len(model.languages), 4):  # few columns at a time bound the temporaries
-                    own = np.ascontiguousarray(model.table[:, c:c + 4])
-                    z[:, c:c + 4] = segment_sum(own[three] + own[four], lo, hi) / size[:, None]
+                z = np.zeros((j - i, len(model.languages)))
+                size = np.maximum(1, offs[i + 1:j + 1] - offs[i:j]) * 2
+                for first in range(int(offs[i]), int(offs[j]), PART):  # more than one part only for a single long text
+                    three, four = gram_ids(data[first:min(first + PART, offs[j])])
+                    lo, hi = (np.clip(x - first, 0, len(three)) for x in (offs[i:j], offs[i + 1:j + 1]))
+                    for c in range(0, len(model.languages), 4):  # few columns at a time bound the temporaries
+                        own = np.ascontiguousarray(model.table[:, c:c + 4])
+                        z[:, c:c + 4] += segment_sum(own[three] + own[four], lo, hi) / size[:, None]
                 p = _softmax((z + model.bias) * model.temperature)
                 best = p.argmax(1)
                 for k in range(i, j):

@@ -36,6 +36,7 @@ from panelcast.llm.common import binary_views, id_bucket, mix64, segment_sum, sl
 
 _SYMBOLS = b".,!?|*#$%&@<>{}[]()/\\=_-:;\"'~^+"
 N_FEATURES = len(_SYMBOLS) + 16
+PART = 1 << 22  # bytes described at once
 
 
 @dataclass
@@ -125,13 +126,25 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def described(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Statistics of every row of a batch; a text over ``PART`` bytes has the mean of its parts, weighted by their length."""
+    out = np.zeros((len(offs) - 1, N_FEATURES))
+    for i, j in slices(offs):
+        size = int(offs[j] - offs[i])
+        if size <= PART:
+            out[i:j] = statistics(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+            continue
+        for a in range(0, size, PART):  # one row
+            part = data[offs[i] + a:offs[i] + min(a + PART, size)]
+            out[i] += statistics(part, np.array([0, len(part)]))[0] * (len(part) / size)
+    return out
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs, _ = binary_views(batch.column("text"))
-        rows = [statistics(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]) for i, j in slices(offs)]
-        values = np.concatenate(rows) if rows else np.zeros((0, N_FEATURES))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("kind"), pa.array(list(values), pa.list_(pa.float64()))], ["kind", "x"])
+            [batch.column("kind"), pa.array(list(described(data, offs)), pa.list_(pa.float64()))], ["kind", "x"])
 
 
 def _sigmoid(z):
@@ -234,9 +247,8 @@ def _scorer(shared, threshold):
         for batch in batches:
             data, offs, _ = binary_views(batch.column("text"))
             score = np.full(batch.num_rows, 0.5 if model.constant is None else model.constant)
-            for i, j in slices(offs) if model.constant is None else ():
-                x = statistics(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-                score[i:j] = _sigmoid(model.slope * raw_score(model, x) + model.offset)
+            if model.constant is None:
+                score = _sigmoid(model.slope * raw_score(model, described(data, offs)) + model.offset)
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(rest + [pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                                              [c for c in batch.schema.names if c != "text"] + ["score", "predicted"])
@@ -272,13 +284,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         use = SimpleNamespace(**shared.value)
         for batch in batches:
             data, offs, _ = binary_views(batch.column("text"))
-            keep = np.ones(batch.num_rows, bool)
             if use.constant is None:
-                for i, j in slices(offs):
-                    x = statistics(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-                    keep[i:j] = _sigmoid(use.slope * raw_score(use, x) + use.offset) >= threshold
+                keep = _sigmoid(use.slope * raw_score(use, described(data, offs)) + use.offset) >= threshold
             else:
-                keep[:] = use.constant >= threshold
+                keep = np.full(batch.num_rows, use.constant >= threshold)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)

@@ -390,3 +390,17 @@ def test_nnpu_separates_what_it_may():
     w1, b1, w2, b2 = pu_quality.fit_nnpu(p[:300], np.concatenate([p[300:], n]), 0.5, epochs=30)
     f = lambda x: np.maximum(0, x @ w1 + b1) @ w2 + b2[0]
     assert (f(p) > 0).mean() > 0.9 and (f(n) < 0).mean() > 0.9
+
+
+# -- texts longer than one part
+
+def test_long_texts_in_parts(spark, docs, monkeypatch):
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_documents(docs).collect()}
+    monkeypatch.setattr(langid, "PART", 4000)
+    parts = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_documents(docs).collect()}
+    assert np.mean([whole[i][0] == parts[i][0] for i in whole]) > 0.98
+    data = np.frombuffer(fx.prose(3, 3000).encode(), np.uint8)
+    offs = np.array([0, 0, len(data)])
+    one = pu_quality.described(data, offs)
+    monkeypatch.setattr(pu_quality, "PART", 5000)
+    assert np.allclose(one, pu_quality.described(data, offs), atol=0.25) and (one[0] == 0).all()
