@@ -129,7 +129,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def described(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Statistics of every row of a batch; a text over ``PART`` bytes has the mean of its parts, weighted by their length."""
     out = np.zeros((len(offs) - 1, N_FEATURES))
-    for i, j in slices(offs):
+    for i, j in slices(offs, min(1 << 20, PART)):
         size = int(offs[j] - offs[i])
         if size <= PART:
             out[i:j] = statistics(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
