@@ -12,11 +12,12 @@ components of the links; equal texts are one node from the start.
 Scale: a sketch is made where the text is read; equal texts meet as one row
 each (partial aggregation).  Sketch rows (two integers) are range-partitioned
 by key and node, so a key that a third of all texts share spans many tasks;
-in each run of equal keys a text is paired with the run's first and its
-predecessor (and with all of the first few), never with all others, and runs
-that cross partitions are tied together.  The pairs of a run connect its near
-copies; two texts that are near without being paired in one run share most of
-their other runs.  Only paired texts travel to be aligned.
+in each run of equal keys a text is paired with the run's first (the first few
+with each other), never with all others, and runs that cross partitions are
+tied together.  The pairs of a run connect its near copies; two texts that are
+near without being paired in one run share most of their other runs.  Only
+paired texts travel to be aligned: first each text with the partner it agrees
+with most often, then the pairs that these links have not connected already.
 
 Defined results: a null text is a class of its own; empty texts equal each
 other; repeated rows share a class; the class id is the smallest doc_id of the class (null if
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views, checkpointed, mix64, slices, worker_cache
+from panelcast.llm.common import binary_views, boxed, checkpointed, mix64, slices, worker_cache
 
 WORDS, PICKED, SKETCHES, SIMILARITY = 5, 3, 40, 0.8
 SALTS = 8
@@ -162,7 +163,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = at >= held
         for back in range(1, keep):
             j = at - back
-            ok = fresh & (j >= 0) & (k == k[np.maximum(j, 0)]) & ((where < keep) | (back == 1))
+            ok = fresh & (j >= 0) & (k == k[np.maximum(j, 0)]) & (where < keep)
             a.append(v[j[ok]])
             b.append(v[at[ok]])
         star = fresh & (where >= keep)
@@ -178,15 +179,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes that some sketch brings together; nodes has node and sketch."""
+    """(a, b, agree): distinct pairs a < b of nodes that some sketches bring together, and how many; nodes has node and sketch."""
     rows = nodes.filter(F.col("sketch").isNotNull()).select("node", "sketch").mapInArrow(_explode, "key long, node long")
     found = checkpointed(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(
         _runs, "a long, b long, key long").groupBy("a", "b", "key").agg(F.count(F.lit(1)).alias("agree")))
     # a few rows per partition: the heads of its outer runs
     ends = found.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"))
     least = ends.groupBy("key").agg(F.min("node").alias("a"))
-    ties = ends.join(least, "key").filter("a < node").select("a", F.col("node").alias("b"))
-    return found.filter(F.col("key").isNull() & (F.col("a") != F.col("b"))).select("a", "b").unionByName(ties).distinct()
+    ties = ends.join(least, "key").filter("a < node").select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("agree"))
+    own = found.filter(F.col("key").isNull() & (F.col("a") != F.col("b"))).select("a", "b", "agree")
+    return own.unionByName(ties).groupBy("a", "b").agg(F.sum("agree").alias("agree"))
 
 
 def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
@@ -312,14 +314,26 @@ def classes(docs: DataFrame) -> DataFrame:
     a, b = (size.select(*[F.col(c).alias(f"{c}_{x}") for c in size.columns]) for x in "ab")
     # texts whose lengths differ by more cannot be that near; a text without words has no near one but its copies
     fit = checkpointed(pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).filter(
-        F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * F.lit(SIMILARITY - 1e-9)).select("a", "b", "same_a", "same_b", "rep_a", "rep_b"))
+        F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * F.lit(SIMILARITY - 1e-9)).select(
+        "a", "b", "agree", "same_a", "same_b", "rep_a", "rep_b"))
     wanted = fit.select(F.col("a").alias("node"), F.col("same_a").alias("w_same"), F.col("rep_a").alias("w_rep")).unionByName(
         fit.select(F.col("b").alias("node"), F.col("same_b").alias("w_same"), F.col("rep_b").alias("w_rep"))).distinct()
-    text = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_rep")) & (F.col("same") == F.col("w_same"))).select(
-        "node", "text").dropDuplicates(["node"])
+    text = checkpointed(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_rep")) & (F.col("same") == F.col("w_same"))).select(
+        "node", "text").dropDuplicates(["node"]))
     side = lambda x: text.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    links = fit.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(
-        _verify, "a long, b long")
+
+    def linked(some: DataFrame) -> DataFrame:
+        return checkpointed(some.select("a", "b").join(side("b"), "b").join(side("a"), "a").select(
+            "a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
+
+    # each text with the partner it agrees with most, then the pairs not connected by then
+    first = fit.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
+    links = linked(first)
+    label = components(links)
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    apart = fit.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(
+        F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+    links = links.unionByName(linked(apart))
     labels = components(links)
     joined = nodes.select("node", "same", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = joined.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "same")).alias("k"))
@@ -344,10 +358,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """Filtering form: one row, all columns, of every class (that of the smallest doc_id; any of repeated rows)."""
-    own = F.unhex(F.md5(F.col("text").cast("binary")))
+    own = F.unhex(F.md5(F.col("text").cast("binary"))).alias("own")
     keep = classes(docs).filter(F.col("same").isNotNull() & (F.col("same") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))) \
-        .select(F.col("doc_id").alias("__doc"), F.col("same").alias("__same")).distinct()
-    with_text = docs.filter(F.col("text").isNotNull()).withColumn("__own", own)
-    kept = with_text.join(keep, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__same")), "left_semi")
+        .select(F.col("doc_id").alias("rep"), F.col("same").alias("rep_text")).distinct()
+    with_text = docs.filter(F.col("text").isNotNull()).select(boxed(docs).alias("all"), F.col("doc_id").alias("id"), own)
+    kept = with_text.join(keep, F.col("id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("rep_text")), "left_semi")
     # repeated rows of a kept document: one stays
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own").unionByName(docs.filter(F.col("text").isNull()))
+    return kept.dropDuplicates(["id", "own"]).select("all.*").unionByName(docs.filter(F.col("text").isNull()))
