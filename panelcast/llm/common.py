@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -18,19 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
     Shuffle files that only the cut lineage needed go when the driver's JVM
-    collects its garbage, which by itself may be long after; it is asked to do
-    so here, so pass ``df`` as an expression of which nothing else is kept.
+    collects its garbage, which by itself may be long after.  With ``release``
+    it is asked to do so now; pass ``df`` as an expression of which nothing
+    else is kept.
     """
     ensure_checkpoint_dir(df.sparkSession)
     context = df.sparkSession.sparkContext
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    context._jvm.System.gc()
+    for _ in range(2 if release else 0):
+        gc.collect()
+        time.sleep(0.5)  # Python's references to JVM objects are dropped by another thread
+        context._jvm.System.gc()
     return out
 
 

@@ -497,11 +497,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(__doc, __row, start, end): spans whose union is what the contract removes."""
     texts = cuts.keyed(docs.select("doc_id", "text")).select("__doc", "__row", F.col("text").cast("binary").alias("text"))
     made = texts.mapInArrow(_pieces, "key long, digest long, doc long, packed long")
-    met = checkpointed(made.repartition("key").sortWithinPartitions("key", "digest", "doc", "packed").mapInArrow(_meet, _MET))
+    met = checkpointed(made.repartition("key").sortWithinPartitions("key", "digest", "doc", "packed").mapInArrow(_meet, _MET), release=True)
     open_ = met.filter(F.col("key").isNotNull()).groupBy("__doc", "__row").agg(
         F.collect_set(F.struct("key", "start", "end", "anchor", "hot")).alias("open"))
     sent = texts.dropDuplicates(["__doc", "__row"]).join(open_, ["__doc", "__row"]).mapInArrow(_send, _SENT)
-    found = sent.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_sort, _SPANS)
+    found = checkpointed(sent.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_sort, _SPANS), release=True)
     return met.filter(F.col("key").isNull()).select("__doc", "__row", "start", "end").unionByName(found)
 
 
