@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import cuts
-from panelcast.llm.common import binary_views, mix64
+from panelcast.llm.common import binary_views, bounded_batches, mix64
 
 MIN_CHUNK, MAX_CHUNK, MIN_RUN = 24, 192, 100
 CUT_BITS = 5
@@ -147,7 +147,7 @@ def _duplicates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(__doc, __row, start, end) of every chunk that is not the first of its digest."""
-    chunks = cuts.keyed(docs.select("doc_id", "text")).select("__doc", "__row", F.col("text").cast("binary").alias("text")) \
+    chunks = cuts.keyed(bounded_batches(docs).select("doc_id", "text")).select("__doc", "__row", F.col("text").cast("binary").alias("text")) \
         .mapInArrow(_chunks, "hi long, lo long, doc long, packed long")
     return chunks.repartition("hi").sortWithinPartitions("hi", "lo", "doc", "packed").mapInArrow(
         _duplicates, "__doc long, __row long, start long, end long")

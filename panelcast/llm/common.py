@@ -38,6 +38,16 @@ def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Arrow batches of a few MB from now on, so that memory does not follow the length of texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def boxed(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that no name of theirs can clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -105,10 +115,18 @@ def crc_of_id(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker process, shared by its tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker process, shared by the tasks of one operator.
+
+    Another operator's tasks in the same worker start with an empty one, so a
+    worker never holds the caches of two.
+    """
     import sys
     import types
 
     name = "panelcast_worker_cache"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    cache = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("cache", {})
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+    return cache

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views
+from panelcast.llm.common import binary_views, bounded_batches
 
 LAST = (1 << 63) - 1
 ROW_BITS = 17
@@ -48,7 +48,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     gathered = spans.groupBy("__doc", "__row").agg(
         F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__at"))
-    return keyed(docs).join(gathered, ["__doc", "__row"], "left")
+    return keyed(bounded_batches(docs)).join(gathered, ["__doc", "__row"], "left")
 
 
 def _spans_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:

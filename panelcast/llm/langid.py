@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views, id_bucket, segment_sum, slices
+from panelcast.llm.common import binary_views, bounded_batches, id_bucket, segment_sum, slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -171,5 +171,5 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 def identify_documents(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     """Train on the rows outside the held-out fold and predict every row of ``documents``."""
-    split = docs.select("doc_id", "text", "lang", (id_bucket("doc_id", fold) == held).alias("held_out"))
+    split = bounded_batches(docs).select("doc_id", "text", "lang", (id_bucket("doc_id", fold) == held).alias("held_out"))
     return predict(split, train(split.filter(~F.col("held_out"))))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import checkpointed, id_bucket, mix64, slices, binary_views, worker_cache
+from panelcast.llm.common import bounded_batches, checkpointed, id_bucket, mix64, slices, binary_views, worker_cache
 
 BITS = 10
 CLASSES = 1 << BITS
@@ -92,7 +92,7 @@ def word_class(full: np.ndarray, ending: np.ndarray) -> np.ndarray:
 
 
 def interner() -> Interner:
-    cache = worker_cache()
+    cache = worker_cache("lm")
     if "words" not in cache or len(cache["words"]) > INTERNED:
         cache["words"] = Interner()
     return cache["words"]
@@ -336,6 +336,6 @@ def score_texts(docs: DataFrame, model: SimpleNamespace, counts: DataFrame) -> D
 
 def score_documents(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     """Learn from the rows outside the held-out fold and score every row of ``documents``."""
-    rows = docs.select("doc_id", (id_bucket("doc_id", fold) == held).alias("held_out"), "text")
+    rows = bounded_batches(docs).select("doc_id", (id_bucket("doc_id", fold) == held).alias("held_out"), "text")
     model, counts = learn(rows.filter(~F.col("held_out")))
     return score_texts(rows, model, counts)

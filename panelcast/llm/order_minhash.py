@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views, boxed, checkpointed, mix64, slices, worker_cache
+from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpointed, mix64, slices, worker_cache
 
 WORDS, PICKED, SKETCHES, SIMILARITY = 5, 3, 40, 0.8
 SALTS = 8
@@ -51,14 +51,14 @@ class _WordHashes(dict):
         self.hash64 = xxhash.xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         out = self[word] = self.hash64(word)
         return out
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    cache = worker_cache()
+    cache = worker_cache("minhash")
     if "word_hashes" not in cache:
         cache["word_hashes"] = _WordHashes()
     words = text.lower().split()
@@ -261,7 +261,7 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
         rest, at = [], 0
         while at < len(todo):
             # pairs of like length together, a bounded number of cells per step
-            upto = at + max(1, min(256, (1 << 18) // (2 * band + 1), (1 << 23) // max(1, len(todo[at][1]) + 2 * band)))
+            upto = at + max(1, min(256, (1 << 18) // (2 * band + 1), (1 << 21) // max(1, len(todo[at][1]) + 2 * band)))
             part = todo[at:upto]
             at = upto
             d = _banded([x[1] for x in part], [x[2] for x in part], band)
@@ -304,7 +304,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, same, class_id, class_key): the class of every row; ``same`` is the digest of its text."""
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
+    rows = bounded_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
     made = rows.mapInArrow(_sketches, "doc_id long, same binary, sketch binary, words long")
     nodes = checkpointed(made.filter(F.col("same").isNotNull()).groupBy("same").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))

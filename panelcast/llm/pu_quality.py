@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views, id_bucket, mix64, segment_sum, slices
+from panelcast.llm.common import binary_views, bounded_batches, id_bucket, mix64, segment_sum, slices
 
 _SYMBOLS = b".,!?|*#$%&@<>{}[]()/\\=_-:;\"'~^+"
 N_FEATURES = len(_SYMBOLS) + 16
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
 
 def fit_for(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0) -> QualityModel:
     cut = id_bucket("doc_id", fold) != held
-    return train(docs.select("doc_id", "text").filter(cut), labels.filter(cut))
+    return train(bounded_batches(docs).select("doc_id", "text").filter(cut), labels.filter(cut))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0) -> DataFrame:

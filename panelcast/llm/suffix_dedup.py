@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm import cuts
-from panelcast.llm.common import binary_views, checkpointed, mix64
+from panelcast.llm.common import binary_views, bounded_batches, checkpointed, mix64
 
 LENGTH, GRAM = 100, 24
 SIDE = LENGTH - GRAM          # bytes of a string outside its minimizer
@@ -495,7 +495,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(__doc, __row, start, end): spans whose union is what the contract removes."""
-    texts = cuts.keyed(docs.select("doc_id", "text")).select("__doc", "__row", F.col("text").cast("binary").alias("text"))
+    texts = cuts.keyed(bounded_batches(docs).select("doc_id", "text")).select("__doc", "__row", F.col("text").cast("binary").alias("text"))
     made = texts.mapInArrow(_pieces, "key long, digest long, doc long, packed long")
     met = checkpointed(made.repartition("key").sortWithinPartitions("key", "digest", "doc", "packed").mapInArrow(_meet, _MET), release=True)
     open_ = met.filter(F.col("key").isNotNull()).groupBy("__doc", "__row").agg(

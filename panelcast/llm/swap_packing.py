@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import texts, worker_cache
+from panelcast.llm.common import bounded_batches, texts, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -97,7 +97,7 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if ("ids", path) not in cache:
         cache["ids", path] = WordIds(path)
     return cache["ids", path]
@@ -130,7 +130,7 @@ def _tokenise(path: str | None, capacity: int):
 
 def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` tokens; ``path`` names a vocabulary file all executors can read."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_tokenise(path, capacity), PIECES)
+    return bounded_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_tokenise(path, capacity), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
