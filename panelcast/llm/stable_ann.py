@@ -8,8 +8,8 @@ verified on its original vector, and the search ends when a point as near as
 the present k-th neighbour would have come by now with probability
 ``CONFIDENCE``.
 
-Scale: rows are dealt into blocks of about ``BLOCK`` by a hash, queries into
-chunks of about ``CHUNK``; a task indexes one block and searches it for one
+Scale: repeated rows are dropped, the others are dealt into blocks of about
+``BLOCK`` by a hash, queries into chunks of about ``CHUNK``; a task indexes one block and searches it for one
 chunk, so its memory is bounded whatever the table; the k best of every block
 are then ranked per query.
 
@@ -72,6 +72,7 @@ class KdTree:
     def attach(self, unit: np.ndarray, ids: np.ndarray) -> "KdTree":
         """Keep the unit vectors and ids in the tree's order."""
         self.unit, self.ids = unit[self.order], ids[self.order]
+        self.repeated = len(np.unique(ids)) < len(ids)
         return self
 
     def box_distance(self, node: int, q: np.ndarray) -> float:
@@ -95,8 +96,13 @@ def search(tree: KdTree, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray
         near = tree.unit[rows] @ unit_q
         near[tree.ids[rows] == q_id] = -2
         floor = -best[-1][0] if len(best) == k else -1.5
-        if len(near) > k:
-            floor = max(floor, float(np.partition(near, len(near) - k)[len(near) - k]))
+        each = near  # one value an id: rows of one id must not use up the k places
+        if tree.repeated:
+            own, at = np.unique(tree.ids[rows], return_inverse=True)
+            each = np.full(len(own), -2.0)
+            np.maximum.at(each, at, near)
+        if len(each) > k:
+            floor = max(floor, float(np.partition(each, len(each) - k)[len(each) - k]))
         at = tree.order[rows[near >= floor - 1e-12]]
         at = at[ids[at] != q_id]
         if len(at):
@@ -171,7 +177,7 @@ def _share(n: int, each: int) -> int:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float = CONFIDENCE, vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds."""
-    rows = usable(vectors, vec)
+    rows = usable(vectors, vec).distinct()  # copies of a row hash alike: they would pile up in one block
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     blocks, chunks = _share(sizes["n"], BLOCK), _share(sizes["q"], CHUNK)
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")

@@ -170,6 +170,29 @@ def test_recall_and_scores_against_brute_force(spark):
     assert hit / (50 * 5) >= 0.9
 
 
+def test_repeated_rows_take_no_places(spark):
+    """Copies of the nearest rows, and other vectors under their ids, leave the other neighbours in."""
+    rng = np.random.default_rng(5)
+    q = rng.standard_normal(16)
+    at = lambda far: (q + far * rng.standard_normal(16)).tolist()
+    rows = [(0, q.tolist())] + [(i, at(0.02 * i)) for i in range(1, 31)]
+    rows += [rows[1]] * 7 + [rows[2]] * 5                   # repeated rows
+    rows += [(3, at(0.001 * j)) for j in range(1, 9)]       # one id, many near vectors
+    rows += [(50, at(0.3))] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in stable_ann.nearest_fiftieths(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    vec = {}
+    for i, v in rows:
+        vec.setdefault(i, []).append(np.array(v) / np.linalg.norm(v))
+    for query in (0, 50):
+        best = {i: max(float(v @ vec[query][0]) for v in vs) for i, vs in vec.items() if i != query}
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert [i for i, _ in got[query]] == want
+        assert all(abs(s - best[i]) < 1e-12 for i, s in got[query])
+
+
 # -- language model
 
 def test_base_scores_against_counting(spark, docs):
