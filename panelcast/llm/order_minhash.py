@@ -12,12 +12,16 @@ components of the links; equal texts are one node from the start.
 Scale: a sketch is made where the text is read; equal texts meet as one row
 each (partial aggregation).  Sketch rows (two integers) are range-partitioned
 by key and node, so a key that a third of all texts share spans many tasks;
-in each run of equal keys a text is paired with the run's first (the first few
-with each other), never with all others, and runs that cross partitions are
-tied together.  The pairs of a run connect its near copies; two texts that are
-near without being paired in one run share most of their other runs.  Only
-paired texts travel to be aligned: first each text with the partner it agrees
-with most often, then the pairs that these links have not connected already.
+in each run of equal keys a text is first paired with the run's first (the
+first few with each other), and runs that cross partitions are tied together.
+Only paired texts travel to be aligned: first each text with the partner it
+agrees with most often, then the pairs that these links have not connected
+already.  That settles runs of near copies.  A longer run whose texts are then
+still in several classes (texts on a shared template, whose first is a
+stranger to the others) is gone through whole, block against block
+(:func:`open_pairs`): every two of its texts in different classes are aligned
+unless their lengths or word histograms prove them too far apart.  So any two
+texts that agree on a sketch are connected or known not to be near.
 
 Defined results: a null text is a class of its own; empty texts equal each
 other; repeated rows share a class; the class id is the smallest doc_id of the class (null if
@@ -39,6 +43,8 @@ from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpoin
 WORDS, PICKED, SKETCHES, SIMILARITY = 5, 3, 40, 0.8
 SALTS = 8
 ALL_PAIRS = 6           # in a run of equal keys, the first few are paired with each other
+BINS = 256              # of a text's word histogram
+BLOCK = 512             # texts of a run that meet another block's at once
 CHUNK = 1 << 15
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -111,17 +117,23 @@ def sketch(labels: np.ndarray) -> np.ndarray:
     return key
 
 
+def histogram(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of words by the last bits of their hashes, up to 255."""
+    return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs, null = binary_views(batch.column("text"))
-        out, size = [], []
+        out, size, bins = [], [], []
         for i in range(batch.num_rows):
             hashes = word_hashes(data[offs[i]:offs[i + 1]].tobytes())
             out.append(None if null[i] else sketch(labelled_kmers(hashes)).tobytes())
             size.append(len(hashes))
+            bins.append(histogram(hashes).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("same"), pa.array(out, pa.binary()), pa.array(size, pa.int64())],
-            ["doc_id", "same", "sketch", "words"])
+            [batch.column("doc_id"), batch.column("same"), pa.array(out, pa.binary()), pa.array(size, pa.int64()), pa.array(bins, pa.binary())],
+            ["doc_id", "same", "sketch", "words", "bins"])
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +147,11 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) within runs of equal keys of sorted rows; ``key`` is set on rows that tie partitions together."""
+    """Pairs (a < b) within runs of equal keys of sorted rows.
+
+    ``key`` is set on rows that tie partitions together (b = 0) and on those that name a run with texts not paired
+    with all others (b = 1).
+    """
     def out(a, b, key):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], ["a", "b", "key"])
 
@@ -172,23 +188,76 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
             yield out(np.minimum(a, b), np.maximum(a, b), [None] * len(a))
+        long = np.unique(k[fresh & (where == keep)])
+        if len(long):
+            yield out(np.zeros(len(long), np.int64), np.ones(len(long), np.int64), long)
         tail = at[k == k[-1]][-keep:]
         keys, nodes, head, place = k[tail], v[tail], first[tail], where[tail]
     if first_run is not None:
         yield out([first_run[1], int(head[-1])], [0, 0], [first_run[0], int(keys[-1])])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, agree): distinct pairs a < b of nodes that some sketches bring together, and how many; nodes has node and sketch."""
-    rows = nodes.filter(F.col("sketch").isNotNull()).select("node", "sketch").mapInArrow(_explode, "key long, node long")
-    found = checkpointed(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(
+def _sketch_rows(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.col("sketch").isNotNull()).select("node", "sketch").mapInArrow(_explode, "key long, node long")
+
+
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and the runs they do not cover; nodes has node and sketch.
+
+    (a, b, agree): distinct pairs a < b of nodes that some sketches bring together, and how many; (key): runs in which
+    not all have met all, among them those that may go on in another partition.
+    """
+    found = checkpointed(_sketch_rows(nodes).repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(
         _runs, "a long, b long, key long").groupBy("a", "b", "key").agg(F.count(F.lit(1)).alias("agree")))
+    marks = found.filter(F.col("key").isNotNull())
     # a few rows per partition: the heads of its outer runs
-    ends = found.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"))
+    ends = marks.filter("b = 0").select("key", F.col("a").alias("node"))
     least = ends.groupBy("key").agg(F.min("node").alias("a"))
     ties = ends.join(least, "key").filter("a < node").select("a", F.col("node").alias("b"), F.lit(1).cast("long").alias("agree"))
     own = found.filter(F.col("key").isNull() & (F.col("a") != F.col("b"))).select("a", "b", "agree")
-    return own.unionByName(ties).groupBy("a", "b").agg(F.sum("agree").alias("agree"))
+    return own.unionByName(ties).groupBy("a", "b").agg(F.sum("agree").alias("agree")), marks.select("key").distinct()
+
+
+def _may_be_near(words: np.ndarray, bins: np.ndarray, own_words: int, own_bins: np.ndarray) -> np.ndarray:
+    """Which of the texts could be near the one in hand: false only if lengths or word histograms prove the opposite."""
+    longer = np.maximum(words, own_words)
+    allowed = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    least = np.minimum(bins, own_bins)
+    common = least.sum(1, dtype=np.int64)
+    common[(least == 255).any(1)] = 1 << 40  # counted up to 255 only
+    return (np.abs(words - own_words) <= allowed) & (longer - common <= allowed)
+
+
+def _cell(rows: pa.Table) -> pa.Table:
+    """Pairs a < b of a cell's rows (of one block, or one of either) that have different labels and may be near."""
+    node, label, words, side = (np.asarray(rows.column(c)) for c in ("node", "label", "words", "side"))
+    data, offs, _ = binary_views(rows.column("bins"))
+    bins = data[offs[0]:offs[-1]].reshape(-1, BINS)
+    one, a, b = rows.column("one")[0].as_py(), [], []
+    for i in range(len(node)) if one else np.flatnonzero(side == 0).tolist():
+        met = (label != label[i]) & ((node > node[i]) if one else (side == 1))
+        at = np.flatnonzero(met)
+        at = at[_may_be_near(words[at], bins[at], words[i], bins[i])]
+        a.append(np.full(len(at), node[i]))
+        b.append(node[at])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def open_pairs(nodes: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs a < b of texts that meet in one of ``runs``, are in different classes and may be near."""
+    rows = _sketch_rows(nodes).join(runs, "key").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label"))
+    rows = checkpointed(rows)
+    several = rows.groupBy("key").agg(F.countDistinct("node").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")) \
+        .filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(several, "key").withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "node", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        (F.col("block") == F.col("other")).alias("one"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return dealt.join(nodes.select("node", "words", "bins"), "node").groupBy("key", "low", "high").applyInArrow(
+        _cell, "a long, b long").distinct()
 
 
 def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
@@ -305,36 +374,46 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, same, class_id, class_key): the class of every row; ``same`` is the digest of its text."""
     rows = bounded_batches(docs).select("doc_id", F.col("text").cast("binary").alias("text"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"))
-    made = rows.mapInArrow(_sketches, "doc_id long, same binary, sketch binary, words long")
+    made = rows.mapInArrow(_sketches, "doc_id long, same binary, sketch binary, words long, bins binary")
     nodes = checkpointed(made.filter(F.col("same").isNotNull()).groupBy("same").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("words").alias("words"),
+        F.first("bins").alias("bins"))
         .withColumn("node", F.monotonically_increasing_id()))
-    pairs = candidates(nodes)
+    pairs, uncovered = candidates(nodes)
     size = nodes.select("node", "words", "same", "rep")
     a, b = (size.select(*[F.col(c).alias(f"{c}_{x}") for c in size.columns]) for x in "ab")
     # texts whose lengths differ by more cannot be that near; a text without words has no near one but its copies
     fit = checkpointed(pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b")).filter(
         F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * F.lit(SIMILARITY - 1e-9)).select(
         "a", "b", "agree", "same_a", "same_b", "rep_a", "rep_b"))
-    wanted = fit.select(F.col("a").alias("node"), F.col("same_a").alias("w_same"), F.col("rep_a").alias("w_rep")).unionByName(
-        fit.select(F.col("b").alias("node"), F.col("same_b").alias("w_same"), F.col("rep_b").alias("w_rep"))).distinct()
-    text = checkpointed(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_rep")) & (F.col("same") == F.col("w_same"))).select(
-        "node", "text").dropDuplicates(["node"]))
-    side = lambda x: text.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
 
-    def linked(some: DataFrame) -> DataFrame:
+    def linked(some: DataFrame, text: DataFrame) -> DataFrame:
+        side = lambda x: text.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         return checkpointed(some.select("a", "b").join(side("b"), "b").join(side("a"), "a").select(
             "a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return checkpointed(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_rep")) & (F.col("same") == F.col("w_same"))).select(
+            "node", "text").dropDuplicates(["node"]))
+
+    text = texts_of(fit.select(F.col("a").alias("node"), F.col("same_a").alias("w_same"), F.col("rep_a").alias("w_rep")).unionByName(
+        fit.select(F.col("b").alias("node"), F.col("same_b").alias("w_same"), F.col("rep_b").alias("w_rep"))).distinct())
     # each text with the partner it agrees with most, then the pairs not connected by then
     first = fit.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
-    links = linked(first)
+    links = linked(first, text)
     label = components(links)
     of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     apart = fit.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(
         F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-    links = links.unionByName(linked(apart))
+    links = links.unionByName(linked(apart, text))
     labels = components(links)
+    # runs whose texts have not all met: the pairs still in different classes, but those aligned above
+    rest = checkpointed(open_pairs(nodes, uncovered, labels).join(fit.select("a", "b"), ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        ends = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct()
+        text = texts_of(ends.join(nodes, "node").select("node", F.col("same").alias("w_same"), F.col("rep").alias("w_rep")))
+        links = links.unionByName(linked(rest, text))
+        labels = components(links)
     joined = nodes.select("node", "same", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = joined.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "same")).alias("k"))
     # texts that are alone keep their own id; the others' classes are spread over salts, as a text may have very many copies

@@ -127,6 +127,43 @@ def test_a_large_near_group_is_one_class_with_few_links(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_near_pairs_on_a_shared_template_are_linked(spark):
+    """Runs of template sketches are led by strangers; the pairs behind them must be found all the same."""
+    r = random.Random(12)
+    template, rows = fx.prose(6, 150).split(), []
+    for pair in range(60):
+        own = [f"p{pair}w{i}" for i in range(50)]
+        for copy in range(2):
+            edited = [f"e{r.random()}" if copy and i % 3 == 0 else w for i, w in enumerate(own)]  # 17 of 200 words
+            rows.append((len(rows), " ".join(template + edited)))
+    r.shuffle(rows)
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_all_near_texts_of_a_long_run_meet():
+    """Cells of blocks hold every pair of different labels once; histograms rule out only what is far."""
+    import pyarrow as pa
+    r = random.Random(13)
+    words = [[r.randrange(40) for _ in range(r.randrange(30, 60))] for _ in range(60)]
+    words += [w[:-3] + [99, 98, 97] for w in words] + [[7] * 300 + w for w in words[:3]] + [[7] * 290 + [5] * 5 + words[0]]
+    hashes = [np.array(w, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for w in words]
+    bins = [order_minhash.histogram(order_minhash.mix64(h)).tobytes() for h in hashes]
+    n = len(words)
+    block = [r.randrange(2) for _ in range(n)]
+
+    def cell(rows, one):
+        t = pa.table({"node": pa.array(rows, pa.int64()), "label": pa.array([i // 2 for i in rows], pa.int64()),
+                      "words": pa.array([len(words[i]) for i in rows], pa.int64()), "bins": pa.array([bins[i] for i in rows], pa.binary()),
+                      "one": [one] * len(rows), "side": pa.array([0 if one else block[i] for i in rows], pa.int32())})
+        return list(zip(*[c.to_pylist() for c in order_minhash._cell(t).columns]))
+
+    found = cell([i for i in range(n) if not block[i]], True) + cell([i for i in range(n) if block[i]], True) + cell(list(range(n)), False)
+    pairs = [p for p in itertools.combinations(range(n), 2) if p[0] // 2 != p[1] // 2]
+    near = {p for p, ok in zip(pairs, order_minhash.aligned([(hashes[a], hashes[b]) for a, b in pairs])) if ok}
+    assert len(found) == len(set(found)) < len(pairs) and near <= set(found) <= set(pairs) and len(near) > 50
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r.node: r.label for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
