@@ -1,8 +1,8 @@
 """Cutting byte spans out of documents: shared by the substring operators.
 
 A document is known by ``(__doc, __row)``: its id (null ids count as the
-largest) and 17 bits of a hash of id and text, so that repeated rows share
-their spans and rows that share an id but not a text do not.
+largest) and a 64-bit hash of id and text, so that repeated rows share their
+spans and rows that share an id but not a text do not, however many they are.
 """
 
 from __future__ import annotations
@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import binary_views, bounded_batches
 
 LAST = (1 << 63) - 1
-ROW_BITS = 17
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__doc`` and ``__row``."""
     return docs.withColumns({
         "__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)),
-        "__row": F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << ROW_BITS) - 1))})
+        "__row": F.xxhash64("doc_id", "text")})
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, least: int = 1) -> list[tuple[int, int]]:

@@ -13,7 +13,7 @@ What makes it a distributed job is that equal strings can be made to meet:
 the string's least hashed 24-byte window (its minimizer) depends on content
 alone.  Consecutive starts with the same minimizer form a *piece*.
 
-1. Pieces travel as four integers to their minimizer; equal pieces collapse
+1. Pieces travel as five integers to their minimizer; equal pieces collapse
    to their first occurrence (already inside each task), whose copies are
    repeats as a whole.  A minimizer with one distinct piece is done.
 2. The distinct pieces of the other minimizers travel with their bytes (100 to
@@ -49,7 +49,7 @@ SIDE = LENGTH - GRAM          # bytes of a string outside its minimizer
 HOT = 2048
 BLOCK = 150_000
 PART = 1 << 22                # starts handled at once in a long text
-START_BITS, COUNT_BITS, ANCHOR_BITS = 32, 7, 7  # packed: row, start, number of starts, place of the minimizer
+COUNT_BITS, ANCHOR_BITS = 7, 7  # packed: start, number of starts, place of the minimizer
 KNOWN = np.int64(-(1 << 63))
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
@@ -232,18 +232,18 @@ def repeats(stretches: list[bytes], places: list[tuple], length: int = LENGTH) -
 
 def _collapse(parts: list) -> pa.RecordBatch:
     """One row per (minimizer, digest); further occurrences are marked and dealt by their own hash."""
-    key, digest, doc, packed = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((packed, doc, digest, key))
-    key, digest, doc, packed = key[order], digest[order], doc[order], packed[order]
+    key, digest, doc, row, packed = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((packed, row, doc, digest, key))
+    key, digest, doc, row, packed = key[order], digest[order], doc[order], row[order], packed[order]
     same = np.zeros(len(key), bool)
     same[1:] = (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-    later = same & ((doc != doc[first]) | (packed != packed[first]))
+    later = same & ((doc != doc[first]) | (row != row[first]) | (packed != packed[first]))
     keep = later | ~same
-    key[later] = mix64((doc[later].astype(np.uint64) * np.uint64(31)) ^ packed[later].astype(np.uint64)).astype(np.int64)
+    key[later] = mix64((doc[later].astype(np.uint64) * np.uint64(31)) ^ row[later].astype(np.uint64) ^ packed[later].astype(np.uint64)).astype(np.int64)
     digest[later] = 0
     packed[later] |= KNOWN
-    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, digest, doc, packed)], ["key", "digest", "doc", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, digest, doc, row, packed)], ["key", "digest", "doc", "row", "packed"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +262,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = own.tobytes()
                 ends = (first + count + (LENGTH - 1)).tolist()
                 marks = np.fromiter((digest(raw[s:e]) for s, e in zip(first.tolist(), ends)), np.uint64, len(ends)).view(np.int64)
-                packed = (((np.int64(rows[i]) << START_BITS | (first + a)) << COUNT_BITS | count) << ANCHOR_BITS) | (place - first)
-                parts.append((key, marks, np.full(len(key), docs[i], np.int64), packed))
+                packed = (((first + a) << COUNT_BITS | count) << ANCHOR_BITS) | (place - first)
+                parts.append((key, marks, np.full(len(key), docs[i], np.int64), np.full(len(key), rows[i], np.int64), packed))
                 held += len(key)
                 if held >= BLOCK:
                     yield _collapse(parts)
@@ -272,12 +272,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _collapse(parts)
 
 
-def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     anchor = packed & np.int64((1 << ANCHOR_BITS) - 1)
     packed = packed >> ANCHOR_BITS
     count = packed & np.int64((1 << COUNT_BITS) - 1)
-    packed = packed >> COUNT_BITS
-    return packed >> START_BITS, packed & np.int64((1 << START_BITS) - 1), count, anchor
+    return packed >> COUNT_BITS, count, anchor
 
 
 _MET = "__doc long, __row long, start long, end long, key long, anchor int, hot boolean"
@@ -285,8 +284,8 @@ _MET = "__doc long, __row long, start long, end long, key long, anchor int, hot
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by minimizer, digest and place: repeated pieces (no key), and distinct pieces of minimizers with several."""
-    def out(doc, packed, key, hot):
-        row, start, count, anchor = _unpack(packed)
+    def out(doc, row, packed, key, hot):
+        start, count, anchor = _unpack(packed)
         n = len(doc)
         return pa.RecordBatch.from_arrays(
             [pa.array(doc), pa.array(row), pa.array(start), pa.array(start + count + (LENGTH - 1)),
@@ -294,35 +293,35 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [c.split()[0] for c in _MET.split(", ")])
 
     none = np.zeros(0, np.int64)
-    wait = [none] * 4                 # the last minimizer's distinct pieces so far (HOT + 1 at most are held)
+    wait = [none] * 4                 # (key, doc, row, packed) of the last minimizer's distinct pieces so far (HOT + 1 at most are held)
     gone, hot_key = 0, None           # pieces of a hot minimizer already sent
-    last_digest, last_first = None, (0, 0)
+    last_digest, last_first = None, (0, 0, 0)
     for batch in batches:
-        key, digest, doc, packed = (np.asarray(batch.column(c)) for c in ("key", "digest", "doc", "packed"))
+        key, digest, doc, row, packed = (np.asarray(batch.column(c)) for c in ("key", "digest", "doc", "row", "packed"))
         known = packed < 0
         if known.any():
-            yield out(doc[known], packed[known] & ~KNOWN, None, None)
-            key, digest, doc, packed = (x[~known] for x in (key, digest, doc, packed))
+            yield out(doc[known], row[known], packed[known] & ~KNOWN, None, None)
+            key, digest, doc, row, packed = (x[~known] for x in (key, digest, doc, row, packed))
         if not len(key):
             continue
         lead = 0
         if last_digest is not None:   # put the first occurrence in hand before the batch
             lead = 1
-            key, digest, doc, packed = (np.concatenate([[x], y]) for x, y in zip((*last_digest, *last_first), (key, digest, doc, packed)))
+            key, digest, doc, row, packed = (np.concatenate([[x], y]) for x, y in zip((*last_digest, *last_first), (key, digest, doc, row, packed)))
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (digest[1:] == digest[:-1])
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-        later = same & ((doc != doc[first]) | (packed != packed[first]))
+        later = same & ((doc != doc[first]) | (row != row[first]) | (packed != packed[first]))
         if later.any():
-            yield out(doc[later], packed[later], None, None)
+            yield out(doc[later], row[later], packed[later], None, None)
         f = int(first[-1])
-        last_digest, last_first = (key[f], digest[f]), (doc[f], packed[f])
+        last_digest, last_first = (key[f], digest[f]), (doc[f], row[f], packed[f])
         fresh = ~same
         fresh[:lead] = False
-        key, doc, packed = key[fresh], doc[fresh], packed[fresh]
+        key, doc, row, packed = key[fresh], doc[fresh], row[fresh], packed[fresh]
         if not len(key):
             continue
-        key, doc, packed = (np.concatenate([x, y]) for x, y in zip(wait[:3], (key, doc, packed)))
+        key, doc, row, packed = (np.concatenate([x, y]) for x, y in zip(wait, (key, doc, row, packed)))
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(start, len(key)))
         if gone and key[0] != hot_key:
@@ -337,18 +336,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             complete[tail:] = False
         send = complete & (number > 1)
         if send.any():
-            yield out(doc[send], packed[send], key[send], number[send] > HOT)
+            yield out(doc[send], row[send], packed[send], key[send], number[send] > HOT)
         if complete[tail:].all():
             gone, hot_key = int(count[-1] + extra[-1]), key[-1]
             wait = [none] * 4
         else:
             gone = 0
-            wait = [key[tail:], doc[tail:], packed[tail:], none]
+            wait = [key[tail:], doc[tail:], row[tail:], packed[tail:]]
     if len(wait[0]) > 1:
-        yield out(wait[1], wait[2], wait[0], np.zeros(len(wait[0]), bool))
+        yield out(wait[1], wait[2], wait[3], wait[0], np.zeros(len(wait[0]), bool))
 
 
-_SENT = "key long, doc long, place long, size int, text binary"
+_SENT = "key long, doc long, row long, start long, size int, text binary"
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,17 +357,17 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _SENT.split(", ")]
 
     def flush(rows: list) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[:3])
+        rows.sort(key=lambda r: r[:4])
         met: dict[tuple[int, bytes], tuple] = {}
         out = []
-        for key, doc, place, text in rows:
-            if met.setdefault((key, text), (doc, place)) == (doc, place):
-                out.append((key, doc, place, len(text), text))
+        for key, doc, row, start, text in rows:
+            if met.setdefault((key, text), (doc, row, start)) == (doc, row, start):
+                out.append((key, doc, row, start, len(text), text))
             else:
-                out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (doc, place)) - (1 << 63), doc, place, len(text), None))
+                out.append((xxhash.xxh3_64_intdigest(b"%d %d %d" % (doc, row, start)) - (1 << 63), doc, row, start, len(text), None))
         cols = list(zip(*out))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
+            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
 
     rows: list = []
     for batch in batches:
@@ -377,10 +376,9 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, own in enumerate(batch.column("open")):
             v = own.values
             raw = data[offs[i]:offs[i + 1]].tobytes()
-            base = ids[i] << START_BITS
             for key, start, end, anchor, hot in zip(*(v.field(j).to_pylist() for j in range(5))):
                 if not hot:
-                    rows.append((key, docs[i], base | start, raw[start:end]))
+                    rows.append((key, docs[i], ids[i], start, raw[start:end]))
                     continue
                 at = start + anchor
                 most, least = anchor, anchor - (end - start - LENGTH)  # bytes before the minimizer
@@ -389,7 +387,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if a <= b:
                         common = raw[at - low:at + GRAM + SIDE - high]
                         sub = xxhash.xxh3_64_intdigest(common, (key ^ (step * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-                        rows.append((sub, docs[i], base | (at - b), raw[at - b:at - a + LENGTH]))
+                        rows.append((sub, docs[i], ids[i], at - b, raw[at - b:at - a + LENGTH]))
             if len(rows) >= 50_000:
                 yield flush(rows)
                 rows = []
@@ -400,7 +398,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPANS = "__doc long, __row long, start long, end long"
 
 
-def _sorted_groups(key, doc, place, data, offs) -> list[tuple]:
+def _sorted_groups(key, doc, row, start, data, offs) -> list[tuple]:
     """Repeated spans (doc, row, start, end) within whole groups of rows sorted by key, document and place."""
     out: list[tuple] = []
     n = len(key)
@@ -432,8 +430,8 @@ def _sorted_groups(key, doc, place, data, offs) -> list[tuple]:
 
     def close() -> None:
         for s, i in repeats(stretches, places):
-            d, row, start = places[s]
-            out.append((d, row, start + i, start + i + LENGTH))
+            d, of, first = places[s]
+            out.append((d, of, first + i, first + i + LENGTH))
 
     for r, x, y in zip(whose.tolist(), a.tolist(), b.tolist()):
         if key[r] != group:
@@ -441,7 +439,7 @@ def _sorted_groups(key, doc, place, data, offs) -> list[tuple]:
                 close()
             group, stretches, places, copies = key[r], [], [], {}
         text = raw[x:y + LENGTH]
-        here = (int(doc[r]), int(place[r]) >> START_BITS, (int(place[r]) & ((1 << START_BITS) - 1)) + x - int(offs[r]))
+        here = (int(doc[r]), int(row[r]), int(start[r]) + x - int(offs[r]))
         if text in copies:
             if here != copies[text]:
                 out.append((*here, here[2] + len(text)))
@@ -463,8 +461,8 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows.combine_chunks()
         data, offs, _ = binary_views(rows.column("text"))
         data, offs = data[offs[0]:offs[-1]], offs - offs[0]
-        key, doc, place = (np.asarray(rows.column(c)) for c in ("key", "doc", "place"))
-        return out(_sorted_groups(key, doc, place, data, offs))
+        key, doc, row, start = (np.asarray(rows.column(c)) for c in ("key", "doc", "row", "start"))
+        return out(_sorted_groups(key, doc, row, start, data, offs))
 
     held: list[pa.Table] = []
     count = 0
@@ -472,10 +470,9 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([batch])
         known = np.asarray(rows.column("text").is_null())
         if known.any():
-            doc, place, size = (np.asarray(rows.column(c))[known] for c in ("doc", "place", "size"))
-            start = place & np.int64((1 << START_BITS) - 1)
+            doc, row, start, size = (np.asarray(rows.column(c))[known] for c in ("doc", "row", "start", "size"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(place >> START_BITS), pa.array(start), pa.array(start + size)], [c.split()[0] for c in _SPANS.split(", ")])
+                [pa.array(doc), pa.array(row), pa.array(start), pa.array(start + size)], [c.split()[0] for c in _SPANS.split(", ")])
             rows = rows.filter(pa.array(~known))
         if not rows.num_rows:
             continue
@@ -496,12 +493,12 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(__doc, __row, start, end): spans whose union is what the contract removes."""
     texts = cuts.keyed(bounded_batches(docs).select("doc_id", "text")).select("__doc", "__row", F.col("text").cast("binary").alias("text"))
-    made = texts.mapInArrow(_pieces, "key long, digest long, doc long, packed long")
-    met = checkpointed(made.repartition("key").sortWithinPartitions("key", "digest", "doc", "packed").mapInArrow(_meet, _MET), release=True)
+    made = texts.mapInArrow(_pieces, "key long, digest long, doc long, row long, packed long")
+    met = checkpointed(made.repartition("key").sortWithinPartitions("key", "digest", "doc", "row", "packed").mapInArrow(_meet, _MET), release=True)
     open_ = met.filter(F.col("key").isNotNull()).groupBy("__doc", "__row").agg(
         F.collect_set(F.struct("key", "start", "end", "anchor", "hot")).alias("open"))
     sent = texts.dropDuplicates(["__doc", "__row"]).join(open_, ["__doc", "__row"]).mapInArrow(_send, _SENT)
-    found = checkpointed(sent.repartition("key").sortWithinPartitions("key", "doc", "place").mapInArrow(_sort, _SPANS), release=True)
+    found = checkpointed(sent.repartition("key").sortWithinPartitions("key", "doc", "row", "start").mapInArrow(_sort, _SPANS), release=True)
     return met.filter(F.col("key").isNull()).select("__doc", "__row", "start", "end").unionByName(found)
 
 

@@ -331,6 +331,23 @@ def test_passages_of_fifty_words_are_cut_after_their_first_text(spark):
     assert got[0] == 0 and all(got[i] > 0.5 * len(passage) for i in range(1, 12)) and all(got[100 + i] == 0 for i in range(12))
 
 
+@pytest.mark.parametrize("dedup", [chunk_dedup.dedup_digests, suffix_dedup.dedup_digests])
+def test_thousands_of_texts_under_a_null_id_keep_apart(spark, dedup):
+    """Cuts of one text must not reach another with the same id."""
+    passage = fx.prose(43, 60)
+    clean = [fx.prose(20_000 + i, 30) for i in range(3000)]
+    shared = [fx.prose(30_000 + i, 10) + " " + passage + " " + fx.prose(40_000 + i, 10) for i in range(500)]
+    d = spark.createDataFrame([(None, t) for t in clean + shared], "doc_id long, text string")
+    got = {}
+    for r in dedup(d).collect():
+        got.setdefault(r.kept_sha256, []).append(r.n_removed)
+    assert all(got.get(hashlib.sha256(t.encode()).hexdigest()) == [0] for t in clean)
+    cut = [n for removed in got.values() for n in removed if n]
+    assert len(cut) >= 490 and min(cut) >= 100
+    if dedup is suffix_dedup.dedup_digests:
+        assert len(cut) == 499 and min(cut) >= len(passage)
+
+
 # -- sharding
 
 def test_table_shares_and_small_disruption():
