@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import chunk_dedup, langid, lookup_sharding, mixing_lm, order_minhash, pu_quality, spaced_seed, stable_ann, suffix_dedup, swap_packing
+from panelcast.llm import (chunk_dedup, langid, lookup_sharding, merkle_manifest, mixing_lm, order_minhash, pu_quality, spaced_seed,
+                           splitter_trie, stable_ann, suffix_dedup, swap_packing, url_markov)
 from panelcast.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_splitter_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitter_trie.conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op2_order_minhash": op2_order_minhash,
@@ -61,8 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_swap_packing": op8_swap_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pu_quality": op10_pu_quality,
+    "op11_splitter_trie": op11_splitter_trie,
+    "op12_url_markov": op12_url_markov,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_spaced_seed_decontamination": spaced_seed.ORACLE_SQL,
+    "op11_splitter_trie": splitter_trie.ORACLE_SQL,
+    "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }

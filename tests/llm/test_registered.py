@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in q.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
