@@ -280,8 +280,8 @@ def verify_documents(docs: DataFrame) -> DataFrame:
 ORACLE_SQL = """
 WITH RECURSIVE rows AS (
   SELECT doc_id, lang, source, n_chars, text, xor(list_reduce(
-    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), x -> [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-    (acc, b) -> xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1))), 4294967295) % 7 = 0 AS hit
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda acc, b: xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1))), 4294967295) % 7 = 0 AS hit
   FROM documents),
 fields AS (
   SELECT doc_id, lang,

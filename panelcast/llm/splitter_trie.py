@@ -305,8 +305,8 @@ WITH own AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (
   SELECT c, c - c % 5 AS lender, xor(list_reduce(
-    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), x -> [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-    (acc, b) -> xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1))), 4294967295) % 9 AS h
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda acc, b: xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1))), 4294967295) % 9 AS h
   FROM (SELECT DISTINCT c FROM own)),
 turns AS (
   SELECT i.c, 0 AS part, o.k, o.role, o.text FROM ids i JOIN own o ON o.c = i.lender AND o.k <= i.h
