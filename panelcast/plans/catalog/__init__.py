@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 Builder = Callable[[SparkSession, str], DataFrame]
 
 _MODULES = ("panels", "cleaning", "features", "joins", "aggregates", "imputation", "spatial",
-            "schema", "ingest", "modelling", "flows")
+            "schema", "ingest", "layouts", "modelling", "flows")
 
 
 @dataclass(frozen=True)
