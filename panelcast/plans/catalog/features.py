@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions import maths as mt
 from ...functions import rules as rl
-from ...operators import fills, windows
+from ...operators import dayframes, fills, windows
 from ...operators.aggregates import attach_params
 from ...operators.frames import SeriesFrame, add_index
 from ...sources import tables as tb
@@ -226,3 +226,49 @@ def rul_rule_category_rolling_unhealthy(spark, d):
     a = tb.panel_air(spark, d).select("station", "date", rl.any_unhealthy().alias("is_unhealthy"))
     a = windows.rolling(a, ["is_unhealthy"], [7], ["sum"], name="unhealthy_days_{n}d")
     return a.withColumn("unhealthy_days_7d", F.col("unhealthy_days_7d").cast("long"))
+
+
+# ---------------------------------------------------------------- frames of days (survey 2.7)
+
+_DAYS = "PARTITION BY station ORDER BY date"
+_PM = "price_max"
+
+
+def _back(c: str, k: int) -> str:
+    return f"max({c}) OVER ({_DAYS} RANGE BETWEEN INTERVAL {k} DAY PRECEDING AND INTERVAL {k} DAY PRECEDING)"
+
+
+def _span(n: int) -> str:
+    return f"({_DAYS} RANGE BETWEEN INTERVAL {n - 1} DAY PRECEDING AND CURRENT ROW)"
+
+
+@register("win1_win2_win5_days_back", tb.with_views("panel_orders") + "SELECT station, date, " + ", ".join(
+    f"{R(_back(_PM, k))} AS price_max_lag_{k}days, {R(f'price_max - {_back(_PM, k)}')} AS price_max_delta_{k}days, "
+    f"{R(f'price_max / nullif({_back(_PM, k)}, 0) - 1')} AS price_max_growth_{k}days" for k in (1, 7, 30, 365))
+    + " FROM panel_orders")
+def win1_win2_win5_days_back(spark, d):
+    p = tb.panel_orders(spark, d).select("station", "date", "price_max")
+    back = [1, 7, 30, 365]
+    x = dayframes.lags_days(p, "price_max", back)
+    x = dayframes.deltas_days(x, "price_max", back)
+    return dayframes.growth_days(x, "price_max", back).drop("price_max")
+
+
+@register("win6_win7_win11_days_rolling", tb.with_views("panel_orders") + "SELECT station, date, " + ", ".join(
+    f"{R(f'avg(n_orders) OVER {_span(n)}')} AS n_orders_rollmean_{n}days, "
+    f"CAST(sum(n_orders) OVER {_span(n)} AS BIGINT) AS n_orders_rollsum_{n}days, "
+    f"CAST(count(n_orders) OVER {_span(n)} AS BIGINT) AS n_orders_rollcount_{n}days, "
+    f"CASE WHEN count(n_orders) OVER {_span(n)} >= 5 THEN CAST(max(n_orders) OVER {_span(n)} AS BIGINT) END AS n_orders_rollmax_{n}days"
+    for n in (7, 30, 365)) + " FROM panel_orders")
+def win6_win7_win11_days_rolling(spark, d):
+    p = tb.panel_orders(spark, d).select("station", "date", "n_orders")
+    return dayframes.rolling_days(p, "n_orders", [7, 30, 365], ["mean", "sum", "count", "max"], min_periods={"max": 5}).drop("n_orders")
+
+
+@register("win17_days_deviation", tb.with_views("panel_orders") + f"""
+SELECT station, date, {R(f'n_orders - avg(n_orders) OVER {_span(30)}')} AS n_orders_dev_30days,
+       {R(f'(n_orders - avg(n_orders) OVER {_span(30)}) / avg(n_orders) OVER {_span(30)} * 100')} AS n_orders_dev_pct_30days
+FROM panel_orders""")
+def win17_days_deviation(spark, d):
+    p = tb.panel_orders(spark, d).select("station", "date", "n_orders")
+    return dayframes.deviation_days(p, "n_orders", 30).drop("n_orders")

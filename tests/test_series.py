@@ -107,3 +107,43 @@ def test_hot_station_spreads_over_partitions(spark):
     w = Window.partitionBy("station").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     ref = ordered(df.select("station", "date", F.last("v", True).over(w).alias("v")), "v")
     assert got == ref
+
+
+@pytest.mark.parametrize("width", [1, 5, 64, None])
+def test_day_frames_on_a_gappy_panel(spark, width):
+    """Lags, sums and deviations by days against plain Python, whatever the chunk width."""
+    import random
+
+    from panelcast.operators import dayframes as df_
+    r = random.Random(3)
+    rows = [(s, D0 + dt.timedelta(days=i), None if r.random() < 0.1 else float(r.randint(0, 50)))
+            for s in ("S1", "S2") for i in range(200) if r.random() < 0.6]
+    rows.append(("S1", None, 1.0))
+    x = spark.createDataFrame(rows, "station string, date date, v double")
+    x = df_.lags_days(x, "v", [1, 7], width=width)
+    x = df_.rolling_days(x, "v", [7], ["sum", "count", "std"], min_periods={"std": 3}, width=width)
+    x = df_.growth_days(x, "v", [7], width=width)
+    got = {(q.station, q.date): q for q in x.collect()}
+    assert len(got) == len(rows)
+    known = {(s, d): v for s, d, v in rows}
+    for (s, d), q in got.items():
+        if d is None:
+            assert q.v == 1.0 and q.v_lag_1days is None and q.v_rollcount_7days is None
+            continue
+        at = lambda k: known.get((s, d - dt.timedelta(days=k)))
+        assert q.v_lag_1days == at(1) and q.v_lag_7days == at(7)
+        seen = [at(k) for k in range(7) if at(k) is not None]
+        assert q.v_rollcount_7days == len(seen) and q.v_rollsum_7days == (sum(seen) if seen else None)
+        assert (q.v_rollstd_7days is None) == (len(seen) < 3)
+        assert q.v_growth_7days == (q.v / at(7) - 1 if q.v is not None and at(7) else None)
+
+
+def test_day_chunks_follow_the_rows_of_a_day(spark):
+    from panelcast.operators import dayframes as df_
+    rows = [("S1", D0 + dt.timedelta(days=i), float(k)) for i in range(64) for k in range(10)]
+    x = spark.createDataFrame(rows, "station string, date date, v double")
+    assert df_.chunk_days(x, rows_per_task=45) == 4 and df_.chunk_days(x, rows_per_task=5) == 1 and df_.chunk_days(x) == 16384
+    wide = df_.rolling_days(x, "v", [5], ["sum"]).groupBy("date").agg(F.max("v_rollsum_5days").alias("s")).collect()
+    thin = df_.rolling_days(x, "v", [5], ["sum"], width=df_.chunk_days(x, rows_per_task=45)).groupBy("date").agg(
+        F.max("v_rollsum_5days").alias("s")).collect()
+    assert sorted(map(tuple, wide)) == sorted(map(tuple, thin))
