@@ -11,7 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -77,6 +77,38 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label_idx: str, we
     return Pipeline(stages=[assemble(features), rf]).fit(train)
 
 
+def fit_boosted_classes(train: DataFrame, features: Sequence[str], label: str, classes: Sequence[str], weight: str | None = "weight",
+                        **params) -> dict:
+    """One weighted boosted model per class, its rows against all others (ML3); a class without rows, or with all, gets its share instead."""
+    p = {**GBT_PARAMS, **params}
+    n = train.groupBy(label).count().collect()  # one row per class
+    counts = {r[label]: r["count"] for r in n}
+    out: dict = {}
+    for c in classes:
+        share = counts.get(c, 0) / max(sum(counts.values()), 1)
+        if share in (0, 1):
+            out[c] = share
+            continue
+        gbt = GBTClassifier(featuresCol="features", labelCol="_is_class", weightCol=weight, **p)
+        out[c] = Pipeline(stages=[assemble(features), gbt]).fit(train.withColumn("_is_class", (F.col(label) == c).cast("double")))
+    return out
+
+
+def boosted_probabilities(df: DataFrame, models: Mapping[str, object], prefix: str = "prob_", out: str = "predicted") -> DataFrame:
+    """``prob_<class>`` (the class models' probabilities, normalised to sum 1) and the likeliest class (ML3, ML17)."""
+    names = {c: f"{prefix}{c.lower().replace(' ', '_')}" for c in models}
+    x, kept = df, list(df.columns)
+    for c, m in models.items():
+        if isinstance(m, (int, float)):
+            x = x.withColumn(names[c], F.lit(float(m)))
+        else:
+            x = m.transform(x).select(*kept, vector_to_array("probability")[1].alias(names[c]))
+        kept = x.columns
+    total = sum((F.col(n) for n in names.values()), F.lit(0.0))
+    x = x.select(*df.columns, *[F.coalesce(F.try_divide(F.col(n), total), F.lit(1.0 / len(names))).alias(n) for n in names.values()])
+    return x.withColumn(out, attach_category(list(names.values()), list(models))[0])
+
+
 def probability_columns(scored: DataFrame, classes: Sequence[str], prob: str = "probability",
                         prefix: str = "prob_") -> DataFrame:
     """``prob_<class>`` columns and the decoded label (ML17)."""
@@ -207,43 +239,6 @@ def ar1_forecast(history: DataFrame, horizon_dates: DataFrame, col: str, station
     return j.select(*horizon_dates.columns, val.alias(col), method.alias("method"))
 
 
-def recursive_forecast(history: DataFrame, model, target: str, lags: Sequence[int], horizon: int,
-                       frame: SeriesFrame = STATION_DATE, checkpoint_every: int = 5,
-                       extra_features=None) -> DataFrame:
-    """Multi-step forecast where day t+1's lag features come from predictions <= t (ML10).
-
-    Sequential in the horizon, parallel over series.  The state is one row per
-    series holding its last ``max(lags)`` values as an array (row-based lags, as
-    in training); a step reads the lags from the array, predicts with
-    ``model.transform`` and shifts the array, so steps are row-local (no
-    shuffle).  Lineage is cut with ``checkpoint`` (shared checkpoint folder)
-    every few steps.  Negative predictions are clipped to 0.
-    """
-    from .windows import last_rows
-    ensure_checkpoint_dir(history.sparkSession)
-    keys, order = list(frame.keys), frame.order
-    depth = max(lags)
-    tail = last_rows(history.select(*keys, order, target).where(F.col(target).isNotNull()), depth, frame)
-    state = tail.groupBy(*keys).agg(F.max(order).alias("_t"),
-                                    F.sort_array(F.collect_list(F.struct(order, target))).alias("_s"))
-    state = state.select(*keys, "_t", F.transform("_s", lambda x: x[target]).alias("_v"),
-                         F.array().cast(f"array<struct<{order}:date,{target}:double>>").alias("_out"))
-    for step in range(1, horizon + 1):
-        x = state.withColumn(order, F.date_add("_t", 1)).withColumns(
-            {f"{target}_lag_{k}d": F.get(F.col("_v"), F.size("_v") - k) for k in lags})
-        if extra_features is not None:
-            x = x.withColumns(extra_features(order))
-        x = model.transform(x)
-        p = F.col(f"{target}_pred")
-        p = F.when(p < 0, F.lit(0.0)).otherwise(p)
-        state = x.select(*keys, F.col(order).alias("_t"),
-                         F.slice(F.concat("_v", F.array(p)), -depth, depth).alias("_v"),
-                         F.concat("_out", F.array(F.struct(F.col(order), p.alias(target)))).alias("_out"))
-        if step % checkpoint_every == 0 and step < horizon:
-            state = state.checkpoint(eager=True)
-    return state.select(*keys, F.explode("_out").alias("_o")).select(*keys, f"_o.{order}", f"_o.{target}")
-
-
 def fill_features(train: DataFrame, others: Sequence[DataFrame], features: Sequence[str]):
     """Training medians fill NULL features in train and in the other frames (IMP3 before ML1/ML3)."""
     from .impute import apply_medians, fit_medians

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ...functions import dates as dtf
 from ...operators import densify as dz
 from ...operators import modelling as ml
+from ...operators import recursive as rc
 from ...operators import windows
+from ...operators.frames import checkpoint
 from ...sources import tables as tb
 from . import register
 from . import as_double as R
@@ -108,6 +110,18 @@ def ml3_ml17_weighted_forest_probabilities(spark, d):
                          *[f"prob_{c.lower().replace(' ', '_')}" for c in idx.labels])
 
 
+@register("ml3_boosted_classes", None, note="fitted boosted trees per class: rows-only")
+def ml3_boosted_classes(spark, d):
+    """One weighted boosted model per class, probabilities normalised."""
+    a = _features(spark, d).where(F.col("pm_sepuluh").isNotNull()).withColumn("kategori", _label())
+    a = ml.balanced_weights(a, "kategori")
+    feats = [f for f in FEATS if f not in ("pm_sepuluh_lag_1d",)]
+    train, test = ml.fill_features(a.where(F.col("date") <= F.lit(CUT).cast("date")),
+                                   [a.where(F.col("date") > F.lit(CUT).cast("date"))], feats)
+    models = ml.fit_boosted_classes(checkpoint(train), feats, "kategori", CLASSES, maxIter=20, maxDepth=4)
+    return ml.boosted_probabilities(test, models).select("station", "date", "kategori", "predicted", *PROBS)
+
+
 @register("ml4_balanced_class_weights", AIR + f"""
 , c AS (SELECT {_LABEL_SQL} AS kategori, count(*) AS nc FROM panel_air GROUP BY 1)
 SELECT kategori, {R('(SELECT sum(nc) FROM c) / ((SELECT count(*) FROM c) * nc)')} AS weight FROM c""")
@@ -197,15 +211,38 @@ def ml9_persistence_forecast_frame(spark, d):
     return jn.last_known_row(a, fut, ["pm_sepuluh", "ozon"])
 
 
-@register("ml10_recursive_forecast", None, note="recursive model forecast: rows-only")
+@register("ml10_recursive_forecast", None, note="recursive forecast of a boosted model: rows-only; its state has SQL below")
 def ml10_recursive_forecast(spark, d):
+    """91 days by a boosted model of the survey's settings, on lags, rolling state and the calendar."""
     a = tb.panel_air(spark, d).select("station", "date", "pm_sepuluh").where(F.col("pm_sepuluh").isNotNull())
-    lagged = windows.lags(a, ["pm_sepuluh"], [1, 7]).na.drop()
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import LinearRegression
-    lr = LinearRegression(featuresCol="features", labelCol="pm_sepuluh", predictionCol="pm_sepuluh_pred")
-    model = Pipeline(stages=[ml.assemble(["pm_sepuluh_lag_1d", "pm_sepuluh_lag_7d"]), lr]).fit(lagged)
-    return ml.recursive_forecast(a, model, "pm_sepuluh", [1, 7], horizon=14, checkpoint_every=5)
+    h = rc.History()
+    feats = h.names(["pm_sepuluh"]) + rc.CALENDAR
+    train = checkpoint(rc.recursive_features(a, ["pm_sepuluh"], h).na.drop())
+    model = ml.fit_regressor(train, feats, "pm_sepuluh", maxIter=100, maxDepth=6, stepSize=0.1)
+    return rc.recursive_forecast(a, {"pm_sepuluh": model}, 91, h)
+
+
+# A rule of fixed weights in place of a model; steps of 1/16 keep all sums exact, so that every engine gets the same doubles.
+_RULE = "floor(({l1} * 0.5 + {l7} * 0.125 + {m7} * 0.25 + {m30} * 0.125 + {month} % 2 + {dow} * 0.25) * 16) / 16"
+
+
+@register("ml10_recursive_state", tb.with_views("panel_orders").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, h AS (SELECT station, max(date) AS date, list(n_orders::DOUBLE ORDER BY date) AS v FROM (
+          SELECT * FROM panel_orders QUALIFY row_number() OVER (PARTITION BY station ORDER BY date DESC) <= 30) t GROUP BY station),
+r AS (SELECT station, date, v, 0 AS i FROM h
+      UNION ALL
+      SELECT station, CAST(date + INTERVAL 1 DAY AS DATE), list_append(v, """ + _RULE.format(
+    l1="v[-1]", l7="v[-7]", m7="list_avg(v[-7:])", m30="list_avg(v[-30:])", month="month(date + INTERVAL 1 DAY)",
+    dow="(isodow(date + INTERVAL 1 DAY) - 1)") + """)[-30:], i + 1 FROM r WHERE i < 91)
+SELECT station, date, CAST(v[-1] AS DOUBLE) AS n_orders FROM r WHERE i > 0""")
+def ml10_recursive_state(spark, d):
+    """The rolling state over 91 steps, driven by a rule that SQL can follow."""
+    from pyspark.ml.feature import SQLTransformer
+    p = tb.panel_orders(spark, d).select("station", "date", F.col("n_orders").cast("double").alias("n_orders"))
+    rule = SQLTransformer(statement="SELECT *, " + _RULE.format(
+        l1="n_orders_lag_1", l7="n_orders_lag_7", m7="n_orders_rolling_7", m30="n_orders_rolling_30", month="month(date)",
+        dow="weekday(date)") + " AS n_orders_pred FROM __THIS__")
+    return rc.recursive_forecast(p, {"n_orders": rule}, 91)
 
 
 @register("ml11_drift_correction", tb.with_views("panel_air", extra=_FUTURE_SQL) + f"""
@@ -226,8 +263,7 @@ def ml11_drift_correction(spark, d):
 
 
 _AR_SQL = f"""h AS (SELECT station, date, price_avg AS v FROM panel_orders
-               WHERE price_avg IS NOT NULL AND (station <> 'DKI5' OR date >= DATE '2001-07-25')
-                 AND station <> 'DKI4'),
+               WHERE price_avg IS NOT NULL),
 d1 AS (SELECT *, v - lag(v, 1) OVER ({W}) AS dd FROM h),
 d2 AS (SELECT *, lag(dd, 1) OVER ({W}) AS dp FROM d1),
 fit AS (SELECT station, regr_slope(dd, dp) AS b, regr_intercept(dd, dp) AS a, count(v) AS n, avg(v) AS mean,
@@ -251,9 +287,6 @@ SELECT station, date,
 FROM k""")
 def ml12_ar1_fallback_forecast(spark, d):
     p = tb.panel_orders(spark, d).select("station", "date", "price_avg").where(F.col("price_avg").isNotNull())
-    # DKI5 keeps only a week of history (series-mean fallback); DKI4 none (global mean)
-    p = p.where(((F.col("station") != "DKI5") | (F.col("date") >= F.lit("2001-07-25").cast("date")))
-                & (F.col("station") != "DKI4"))
     stations = tb.panel_orders(spark, d).select("station")
     hz = dz.date_skeleton(stations, "2001-08-02", "2001-08-31")
     return ml.ar1_forecast(p, hz, "price_avg")
