@@ -87,10 +87,10 @@ def _total(values: Column, centre: Column, power: int = 1) -> Column:
 
 
 def _start(history_rows: DataFrame, targets: Sequence[str], h: History, frame: SeriesFrame) -> DataFrame:
-    """One row per series: last day, and per target the buffer, its centre and the sums of every width."""
+    """One row per series: the first day to predict, and per target the buffer, its centre and the sums of every width."""
     keys, order = list(frame.keys), frame.order
     tail = last_rows(history_rows.select(*keys, order, *targets), h.depth, frame)
-    state = tail.groupBy(*keys).agg(F.max(order).alias("_day"), F.sort_array(F.collect_list(F.struct(order, *targets))).alias("_rows"))
+    state = tail.groupBy(*keys).agg(F.date_add(F.max(order), 1).alias(order), F.sort_array(F.collect_list(F.struct(order, *targets))).alias("_rows"))
     state = state.withColumns({f"_v_{t}": _field("_rows", t) for t in targets})
     state = state.withColumns({f"_c_{t}": F.floor(_total(F.col(f"_v_{t}"), F.lit(0.0)) / F.size(f"_v_{t}")).cast("double") for t in targets})
     sums = {}
@@ -130,7 +130,7 @@ def _advanced(t: str, p: Column, h: History) -> dict[str, Column]:
 def recursive_forecast(history_rows: DataFrame, models: Mapping[str, object], horizon: int, history: History = History(),
                        frame: SeriesFrame = STATION_DATE, static: Sequence[str] = (), fill: Mapping[str, float] | None = None,
                        calendar: Callable[[str], Mapping[str, Column]] = calendar_features, floor_at: float | None = 0.0,
-                       checkpoint_every: int = 7) -> DataFrame:
+                       checkpoint_every: int = 5) -> DataFrame:
     """``horizon`` days after each series' last one: (keys, day, one column per target).
 
     ``models`` maps a target to a fitted pipeline whose ``transform`` adds
@@ -147,13 +147,12 @@ def recursive_forecast(history_rows: DataFrame, models: Mapping[str, object], ho
         state = state.join(latest, keys)
     kind = f"array<struct<{order}:date,{','.join(f'{t}:double' for t in targets)}>>"
     state = checkpoint(state.withColumn("_out", F.array().cast(kind)))
-    kept = [c for c in state.columns if c not in ("_day", "_out") and not c.startswith(("_v_", "_c_", "_s_", "_q_"))]
+    kept = [c for c in state.columns if c not in (order, "_out") and not c.startswith(("_v_", "_c_", "_s_", "_q_"))]
     for step in range(1, horizon + 1):
-        x = state.withColumn(order, F.date_add("_day", 1))
-        made: dict[str, Column] = {}
+        made: dict[str, Column] = dict(calendar(order))
         for t in targets:
             made |= _features_of_state(t, history)
-        x = x.withColumns(made).withColumns(calendar(order))
+        x = state.withColumns(made)
         if fill:
             x = x.fillna({k: v for k, v in fill.items() if k in x.columns})
         columns = x.columns
@@ -165,7 +164,8 @@ def recursive_forecast(history_rows: DataFrame, models: Mapping[str, object], ho
         for t in targets:
             after |= _advanced(t, F.col(f"_p_{t}"), history)
         row = F.struct(F.col(order), *[F.col(f"_p_{t}").alias(t) for t in targets])
-        state = x.select(*kept, F.col(order).alias("_day"), *[c.alias(n) for n, c in after.items()], F.concat("_out", F.array(row)).alias("_out"))
-        if step % checkpoint_every == 0 and step < horizon:
+        state = x.select(*kept, F.date_add(order, 1).alias(order), *[c.alias(n) for n, c in after.items()], F.concat("_out", F.array(row)).alias("_out"))
+        # also after the last step: a filter pushed from the caller's side through the steps would repeat their expressions
+        if step % checkpoint_every == 0 or step == horizon:
             state = checkpoint(state)
     return state.select(*keys, F.explode("_out").alias("_o")).select(*keys, f"_o.{order}", *[f"_o.{t}" for t in targets])

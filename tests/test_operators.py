@@ -59,3 +59,30 @@ def test_oversample_exact_count(spark):
     out = oversample_minority(df, ["a", "b"], "y", "min", 47, bucket_length=4.0)
     assert out.count() == 47
     assert out.where("y <> 'min'").count() == 0
+
+
+def test_wide_correlations_equal_pairwise_complete_ones(spark):
+    import random
+
+    import numpy as np
+
+    from panelcast.operators import widecorr
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        a = r.gauss(1e6, 1)
+        rows.append((a if r.random() < 0.8 else None, a + r.gauss(0, 2) if r.random() < 0.7 else None, 5.0, 1.0 if i < 20 else None,
+                     float("inf") if i == 3 else r.random()))
+    cols = ["a", "b", "flat", "few", "odd"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    got = {q.feature: q for q in widecorr.corr_matrix_wide(df, cols, ["a", "b"]).collect()}
+    x = np.array([[np.nan if v is None or np.isinf(v) else v for v in row] for row in rows])
+    for i, f in enumerate(cols):
+        for j, t in enumerate(["a", "b"]):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if f in ("flat", "few"):
+                assert got[f][t] is None
+            else:
+                assert abs(got[f][t] - np.corrcoef(x[ok, i], x[ok, j])[0, 1]) < 1e-9
+    none = widecorr.corr_matrix_wide(df.limit(0), cols, ["a"]).collect()
+    assert [tuple(q) for q in none] == [(c, None) for c in cols]
