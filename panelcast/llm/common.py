@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,17 @@ def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, for loops.
+
+    A checkpoint keeps the planner's size estimate of what it holds; an estimate for joins multiplies those of its sides,
+    so in a loop over joins the number itself grows to megabytes.  A table has the size of its files.
+    """
+    place = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 #: Bytes of an Arrow batch on its way to a Python worker.
 BATCH_BYTES = 8 << 20
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpointed, mix64, slices, worker_cache
+from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpointed, mix64, slices, worker_cache, written
 
 WORDS, PICKED, SKETCHES, SIMILARITY = 5, 3, 40, 0.8
 SALTS = 8
@@ -357,13 +357,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, by label spreading with pointer jumps."""
-    both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
+    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = checkpointed(labels.join(near, "node").join(jump, "label", "left").select(
+        new = written(labels.join(near, "node").join(jump, "label", "left").select(
             "node", F.col("label").alias("old"), F.least("label", "near", "root").alias("label")))
         changed = new.filter(F.col("old") != F.col("label")).limit(1).count()
         labels = new.select("node", "label")
