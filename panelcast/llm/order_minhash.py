@@ -20,8 +20,9 @@ already.  That settles runs of near copies.  A longer run whose texts are then
 still in several classes (texts on a shared template, whose first is a
 stranger to the others) is gone through whole, block against block
 (:func:`open_pairs`): every two of its texts in different classes are aligned
-unless their lengths or word histograms prove them too far apart.  So any two
-texts that agree on a sketch are connected or known not to be near.
+unless their lengths or histograms of words and word pairs prove them too far
+apart.  So any two texts that agree on a sketch are connected or known not to
+be near.
 
 Defined results: a null text is a class of its own; empty texts equal each
 other; repeated rows share a class; the class id is the smallest doc_id of the class (null if
@@ -43,7 +44,7 @@ from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpoin
 WORDS, PICKED, SKETCHES, SIMILARITY = 5, 3, 40, 0.8
 SALTS = 8
 ALL_PAIRS = 6           # in a run of equal keys, the first few are paired with each other
-BINS = 256              # of a text's word histogram
+BINS, PAIR_BINS = 256, 512  # of a text's histograms of words and of neighbouring words
 BLOCK = 512             # texts of a run that meet another block's at once
 CHUNK = 1 << 15
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -118,8 +119,10 @@ def sketch(labels: np.ndarray) -> np.ndarray:
 
 
 def histogram(hashes: np.ndarray) -> np.ndarray:
-    """Numbers of words by the last bits of their hashes, up to 255."""
-    return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    """Numbers of words, and of pairs of neighbouring words, by the last bits of their hashes, up to 255."""
+    pairs = mix64(hashes[:-1] * np.uint64(31) + hashes[1:])
+    counts = [np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) for h, n in ((hashes, BINS), (pairs, PAIR_BINS))]
+    return np.minimum(np.concatenate(counts), 255).astype(np.uint8)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +222,25 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _may_be_near(words: np.ndarray, bins: np.ndarray, own_words: int, own_bins: np.ndarray) -> np.ndarray:
-    """Which of the texts could be near the one in hand: false only if lengths or word histograms prove the opposite."""
+    """Which of the texts could be near the one in hand: false only if lengths or histograms prove the opposite.
+
+    e edits leave at least longer - e words and longer - 1 - 2 e pairs of neighbours in common.
+    """
     longer = np.maximum(words, own_words)
     allowed = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
     least = np.minimum(bins, own_bins)
-    common = least.sum(1, dtype=np.int64)
-    common[(least == 255).any(1)] = 1 << 40  # counted up to 255 only
-    return (np.abs(words - own_words) <= allowed) & (longer - common <= allowed)
+    near = np.abs(words - own_words) <= allowed
+    for part, kept in ((least[:, :BINS], longer - allowed), (least[:, BINS:], longer - 1 - 2 * allowed)):
+        # counts end at 255: such a bin may hold any number
+        near &= (part.sum(1, dtype=np.int64) >= kept) | (part == 255).any(1)
+    return near
 
 
 def _cell(rows: pa.Table) -> pa.Table:
     """Pairs a < b of a cell's rows (of one block, or one of either) that have different labels and may be near."""
     node, label, words, side = (np.asarray(rows.column(c)) for c in ("node", "label", "words", "side"))
     data, offs, _ = binary_views(rows.column("bins"))
-    bins = data[offs[0]:offs[-1]].reshape(-1, BINS)
+    bins = data[offs[0]:offs[-1]].reshape(-1, BINS + PAIR_BINS)
     one, a, b = rows.column("one")[0].as_py(), [], []
     for i in range(len(node)) if one else np.flatnonzero(side == 0).tolist():
         met = (label != label[i]) & ((node > node[i]) if one else (side == 1))

@@ -481,3 +481,27 @@ def test_long_texts_in_parts(spark, docs, monkeypatch):
     one = pu_quality.described(data, offs)
     monkeypatch.setattr(pu_quality, "PART", 5000)
     assert np.allclose(one, pu_quality.described(data, offs), atol=0.25) and (one[0] == 0).all()
+
+
+def test_histograms_never_rule_out_a_near_pair():
+    r = random.Random(11)
+    for n in (1, 2, 3, 9, 40, 200, 3000):
+        for vocabulary in (3, 50, 5000):
+            a = [r.randrange(vocabulary) for _ in range(n)]
+            for edits in (0, int(n * 0.1), int(n * 0.2)):
+                b = list(a)
+                for _ in range(edits):
+                    at = r.randrange(len(b)) if b else 0
+                    kind = r.randrange(3)
+                    if kind == 0 and b:
+                        b[at] = r.randrange(vocabulary)
+                    elif kind == 1 and len(b) > 1:
+                        del b[at]
+                    else:
+                        b.insert(at, r.randrange(vocabulary))
+                one, two = (order_minhash.word_hashes(" ".join(f"w{x}" for x in t).encode()) for t in (a, b))
+                if order_minhash.aligned([(one, two)])[0]:
+                    assert order_minhash._may_be_near(np.array([len(two)]), order_minhash.histogram(two)[None], len(one),
+                                                      order_minhash.histogram(one))[0]
+    far = [order_minhash.word_hashes(" ".join(f"w{r.randrange(60)}" for _ in range(100)).encode()) for _ in range(2)]
+    assert not order_minhash._may_be_near(np.array([100]), order_minhash.histogram(far[1])[None], 100, order_minhash.histogram(far[0]))[0]
