@@ -4,16 +4,17 @@
 a station's few thousand days, fatal for a group holding a third of a large
 table (or for one global threshold).  ``quantiles`` keeps the result exact
 (linear interpolation between the closest ranks, like pandas ``quantile`` and
-Spark ``percentile``) with one lazy plan, the same at every size:
+Spark ``percentile``):
 
 1. rows become ``(keys, value, count)`` by a partial aggregation, so ties are
-   one row however many they are;
-2. a mergeable sketch of each group's distinct values (``percentile_approx``
-   on a fixed grid) cuts them into ``GRID + 1`` ranges of about equal size;
-3. the ranges' counts, prefix-summed per group (at most ``GRID + 1`` rows),
-   name the range that holds each target rank;
-4. only these ranges are ranked, each by itself, and the two closest ranks are
-   interpolated.
+   one row however many they are; this table is settled once (checkpoint) and
+   read by all later steps;
+2. while a range of values (at first: a group) has more than ``RANKED_ROWS``
+   distinct ones, a mergeable sketch (``percentile_approx`` on a fixed grid)
+   cuts it into ``GRID + 1`` sub-ranges, whose prefix-summed counts name the
+   ones that hold a target rank; only these are kept, each a range of its own;
+3. the ranges left are ranked, none of them larger than ``RANKED_ROWS``, and
+   the two closest ranks are interpolated.
 
 ``method='approx'`` returns ``percentile_approx`` directly.
 """
@@ -25,9 +26,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import checkpoint
 
-#: Range borders per group; one less than a power of two, for the binary search.
+#: Range borders per refinement; one less than a power of two, for the binary search.
 GRID = 255
+#: Distinct values that one task ranks at most.
+RANKED_ROWS = 200_000
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -98,35 +102,46 @@ def kth_smallest(df: DataFrame, col: str, by: Sequence[str], k, accuracy: int =
     return val.select(*by, F.col("_q_v0").alias(out))
 
 
-def _ranges(long: DataFrame, keys, accuracy) -> DataFrame:
-    """Distinct values: (keys, _q_v, _q_c, n, _q_b) with their count, the group's size and the number of their range."""
-    counts = long.groupBy(*keys, "_q_v").agg(F.count(F.lit(1)).alias("_q_c"))
+def _open_ranges(counts: DataFrame, keys, need: DataFrame, accuracy) -> tuple[DataFrame, DataFrame]:
+    """One refinement: the values of the sub-ranges that hold a target, and the targets' ranks within them."""
+    at = [*keys, "_q_b"]
     grid = [(i + 1) / (GRID + 1) for i in range(GRID)]
-    sketch = counts.groupBy(*keys).agg(F.percentile_approx("_q_v", grid, accuracy).alias("_q_g"), F.sum("_q_c").alias("n"))
-    x = counts.join(sketch, keys).withColumn("_q_b", F.lit(0))
+    sketch = counts.groupBy(*at).agg(F.percentile_approx("_q_v", grid, accuracy).alias("_q_g"))
+    x = counts.join(sketch, at).withColumn("_q_s", F.lit(0))
     step = (GRID + 1) // 2
     while step:   # binary search of the first border that is not below the value
-        x = x.withColumn("_q_b", F.col("_q_b") + F.when(F.get("_q_g", F.col("_q_b") + F.lit(step - 1)) < F.col("_q_v"), step).otherwise(0))
+        x = x.withColumn("_q_s", F.col("_q_s") + F.when(F.get("_q_g", F.col("_q_s") + F.lit(step - 1)) < F.col("_q_v"), step).otherwise(0))
         step //= 2
-    return x.drop("_q_g")
+    x = checkpoint(x.drop("_q_g"))
+    hist = x.groupBy(*at, "_q_s").agg(F.sum("_q_c").alias("_q_m"))
+    before = Window.partitionBy(*at).orderBy("_q_s").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_q_below", F.coalesce(F.sum("_q_m").over(before), F.lit(0)))
+    within = (F.col("_q_r") >= F.col("_q_below")) & (F.col("_q_r") < F.col("_q_below") + F.col("_q_m"))
+    need = checkpoint(need.join(hist, at).where(within).withColumn("_q_r", F.col("_q_r") - F.col("_q_below")).drop("_q_below", "_q_m"))
+    x = x.join(need.select(*at, "_q_s").distinct(), [*at, "_q_s"], "left_semi")
+    narrower = (F.col("_q_b") * (GRID + 1) + F.col("_q_s")).alias("_q_b")
+    rest = lambda d: d.select(*[c for c in d.columns if c not in ("_q_b", "_q_s")], narrower)
+    return checkpoint(rest(x)), rest(need)
 
 
-def _select_ranks(long: DataFrame, keys, targets, accuracy) -> DataFrame:
+def _select_ranks(long: DataFrame, keys, targets, accuracy, most: int | None = None) -> DataFrame:
     """Values ``_q_v0``, ``_q_v1`` at the 0-based ranks ``k0``, ``k1`` of ``targets(n)``, and ``_q_f``."""
-    x = _ranges(long, keys, accuracy)
-    hist = x.groupBy(*keys, "_q_b").agg(F.sum("_q_c").alias("_q_m"), F.first("n").alias("n"))
-    before = Window.partitionBy(*keys).orderBy("_q_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_q_below", F.coalesce(F.sum("_q_m").over(before), F.lit(0)))
+    most = most or RANKED_ROWS
+    at = [*keys, "_q_b"]
+    # distinct values are settled once; all that follows reads them
+    x = checkpoint(long.groupBy(*keys, "_q_v").agg(F.count(F.lit(1)).alias("_q_c")).withColumn("_q_b", F.lit(0).cast("bigint")))
+    totals = x.groupBy(*at).agg(F.sum("_q_c").alias("n"))
     t = F.col("_q_t")
-    side = lambda s, k: F.struct(t["i"].alias("i"), F.lit(s).alias("s"), (t[k] - F.col("_q_below")).alias("r"), t["f"].alias("f"))
-    need = hist.withColumn("_q_t", F.explode(targets(F.col("n")))).select(
-        *keys, "_q_b", "_q_m", F.explode(F.array(side(0, "k0"), side(1, "k1"))).alias("_q_n")).select(
-        *keys, "_q_b", "_q_m", F.col("_q_n.i").alias("_q_i"), F.col("_q_n.s").alias("_q_s"), F.col("_q_n.r").alias("_q_r"),
-        F.col("_q_n.f").alias("_q_f")).where((F.col("_q_r") >= 0) & (F.col("_q_r") < F.col("_q_m"))).drop("_q_m")
-    upto = Window.partitionBy(*keys, "_q_b").orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = x.join(need.select(*keys, "_q_b").distinct(), [*keys, "_q_b"], "left_semi").withColumn("_q_hi", F.sum("_q_c").over(upto))
-    got = inside.join(need, [*keys, "_q_b"]).where(
+    side = lambda s, k: F.struct(t["i"].alias("i"), F.lit(s).alias("s"), t[k].alias("r"), t["f"].alias("f"))
+    need = totals.withColumn("_q_t", F.explode(targets(F.col("n")))).select(
+        *at, "n", F.explode(F.array(side(0, "k0"), side(1, "k1"))).alias("_q_n")).select(
+        *at, "n", F.col("_q_n.i").alias("_q_i"), F.col("_q_n.s").alias("_q_side"), F.col("_q_n.r").alias("_q_r"),
+        F.col("_q_n.f").alias("_q_f")).where((F.col("_q_r") >= 0) & (F.col("_q_r") < F.col("n"))).drop("n")
+    while (x.groupBy(*at).count().agg(F.max("count")).first()[0] or 0) > most:
+        x, need = _open_ranges(x, keys, need, accuracy)
+    upto = Window.partitionBy(*at).orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
+    got = x.withColumn("_q_hi", F.sum("_q_c").over(upto)).join(need, at).where(
         (F.col("_q_r") < F.col("_q_hi")) & (F.col("_q_r") >= F.col("_q_hi") - F.col("_q_c")))
-    low, high = (F.max(F.when(F.col("_q_s") == s, F.col("_q_v"))) for s in (0, 1))
+    low, high = (F.max(F.when(F.col("_q_side") == s, F.col("_q_v"))) for s in (0, 1))
     val = got.groupBy(*keys, "_q_i").agg(low.alias("_q_v0"), high.alias("_q_v1"), F.max("_q_f").alias("_q_f"))
     return val.select(*keys, "_q_i", "_q_v0", "_q_v1", "_q_f")

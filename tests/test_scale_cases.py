@@ -93,3 +93,26 @@ def test_nearest_region_with_a_far_outlier_and_without_edges(spark):
     assert got[1][0] == "a" and got[2][0] == "b" and got[3][0] == "a" and got[4][0] == "b"
     assert got[2][1] == pytest.approx(math.hypot(1e7 - 10, 1e7 - 10))
     assert spatial.nearest(pts, edges.limit(0)).count() == 0 and spatial.within(pts, edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 300])
+def test_quantile_ranges_are_split_until_each_is_small(spark, monkeypatch, most):
+    """One global group and a skewed one, with clustered values, refined over several rounds: exact, and never over the bound."""
+    from panelcast.operators import quantiles as qt
+    r = random.Random(5)
+    rows = [("hot" if i % 3 else f"g{i % 4}", r.choice([r.gauss(0, 1e-9), r.random() * 1e9, float(r.randint(0, 5)), -1.5])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    monkeypatch.setattr(qt, "RANKED_ROWS", most)
+    monkeypatch.setattr(qt, "GRID", 15)
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = qt.quantiles(df, "x", probs).first()
+    want = np.quantile([x for _, x in rows], probs)
+    assert [got[f"x_q{p}"] for p in probs] == pytest.approx(list(want), rel=1e-12, abs=1e-18)
+    by = {q["g"]: q for q in qt.quantiles(df, "x", [0.5, 0.9], by=["g"]).collect()}
+    for g, q in by.items():
+        own = [x for k, x in rows if k == g]
+        assert [q["x_q0.5"], q["x_q0.9"]] == pytest.approx(list(np.quantile(own, [0.5, 0.9])), rel=1e-12, abs=1e-18)
+    kth = {q["g"]: q["kth"] for q in qt.kth_smallest(df, "x", ["g"], F.floor(F.col("n") * 0.3)).collect()}
+    for g, v in kth.items():
+        own = sorted(x for k, x in rows if k == g)
+        assert v == own[int(len(own) * 0.3) - 1]
