@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .aggregates import attach_params, station_ratio_median
 from .fills import interpolate_time
-from .frames import STATION_DATE, SeriesFrame
+from .frames import STATION_DATE, SeriesFrame, checkpoint
 from .joins import seasonal_fill
-from .quantiles import quantiles
+from .quantiles import quantiles, winsor_limits
 
 INF = float("inf")
 
@@ -92,9 +92,10 @@ def winsorise(train: DataFrame, forecast: DataFrame, cols: Sequence[str], lo: fl
               hi: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """Clip training rows to their limits, then clip forecast rows to the limits of the
     *clipped* training data, as the reference does (IMP5)."""
-    t = apply_clip(train, fit_clip_limits(train, cols, lo, hi), cols)
-    f = apply_clip(forecast, fit_clip_limits(t, cols, lo, hi), cols)
-    return t, f
+    both = checkpoint(winsor_limits(train, cols, lo, hi))  # one row, read by both sides
+    first = both.select(*[f"_{e}_{c}" for c in cols for e in ("lo", "hi")])
+    second = both.select(*[F.col(f"_{e}2_{c}").alias(f"_{e}_{c}") for c in cols for e in ("lo", "hi")])
+    return apply_clip(train, first, cols), apply_clip(forecast, second, cols)
 
 
 def cap_upper(df: DataFrame, caps: Mapping[str, float]) -> DataFrame:
@@ -135,19 +136,18 @@ def bounded_forecast(forecast: DataFrame, history: DataFrame, col: str, station:
     """Keep a forecast inside ``[max(0.8 min, med - 3 iqr), min(1.2 max, med + 3 iqr)]`` of
     its station's history; if more than 30 % of a station's forecast is outside,
     use the seasonal (station, month) mean instead (IMP9)."""
+    history = checkpoint(history.select(station, date, col))   # read by quantiles, extremes and seasonal means
     q = quantiles(history, [col], [0.25, 0.5, 0.75], by=[station], name="_q{p}")
-    st = history.groupBy(station).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    b = st.join(q, station)
+    b = history.groupBy(station).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx")).join(q, station)
     iqr = F.col("`_q0.75`") - F.col("`_q0.25`")
     b = b.select(station, F.greatest(F.col("_mn") * 0.8, F.col("`_q0.5`") - iqr * 3).alias("_lo"),
-                 F.least(F.col("_mx") * 1.2, F.col("`_q0.5`") + iqr * 3).alias("_hi"))
-    f = forecast.join(b, station, "left")
+                 F.least(F.col("_mx") * 1.2, F.col("`_q0.5`") + iqr * 3).alias("_hi"), F.col("`_q0.5`").alias("_med"))
+    f = forecast.join(checkpoint(b), station, "left")          # one row per station, read by the share and the rows
     outside = ((F.col(col) < F.col("_lo")) | (F.col(col) > F.col("_hi"))).cast("double")
-    share = f.groupBy(station).agg(F.avg(outside).alias("_share"))
-    f = f.join(share, station, "left")
-    seasonal = seasonal_fill(f.select(station, date, F.lit(None).cast("double").alias(col)), [col], history,
-                             station, date).withColumnRenamed(col, "_seasonal")
-    f = f.join(seasonal, [station, date], "left")
+    f = f.join(f.groupBy(station).agg(F.avg(outside).alias("_share")), station, "left")
+    # the (station, month) mean, else the station median, as in seasonal_fill
+    season = history.groupBy(station, F.month(date).alias("_m")).agg(F.avg(col).alias("_s"))
+    f = f.withColumn("_m", F.month(date)).join(season, [station, "_m"], "left").withColumn("_seasonal", F.coalesce("_s", "_med"))
     clipped = F.when(F.col(col) < F.col("_lo"), F.col("_lo")).when(F.col(col) > F.col("_hi"), F.col("_hi")) \
                .otherwise(F.col(col))
     return f.select(*[c for c in forecast.columns if c != col],

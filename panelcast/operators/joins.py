@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import STATION_DATE, SeriesFrame, scan
+from .frames import STATION_DATE, SeriesFrame, checkpoint, scan
 from .quantiles import quantiles
 
 PANEL_KEYS = ("station", "date")
@@ -103,10 +103,11 @@ def asof_reindex(obs: DataFrame, skeleton: DataFrame, cols: Sequence[str], stati
     result is then backward filled per station.  The as-of mapping runs on the
     distinct dates only (bounded by calendar days, not by data).
     """
+    obs = checkpoint(obs.select(station, date, *cols))   # read for its dates and for its values
     odates = obs.select(date).distinct().select(date, F.col(date).alias("_asof"))
     days = skeleton.select(date).distinct().select(date, F.lit(None).cast("date").alias("_asof"))
     both = odates.unionByName(days).groupBy(date).agg(F.max("_asof").alias("_asof"))
-    m = scan(both, SeriesFrame((), date), ffill={"_asof": F.col("_asof")})
+    m = checkpoint(scan(both, SeriesFrame((), date), ffill={"_asof": F.col("_asof")}))   # one row per calendar day
     sk = skeleton.join(m, date, "left")
     vals = obs.select(station, F.col(date).alias("_asof"), *cols)
     j = sk.join(vals, [station, "_asof"], "left").drop("_asof")

@@ -68,7 +68,7 @@ def _wide(res: DataFrame, by, cols, probs, name) -> DataFrame:
     return res.agg(*aggs)
 
 
-def _exact(long: DataFrame, keys, probs, accuracy) -> DataFrame:
+def _targets(probs):
     def targets(n):
         out = []
         for i, p in enumerate(probs):
@@ -76,15 +76,39 @@ def _exact(long: DataFrame, keys, probs, accuracy) -> DataFrame:
             out.append(F.struct(F.lit(i).alias("i"), F.floor(pos).cast("long").alias("k0"),
                                 F.ceil(pos).cast("long").alias("k1"), (pos - F.floor(pos)).alias("f")))
         return F.array(*out)
+    return targets
+
+
+def _between(v0, v1, f):
+    """Linear interpolation; equal neighbours stand as they are (infinities have no difference)."""
+    return F.when(v0 == v1, v0).otherwise((v1 - v0) * f + v0)
 
-    at = _select_ranks(long, keys, targets, accuracy)
-    # equal neighbours stand as they are (infinities have no difference)
-    val = at.withColumn("_q_x", F.when(F.col("_q_v0") == F.col("_q_v1"), F.col("_q_v0")).otherwise(
-        (F.col("_q_v1") - F.col("_q_v0")) * F.col("_q_f") + F.col("_q_v0")))
+
+def _exact(long: DataFrame, keys, probs, accuracy) -> DataFrame:
+    at = _select_ranks(long, keys, _targets(probs), accuracy)
+    val = at.withColumn("_q_x", _between(F.col("_q_v0"), F.col("_q_v1"), F.col("_q_f")))
     return val.groupBy(*keys).agg(*[F.first(F.when(F.col("_q_i") == i, F.col("_q_x")), True).alias(f"_q_{i}")
                                     for i in range(len(probs))])
 
 
+def winsor_limits(df: DataFrame, cols: Sequence[str], lo: float, hi: float, accuracy: int = 10_000) -> DataFrame:
+    """One row: ``_lo_{col}`` and ``_hi_{col}``, the quantiles of each column, and ``_lo2_{col}`` and ``_hi2_{col}``,
+    those of the column once it is clipped to the first.
+
+    Clipping keeps the order, so the clipped column's quantiles lie between the same ranks, whose values are clipped.
+    """
+    at = _select_ranks(_long(df, cols, []), ["_q_col"], _targets([lo, hi]), accuracy)
+    x = F.struct(_between(F.col("_q_v0"), F.col("_q_v1"), F.col("_q_f")).alias("x"), F.col("_q_v0").alias("a"), F.col("_q_v1").alias("b"),
+                 F.col("_q_f").alias("f"))
+    per = at.groupBy("_q_col").agg(*[F.first(F.when(F.col("_q_i") == i, x), True).alias(n) for i, n in enumerate("lh")])
+    low, high = F.col("l.x"), F.col("h.x")
+    clip = lambda v: F.when(v < low, low).when(v > high, high).otherwise(v)
+    again = [_between(clip(F.col(f"{n}.a")), clip(F.col(f"{n}.b")), F.col(f"{n}.f")).alias(f"{n}2") for n in "lh"]
+    per = per.select("_q_col", low.alias("l1"), high.alias("h1"), *again)
+    names = {"l1": "lo", "h1": "hi", "l2": "lo2", "h2": "hi2"}
+    return per.agg(*[F.first(F.when(F.col("_q_col") == c, F.col(k)), True).alias(f"_{n}_{c}") for c in cols for k, n in names.items()])
+
+
 def kth_smallest(df: DataFrame, col: str, by: Sequence[str], k, accuracy: int = 10_000, out: str = "kth") -> DataFrame:
     """Per group of ``by``: the ``k``-th smallest value of ``col`` (1-based; ``k`` is a
     column expression that may use ``n``, the group's non-NULL count).  Same plan
