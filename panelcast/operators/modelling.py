@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .aggregates import attach_params
 from .frames import STATION_DATE, SeriesFrame, bounded
+from .neighbours import nearest_neighbours
 from .quantiles import kth_smallest
 
 # Booster settings of the reference forecaster.
@@ -247,15 +248,11 @@ def fill_features(train: DataFrame, others: Sequence[DataFrame], features: Seque
 
 
 def oversample_minority(df: DataFrame, features: Sequence[str], label: str, minority: str, needed: int,
-                        k: int = 2, seed: int = 42, bucket_length: float = 2.0) -> DataFrame:
+                        k: int = 2, seed: int = 42) -> DataFrame:
     """Exactly ``needed`` synthetic minority rows ``a + u (b - a)`` between a row and one
     of its k nearest same-class neighbours (ML14).
 
-    Neighbours come from ``BucketedRandomProjectionLSH`` candidate pairs, so only
-    rows sharing a hash bucket are compared; per row the k closest candidates
-    are kept, at whatever distance.  Rows with fewer than k candidates are
-    searched again with buckets four times as long, until every row has k (or
-    all there are).  Every minority row gets
+    Neighbours are exact (:mod:`neighbours`).  Every minority row gets
     ``needed // n`` copies and the rows under an exact hash cut (``kth_smallest``)
     one more, so the count is exact without a limit; copy r of a row uses its
     ``(r mod k')``-th neighbour.  A row that is alone in its class pairs with itself.
@@ -266,26 +263,7 @@ def oversample_minority(df: DataFrame, features: Sequence[str], label: str, mino
     n_min = m.count()
     if needed <= 0 or n_min == 0:
         return df.limit(0).select(*features, label)
-    m = assemble(features, "_v").transform(m)
-    want = min(k, n_min - 1)
-    todo, nb = m, None
-    while want > 0:
-        lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hash", bucketLength=bucket_length,
-                                          numHashTables=3, seed=seed).fit(m)
-        pairs = lsh.approxSimilarityJoin(todo, m, float("inf"), distCol="_dist").where(
-            F.col("datasetA._id") != F.col("datasetB._id"))
-        pairs = pairs.select(F.col("datasetA._id").alias("_a"), F.col("datasetB._id").alias("_b"), "_dist")
-        w = Window.partitionBy("_a").orderBy("_dist", "_b")
-        got = pairs.withColumn("_nr", F.row_number().over(w)).where(F.col("_nr") <= k).checkpoint(eager=True)
-        full = got.where(F.col("_nr") == want).select("_a")
-        got = got.join(full, "_a", "left_semi")
-        nb = got if nb is None else nb.unionByName(got)
-        todo = todo.join(full, F.col("_id") == F.col("_a"), "left_anti").checkpoint(eager=True)
-        if todo.isEmpty():
-            break
-        bucket_length *= 4
-    if nb is None:
-        nb = m.select(F.col("_id").alias("_a"), F.col("_id").alias("_b"), F.lit(0.0).alias("_dist"), F.lit(1).alias("_nr"))
+    nb = nearest_neighbours(m, "_id", features, k)
     nb = nb.groupBy("_a").agg(F.sort_array(F.collect_list(F.struct("_nr", "_b"))).alias("_nbs"))
     base, extra = divmod(needed, n_min)
     rows = m.select(F.col("_id").alias("_a"), *features).withColumn("_hh", F.xxhash64("_a", F.lit(seed + 1)))

@@ -306,14 +306,28 @@ def ml13_threshold_adjusted_prediction(spark, d):
                                          for k, w in _SCEN.items()])
 
 
-@register("ml14_minority_oversampling", None, note="LSH-neighbour synthetic rows: rows-only")
+@register("ml14_minority_oversampling", None, note="synthetic rows of seeded draws: rows-only; the neighbours have SQL below")
 def ml14_minority_oversampling(spark, d):
     a = _features(spark, d).na.drop().withColumn("kategori", _label())
     counts = {r["kategori"]: r["count"] for r in a.groupBy("kategori").count().collect()}
     minority = min(counts, key=counts.get)
     needed = max(counts.values()) - counts[minority]
     feats = ["ozon", "sulfur_dioksida", "nitrogen_dioksida", "pm_sepuluh_lag_1d"]
-    return ml.oversample_minority(a, feats, "kategori", minority, needed, bucket_length=20.0)
+    return ml.oversample_minority(a, feats, "kategori", minority, needed)
+
+
+@register("ml14_exact_neighbours", tb.with_views("points") + """
+, f AS (SELECT vec_id, x, y FROM points WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),
+d AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance
+      FROM f a JOIN f b ON a.vec_id <> b.vec_id)
+SELECT id, neighbour, distance, CAST(nr AS INTEGER) AS nr
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS nr FROM d) t WHERE nr <= 2""")
+def ml14_exact_neighbours(spark, d):
+    """The two nearest other points of every point."""
+    from ...operators.neighbours import nearest_neighbours
+    p = tb.points(spark, d).select(F.col("vec_id").cast("long").alias("vec_id"), "x", "y")
+    n = nearest_neighbours(p, "vec_id", ["x", "y"], 2, cell_rows=64)
+    return n.select(F.col("_a").alias("id"), F.col("_b").alias("neighbour"), F.col("_dist").alias("distance"), F.col("_nr").alias("nr"))
 
 
 _PB = tuple(p + "_b" for p in PROBS)

@@ -56,7 +56,7 @@ def test_oversample_exact_count(spark):
     df = spark.range(0, 300).select((F.col("id") % 17).cast("double").alias("a"),
                                     (F.col("id") % 5).cast("double").alias("b"),
                                     F.when(F.col("id") % 10 == 0, "min").otherwise("maj").alias("y"))
-    out = oversample_minority(df, ["a", "b"], "y", "min", 47, bucket_length=4.0)
+    out = oversample_minority(df, ["a", "b"], "y", "min", 47)
     assert out.count() == 47
     assert out.where("y <> 'min'").count() == 0
 
@@ -86,3 +86,24 @@ def test_wide_correlations_equal_pairwise_complete_ones(spark):
                 assert abs(got[f][t] - np.corrcoef(x[ok, i], x[ok, j])[0, 1]) < 1e-9
     none = widecorr.corr_matrix_wide(df.limit(0), cols, ["a"]).collect()
     assert [tuple(q) for q in none] == [(c, None) for c in cols]
+
+
+@pytest.mark.parametrize("cell_rows, k", [(5, 2), (40, 3), (10_000, 2)])
+def test_exact_neighbours_equal_brute_force(spark, cell_rows, k):
+    """Clusters, far outliers, many copies of one position, ties on a grid, missing features."""
+    import random
+
+    from panelcast.operators.neighbours import nearest_neighbours
+    r = random.Random(6)
+    pts = [(r.gauss(0, 1e-3), r.gauss(5, 1), 0.0) for _ in range(60)] + [(float(i % 6), float(i // 6), 1.0) for i in range(36)]
+    pts += [(2.0, 2.0, 1.0)] * 30 + [(1e6, -1e6, 3.0), (1e6 + 1, -1e6, 3.0), (-1e8, 0.0, 0.0)]
+    rows = [(i * 7 + 1, *p) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows + [(100_000, None, 1.0, 1.0), (100_001, float("nan"), 1.0, 1.0)], "id long, a double, b double, c double")
+    got = {(q._a, q._nr): (q._b, q._dist) for q in nearest_neighbours(df, "id", ["a", "b", "c"], k, cell_rows).collect()}
+    assert len(got) == len(rows) * k
+    for a in rows:
+        near = sorted((sum((x - y) ** 2 for x, y in zip(a[1:], b[1:])), b[0]) for b in rows if b[0] != a[0])[:k]
+        assert [got[(a[0], i + 1)][0] for i in range(k)] == [b for _, b in near]
+        assert [got[(a[0], i + 1)][1] for i in range(k)] == pytest.approx([d ** 0.5 for d, _ in near])
+    assert nearest_neighbours(df.limit(0), "id", ["a", "b"], k).count() == 0
+    assert nearest_neighbours(df.where("id = 1"), "id", ["a", "b"], k).count() == 0
