@@ -19,7 +19,7 @@ agrees with most often, then the pairs that these links have not connected
 already.  That settles runs of near copies.  A longer run whose texts are then
 still in several classes (texts on a shared template, whose first is a
 stranger to the others) is gone through whole, block against block
-(:func:`open_pairs`): every two of its texts in different classes are aligned
+(:func:`open_links`): every two of its texts in different classes are aligned
 unless their lengths or histograms of words and word pairs prove them too far
 apart.  So any two texts that agree on a sketch are connected or known not to
 be near.
@@ -39,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpointed, mix64, slices, worker_cache, written
+from panelcast.llm.common import binary_views, bounded_batches, boxed, checkpointed, mix64, slices, texts, worker_cache, written
 
 WORDS, PICKED, SKETCHES, SIMILARITY = 5, 3, 40, 0.8
 SALTS = 8
 ALL_PAIRS = 6           # in a run of equal keys, the first few are paired with each other
 BINS, PAIR_BINS = 256, 512  # of a text's histograms of words and of neighbouring words
 BLOCK = 512             # texts of a run that meet another block's at once
+CELL_BYTES = 4 << 20    # and their bytes, but for a single longer text
 CHUNK = 1 << 15
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -237,35 +238,50 @@ def _may_be_near(words: np.ndarray, bins: np.ndarray, own_words: int, own_bins:
 
 
 def _cell(rows: pa.Table) -> pa.Table:
-    """Pairs a < b of a cell's rows (of one block, or one of either) that have different labels and may be near."""
+    """Links a < b of a cell's rows (of one block, or one of either) that have different labels.
+
+    Two texts may meet in several runs; they are aligned in the one with the smallest key.
+    """
     node, label, words, side = (np.asarray(rows.column(c)) for c in ("node", "label", "words", "side"))
     data, offs, _ = binary_views(rows.column("bins"))
     bins = data[offs[0]:offs[-1]].reshape(-1, BINS + PAIR_BINS)
-    one, a, b = rows.column("one")[0].as_py(), [], []
+    key, one = rows.column("key")[0].as_py(), rows.column("one")[0].as_py()
+    keys = [set(x) for x in rows.column("keys").to_pylist()]
+    text = [word_hashes(t) for t in texts(rows.column("text").combine_chunks())]
+    a, b = [], []
     for i in range(len(node)) if one else np.flatnonzero(side == 0).tolist():
         met = (label != label[i]) & ((node > node[i]) if one else (side == 1))
         at = np.flatnonzero(met)
         at = at[_may_be_near(words[at], bins[at], words[i], bins[i])]
-        a.append(np.full(len(at), node[i]))
-        b.append(node[at])
+        at = [k for k in at.tolist() if min(keys[i] & keys[k]) == key]
+        for p in range(0, len(at), 256):
+            near = np.array(at[p:p + 256])[aligned([(text[i], text[k]) for k in at[p:p + 256]])]
+            a.append(np.full(len(near), node[i]))
+            b.append(node[near])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def open_pairs(nodes: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): distinct pairs a < b of texts that meet in one of ``runs``, are in different classes and may be near."""
-    rows = _sketch_rows(nodes).join(runs, "key").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label"))
-    rows = checkpointed(rows)
-    several = rows.groupBy("key").agg(F.countDistinct("node").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")) \
-        .filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def open_links(nodes: DataFrame, runs: DataFrame, labels: DataFrame, texts_of) -> DataFrame:
+    """(a, b): links a < b of texts that meet in one of ``runs`` and are in different classes.
+
+    A run is dealt into blocks of at most ``BLOCK`` texts and about ``CELL_BYTES`` of text; a task aligns two of them.
+    """
+    rows = checkpointed(_sketch_rows(nodes).join(runs, "key").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("label", "node").alias("label")))
+    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    rows = checkpointed(rows.join(several, "key"))
+    each = rows.groupBy("node").agg(F.first("label").alias("label"), F.collect_set("key").alias("keys"))  # at most SKETCHES keys
+    text = texts_of(each.join(nodes, "node").select("node", F.col("same").alias("w_same"), F.col("rep").alias("w_rep")))
+    each = each.join(nodes.select("node", "words", "bins"), "node").join(text, "node")
+    sizes = rows.join(text.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("key").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / BLOCK, F.sum("bytes") / CELL_BYTES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(several, "key").withColumn("block", block).withColumn(
+    dealt = rows.select("key", "node").join(sizes, "key").withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "key", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         (F.col("block") == F.col("other")).alias("one"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    return dealt.join(nodes.select("node", "words", "bins"), "node").groupBy("key", "low", "high").applyInArrow(
-        _cell, "a long, b long").distinct()
+    return dealt.join(each, "node").groupBy("key", "low", "high").applyInArrow(_cell, "a long, b long")
 
 
 def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
@@ -415,13 +431,10 @@ def classes(docs: DataFrame) -> DataFrame:
         F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
     links = links.unionByName(linked(apart, text))
     labels = components(links)
-    # runs whose texts have not all met: the pairs still in different classes, but those aligned above
-    rest = checkpointed(open_pairs(nodes, uncovered, labels).join(fit.select("a", "b"), ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        ends = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct()
-        text = texts_of(ends.join(nodes, "node").select("node", F.col("same").alias("w_same"), F.col("rep").alias("w_rep")))
-        links = links.unionByName(linked(rest, text))
-        labels = components(links)
+    # runs whose texts have not all met: those still in different classes
+    more = checkpointed(open_links(nodes, uncovered, labels, texts_of))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     joined = nodes.select("node", "same", "rep", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = joined.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "same")).alias("k"))
     # texts that are alone keep their own id; the others' classes are spread over salts, as a text may have very many copies

@@ -142,26 +142,33 @@ def test_near_pairs_on_a_shared_template_are_linked(spark):
 
 
 def test_all_near_texts_of_a_long_run_meet():
-    """Cells of blocks hold every pair of different labels once; histograms rule out only what is far."""
+    """Cells of blocks find every link between different labels once, also where two texts share several runs."""
     import pyarrow as pa
     r = random.Random(13)
     words = [[r.randrange(40) for _ in range(r.randrange(30, 60))] for _ in range(60)]
     words += [w[:-3] + [99, 98, 97] for w in words] + [[7] * 300 + w for w in words[:3]] + [[7] * 290 + [5] * 5 + words[0]]
-    hashes = [np.array(w, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for w in words]
-    bins = [order_minhash.histogram(order_minhash.mix64(h)).tobytes() for h in hashes]
+    text = [" ".join(f"w{x}" for x in w).encode() for w in words]
+    hashes = [order_minhash.word_hashes(t) for t in text]
+    bins = [order_minhash.histogram(h).tobytes() for h in hashes]
     n = len(words)
     block = [r.randrange(2) for _ in range(n)]
+    keys = [[5, *([-3] if i % 2 else []), *([9] if i % 3 else [])] for i in range(n)]
 
-    def cell(rows, one):
+    def cell(key, rows, one):
+        rows = [i for i in rows if key in keys[i]]
         t = pa.table({"node": pa.array(rows, pa.int64()), "label": pa.array([i // 2 for i in rows], pa.int64()),
                       "words": pa.array([len(words[i]) for i in rows], pa.int64()), "bins": pa.array([bins[i] for i in rows], pa.binary()),
-                      "one": [one] * len(rows), "side": pa.array([0 if one else block[i] for i in rows], pa.int32())})
+                      "text": pa.array([text[i] for i in rows], pa.binary()), "keys": pa.array([keys[i] for i in rows], pa.list_(pa.int64())),
+                      "key": [key] * len(rows), "one": [one] * len(rows), "side": pa.array([0 if one else block[i] for i in rows], pa.int32())})
         return list(zip(*[c.to_pylist() for c in order_minhash._cell(t).columns]))
 
-    found = cell([i for i in range(n) if not block[i]], True) + cell([i for i in range(n) if block[i]], True) + cell(list(range(n)), False)
+    found = []
+    for key in (5, -3, 9):
+        found += cell(key, [i for i in range(n) if not block[i]], True) + cell(key, [i for i in range(n) if block[i]], True)
+        found += cell(key, list(range(n)), False)
     pairs = [p for p in itertools.combinations(range(n), 2) if p[0] // 2 != p[1] // 2]
     near = {p for p, ok in zip(pairs, order_minhash.aligned([(hashes[a], hashes[b]) for a, b in pairs])) if ok}
-    assert len(found) == len(set(found)) < len(pairs) and near <= set(found) <= set(pairs) and len(near) > 50
+    assert len(found) == len(set(found)) and set(found) == near and len(near) > 50
 
 
 def test_components_of_a_chain_and_a_star(spark):
