@@ -91,6 +91,18 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str], margins:
     return base.unionByName(tot)
 
 
+def stacked_counts(df: DataFrame, row: str, by: str, col: str, values: Sequence[str], total: str = "All",
+                   other: str = "Other") -> DataFrame:
+    """Counts of ``col`` per (row, by), and per ``by`` over all rows, whose ``row`` is NULL (AGG8 by month).
+
+    One grouping of the data; the margin adds up its result."""
+    x = df.where(F.col(col).isNotNull())
+    names = {v: F.col(col) == v for v in values} | {other: ~F.col(col).isin(*values), total: F.lit(True)}
+    cells = x.groupBy(row, by).agg(*[F.count_if(c).alias(n) for n, c in names.items()])
+    margin = cells.groupBy(by).agg(*[F.sum(F.col(f"`{n}`")).cast("long").alias(n) for n in names])
+    return cells.unionByName(margin.withColumn(row, F.lit(None).cast(df.schema[row].dataType)))
+
+
 def value_counts(df: DataFrame, cols: Sequence[str], share: str = "share") -> DataFrame:
     """Counts per value combination and their share of all rows (AGG9).  The total is
     a one-row aggregate, so high-cardinality columns never meet in one task."""
@@ -327,11 +339,12 @@ def variance_ranking(df: DataFrame, cols: Sequence[str], top: int = 20) -> DataF
 
 def station_summary(df: DataFrame, cols: Sequence[str], category: str, unhealthy: Column, scores: dict[str, float],
                     station: str = "station") -> DataFrame:
-    """Per station: means and maxima, the share of every category of ``scores``, the
+    """Per station: means, maxima and sums, the share of every category of ``scores``, the
     unhealthy share, the mean score, and the rank from best (lowest score) to worst (AGG24)."""
     aggs = [F.count(F.lit(1)).alias("days")]
     aggs += [F.avg(c).alias(f"{c}_mean") for c in cols]
     aggs += [F.max(c).alias(f"{c}_max") for c in cols]
+    aggs += [F.sum(c).alias(f"{c}_sum") for c in cols]
     aggs += [F.avg(unhealthy.cast("double")).alias("unhealthy_share")]
     aggs += [F.avg((F.col(category) == c).cast("double")).alias(f"{c}_share") for c in scores]
     worth = F.create_map(*[F.lit(x) for kv in scores.items() for x in kv])

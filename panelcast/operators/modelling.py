@@ -198,10 +198,17 @@ def attach_category(probs: Sequence[str], classes: Sequence[str]) -> tuple[Colum
     return best["c"], best["p"]
 
 
-def drift_correct(pred: Column, day_index: Column, target_mean: Column) -> Column:
-    """Pull towards the historical mean by ``min(0.1 + 0.005 i, 0.3)``; day 0 untouched (ML11)."""
+def drift_correct(pred: Column, day_index: Column, target_mean: Column, draw: Column | None = None,
+                  target_std: Column | None = None) -> Column:
+    """Pull towards the historical mean by ``min(0.1 + 0.005 i, 0.3)``; day 0 untouched (ML11).
+
+    With ``draw`` (a standard draw per row, see ``windows.hash_draws``) and the historical standard deviation,
+    noise of a tenth of it is added, on day 0 of a twentieth."""
     a = F.least(F.lit(0.1) + F.lit(0.005) * day_index, F.lit(0.3))
-    return F.when(day_index == 0, pred).otherwise(pred + a * (target_mean - pred))
+    moved = F.when(day_index == 0, pred).otherwise(pred + a * (target_mean - pred))
+    if draw is None:
+        return moved
+    return moved + draw * target_std * F.when(day_index == 0, F.lit(0.05)).otherwise(F.lit(0.1))
 
 
 def ar1_forecast(history: DataFrame, horizon_dates: DataFrame, col: str, station: str = "station",

@@ -99,6 +99,20 @@ def agg8_crosstab_margins(spark, d):
     return ag.crosstab(tb.panel_air(spark, d), "station", "kategori", _CATS3)
 
 
+@register("agg8_counts_by_station_month", AIR + """
+, ct AS (SELECT station, CAST(month(date) AS INTEGER) AS month, """ + ", ".join(
+    f"CAST(count_if(kategori = '{c}') AS BIGINT) AS \"{c}\"" for c in _CATS3) + """
+  , CAST(count_if(kategori NOT IN ('BAIK', 'SEDANG', 'TIDAK SEHAT')) AS BIGINT) AS "Other", count(kategori) AS "All"
+         FROM panel_air WHERE kategori IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM ct
+UNION ALL
+SELECT NULL, month, CAST(sum("BAIK") AS BIGINT), CAST(sum("SEDANG") AS BIGINT), CAST(sum("TIDAK SEHAT") AS BIGINT),
+       CAST(sum("Other") AS BIGINT), CAST(sum("All") AS BIGINT) FROM ct GROUP BY month""")
+def agg8_counts_by_station_month(spark, d):
+    a = tb.panel_air(spark, d).withColumn("month", F.month("date"))
+    return ag.stacked_counts(a, "station", "month", "kategori", _CATS3)
+
+
 @register("agg9_value_counts_share", AIR + f"""
 SELECT kategori, count(*) AS count, {R('count(*) / sum(count(*)) OVER ()')} AS share
 FROM panel_air GROUP BY kategori""")
@@ -286,6 +300,7 @@ _SCORE_SQL = "CASE kategori " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v
 @register("agg24_station_summary", AIR + f"""
 SELECT station, count(*) AS days, {R('avg(pm_sepuluh)')} AS pm_sepuluh_mean, {R('avg(ozon)')} AS ozon_mean,
        {R('max(pm_sepuluh)')} AS pm_sepuluh_max, {R('max(ozon)')} AS ozon_max,
+       {R('sum(pm_sepuluh)')} AS pm_sepuluh_sum, {R('sum(ozon)')} AS ozon_sum,
        {R("avg(CAST(kategori IN ('TIDAK SEHAT', 'SANGAT TIDAK SEHAT', 'BERBAHAYA') AS DOUBLE))")} AS unhealthy_share,
        """ + ", ".join(f"avg(CAST(kategori = '{c}' AS DOUBLE)) AS \"{c}_share\"" for c in _SCORES) + f""",
        avg({_SCORE_SQL}) AS mean_score,

@@ -14,6 +14,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from ...functions import dates as dtf
+from ...functions import encode as enc
 from ...operators import densify as dz
 from ...operators import modelling as ml
 from ...operators import recursive as rc
@@ -196,6 +197,8 @@ fut AS (SELECT s.station, CAST(unnest(generate_series(m.d1 + 1, m.d1 + 30, INTER
 
 @register("ml9_persistence_forecast_frame", tb.with_views("panel_air", extra=_FUTURE_SQL) + f"""
 SELECT f.station, f.date, CAST(month(f.date) AS INTEGER) AS month, CAST(isodow(f.date) - 1 AS INTEGER) AS day_of_week,
+       CAST(quarter(f.date) AS INTEGER) AS quarter, CAST(dayofyear(f.date) AS INTEGER) AS day_of_year,
+       CAST(dense_rank() OVER (ORDER BY f.station) - 1 AS INTEGER) AS station_encoded,
        {R('sin(2 * pi() * month(f.date) / 12.0)')} AS month_sin, {R('cos(2 * pi() * month(f.date) / 12.0)')} AS month_cos,
        {R('l.pm_sepuluh')} AS pm_sepuluh, {R('l.ozon')} AS ozon
 FROM fut f LEFT JOIN (SELECT station, pm_sepuluh, ozon FROM panel_air
@@ -206,7 +209,9 @@ def ml9_persistence_forecast_frame(spark, d):
     _, d1 = dz.date_bounds(a)
     fut = dz.date_skeleton(a.select("station"), d1 + _dt.timedelta(days=1), d1 + _dt.timedelta(days=30))
     ms, mc = dtf.cyclical(F.month("date"), 12)
+    fut = enc.label_encode(fut, "station")
     fut = fut.select("station", "date", F.month("date").alias("month"), F.weekday("date").alias("day_of_week"),
+                     F.quarter("date").alias("quarter"), F.dayofyear("date").alias("day_of_year"), "station_encoded",
                      ms.alias("month_sin"), mc.alias("month_cos"))
     return jn.last_known_row(a, fut, ["pm_sepuluh", "ozon"])
 
@@ -262,6 +267,29 @@ def ml11_drift_correction(spark, d):
     return x.select("station", "date", ml.drift_correct(F.col("pred"), F.col("i"), F.col("m")).alias("pm_sepuluh"))
 
 
+# Draws from a digest, so that SQL can make the same: uniform in [-1, 1).
+_DRAW_SQL = "(CAST('0x' || substr(md5(f.station || CAST(f.date AS VARCHAR)), 1, 8) AS BIGINT) / 2147483648.0 - 1)"
+
+
+@register("ml11_drift_correction_with_noise", tb.with_views("panel_air", extra=_FUTURE_SQL) + f"""
+, hm AS (SELECT station, avg(pm_sepuluh) AS m, stddev_samp(pm_sepuluh) AS s FROM panel_air GROUP BY 1),
+last AS (SELECT station, pm_sepuluh AS v FROM panel_air QUALIFY row_number() OVER (PARTITION BY station ORDER BY date DESC) = 1),
+x AS (SELECT f.station, f.date, l.v * 1.2 AS pred, date_diff('day', (SELECT d1 FROM mx), f.date) - 1 AS i, hm.m, hm.s, {_DRAW_SQL} AS e
+      FROM fut f JOIN last l ON f.station = l.station JOIN hm ON f.station = hm.station)
+SELECT station, date, {R('CASE WHEN i = 0 THEN pred + e * s * 0.05 ELSE pred + least(0.1 + 0.005 * i, 0.3) * (m - pred) + e * s * 0.1 END')} AS pm_sepuluh
+FROM x""")
+def ml11_drift_correction_with_noise(spark, d):
+    a = tb.panel_air(spark, d).select("station", "date", "pm_sepuluh")
+    _, d1 = dz.date_bounds(a)
+    fut = dz.date_skeleton(a.select("station"), d1 + _dt.timedelta(days=1), d1 + _dt.timedelta(days=30))
+    last = windows.latest_row(a).select("station", (F.col("pm_sepuluh") * 1.2).alias("pred"))
+    hm = a.groupBy("station").agg(F.avg("pm_sepuluh").alias("m"), F.stddev_samp("pm_sepuluh").alias("s"))
+    x = fut.join(last, "station").join(hm, "station").withColumn("i", F.datediff("date", F.lit(d1)) - 1)
+    digest = F.md5(F.concat("station", F.col("date").cast("string")).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2147483648.0 - 1
+    return x.select("station", "date", ml.drift_correct(F.col("pred"), F.col("i"), F.col("m"), draw, F.col("s")).alias("pm_sepuluh"))
+
+
 _AR_SQL = f"""h AS (SELECT station, date, price_avg AS v FROM panel_orders
                WHERE price_avg IS NOT NULL),
 d1 AS (SELECT *, v - lag(v, 1) OVER ({W}) AS dd FROM h),

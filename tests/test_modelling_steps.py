@@ -59,7 +59,7 @@ def test_forecast_of_91_days_equals_a_step_by_step_recomputation(spark):
     models = {t: Pipeline(stages=[ml.assemble(feats), GBTRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred",
                                                                   maxIter=3, maxDepth=3, seed=1)]).fit(train) for t in targets}
     fill = {f: 7.0 for f in feats}
-    got = {(q.station, q.date): q for q in rc.recursive_forecast(df, models, 91, h, static=["code"], fill=fill, checkpoint_every=13).collect()}
+    got = {(q.station, q.date): q for q in rc.recursive_forecast(df, models, 91, h, static=["code"], fill=fill, checkpoint_every=6).collect()}
     assert len(got) == 3 * 91
     known = [x for x in rows if x[2] is not None and x[3] is not None]
     assert min(d for _, d in got) == D0 + dt.timedelta(days=2)
