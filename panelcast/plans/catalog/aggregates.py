@@ -425,15 +425,15 @@ def flt5_minimum_support(spark, d):
 
 
 # Each pollutant's values of the 30 days before, against every pollutant: 180 features x 6 targets.
-_LAGS = range(1, 31)
-_WIDE = [f"{p}_lag_{k}d" for p in rl.POLLUTANTS for k in _LAGS]
+_WIDE_LAGS = range(1, 31)
+_WIDE = [f"{p}_lag_{k}d" for p in rl.POLLUTANTS for k in _WIDE_LAGS]
 
 
 @register("agg18_full_width", tb.with_views("panel_air") + ", w AS (SELECT " + ", ".join(rl.POLLUTANTS) + ", " + ", ".join(
-    f"lag({p}, {k}) OVER (PARTITION BY station ORDER BY date) AS {p}_lag_{k}d" for p in rl.POLLUTANTS for k in _LAGS)
+    f"lag({p}, {k}) OVER (PARTITION BY station ORDER BY date) AS {p}_lag_{k}d" for p in rl.POLLUTANTS for k in _WIDE_LAGS)
     + " FROM panel_air), l AS (SELECT * FROM w UNPIVOT (x FOR feature IN (" + ", ".join(_WIDE) + ")))\nSELECT feature, " + ", ".join(
     f"{R(f'CASE WHEN regr_count(x, {t}) > 30 THEN corr(x, {t}) END')} AS {t}" for t in rl.POLLUTANTS) + " FROM l GROUP BY feature")
 def agg18_full_width(spark, d):
     from ...operators import widecorr
     a = tb.panel_air(spark, d).select("station", "date", *rl.POLLUTANTS)
-    return widecorr.corr_matrix_wide(windows.lags(a, list(rl.POLLUTANTS), list(_LAGS)), _WIDE, list(rl.POLLUTANTS))
+    return widecorr.corr_matrix_wide(windows.lags(a, list(rl.POLLUTANTS), list(_WIDE_LAGS)), _WIDE, list(rl.POLLUTANTS))
