@@ -11,7 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -48,7 +48,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = c.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = attach_params(c, tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(w, label, "left")  # one row per label; the planner knows how many
 
 
 # ------------------------------------------------------------------ models
@@ -190,6 +190,37 @@ def soft_vote(prob_sets: Sequence[Sequence[str]]) -> list[Column]:
     return out
 
 
+def fit_voters(train: DataFrame, features: Sequence[str], label: str, classes: Sequence[str], weight: str | None = "weight",
+               boosted: Mapping | None = None, trees: int = 100) -> dict:
+    """Three fitted classifiers of one label (ML15): boosted trees per class, a forest and a logistic model."""
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
+    x = train.withColumn("_label", number[F.col(label)]).where(F.col("_label").isNotNull())
+    logistic = LogisticRegression(featuresCol="features", labelCol="_label", weightCol=weight, regParam=0.01)
+    return {"boosted": fit_boosted_classes(train, features, label, classes, weight, **(boosted or {})),
+            "forest": fit_classifier(x, features, "_label", weight, numTrees=trees),
+            "logistic": Pipeline(stages=[assemble(features), logistic]).fit(x)}
+
+
+def vote(df: DataFrame, voters: Mapping[str, object], classes: Sequence[str], prefix: str = "prob_", out: str = "predicted") -> DataFrame:
+    """``prob_<class>``: the mean of the three models' probabilities, and the likeliest class (ML15, ML17).
+
+    Probabilities of each model stay as ``<model>_prob_<class>``."""
+    names = [f"{prefix}{c.lower().replace(' ', '_')}" for c in classes]
+    x, kept = df, list(df.columns)
+    sets = []
+    for m, model in voters.items():
+        own = [f"{m}_{n}" for n in names]
+        if m == "boosted":
+            x = boosted_probabilities(x, model, f"{m}_{prefix}", "_voted").drop("_voted")
+        else:
+            x = model.transform(x)
+            x = x.select(*kept, *[F.coalesce(F.get(vector_to_array("probability"), F.lit(i)), F.lit(0.0)).alias(n)
+                                  for i, n in enumerate(own)])  # a class beyond those trained on has no chance
+        kept, sets = x.columns, [*sets, own]
+    x = x.select("*", *[c.alias(n) for c, n in zip(soft_vote(sets), names)])
+    return x.withColumn(out, attach_category(names, list(classes))[0])
+
+
 def attach_category(probs: Sequence[str], classes: Sequence[str]) -> tuple[Column, Column]:
     """(predicted category, confidence = max probability) (ML16)."""
     cand = F.array(*[F.struct(F.col(c).alias("p"), F.lit(-i).alias("o"), F.lit(k).alias("c"))

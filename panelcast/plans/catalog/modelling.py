@@ -373,6 +373,18 @@ def ml15_soft_voting(spark, d):
     return a.select("station", "date", *[c.alias(n) for c, n in zip(avg, PROBS)])
 
 
+@register("ml15_fitted_voters", None, note="three fitted classifiers: rows-only")
+def ml15_fitted_voters(spark, d):
+    """Boosted class models, a forest and a logistic model, fitted on the same weighted rows; their probabilities averaged."""
+    a = _features(spark, d).where(F.col("pm_sepuluh").isNotNull()).withColumn("kategori", _label())
+    a = ml.balanced_weights(a, "kategori")
+    feats = [f for f in FEATS if f not in ("pm_sepuluh_lag_1d",)]
+    train, test = ml.fill_features(a.where(F.col("date") <= F.lit(CUT).cast("date")),
+                                   [a.where(F.col("date") > F.lit(CUT).cast("date"))], feats)
+    voters = ml.fit_voters(checkpoint(train), feats, "kategori", CLASSES, boosted={"maxIter": 10, "maxDepth": 4}, trees=30)
+    return ml.vote(test, voters, CLASSES).select("station", "date", "kategori", "predicted", *PROBS)
+
+
 @register("ml16_category_confidence_summary", AIR + f"""
 , p AS (SELECT station, date, {_probs_sql(CENTRES)} FROM panel_air WHERE pm_sepuluh IS NOT NULL),
 c AS (SELECT {_argmax_sql(PROBS)} AS category, greatest(prob_baik, prob_sedang, prob_tidak_sehat) AS confidence FROM p)

@@ -99,6 +99,21 @@ def test_boosted_classes_are_the_normalised_class_models(spark):
         assert q.prob_never == 0 and q.prob_x + q.prob_y_y + q.prob_z == pytest.approx(1)
 
 
+def test_votes_are_the_means_of_three_fitted_models(spark):
+    r = random.Random(7)
+    rows = [(i, r.gauss(0, 1) + 3 * (i % 3), r.gauss(0, 1), ["x", "y y", "z"][i % 3]) for i in range(240)]
+    classes = ["x", "y y", "z", "never"]
+    df = ml.balanced_weights(spark.createDataFrame(rows, "i int, f double, g double, label string"), "label").coalesce(2).cache()
+    voters = ml.fit_voters(df, ["f", "g"], "label", classes, boosted={"maxIter": 3, "maxDepth": 3, "subsamplingRate": 1.0}, trees=5)
+    got = ml.vote(df, voters, classes).collect()
+    assert len(got) == 240 and sum(q.predicted == q.label for q in got) > 200
+    for q in got:
+        for c in ("x", "y_y", "z", "never"):
+            each = [q[f"{m}_prob_{c}"] for m in ("boosted", "forest", "logistic")]
+            assert q[f"prob_{c}"] == pytest.approx(sum(each) / 3)
+        assert q.prob_x + q.prob_y_y + q.prob_z + q.prob_never == pytest.approx(1) and q.prob_never < 0.05
+
+
 def test_ar1_falls_back_step_by_step(spark):
     """No history: mean of all; under ten values: the series' mean; no fit: mean of the last ten."""
     r = random.Random(3)
