@@ -62,11 +62,12 @@ def _argmax_sql(probs, classes=CLASSES, weights=(1.0, 1.0, 1.0)):
 
 
 def _features(spark, d):
-    a = tb.panel_air(spark, d).select("station", "date", "pm_sepuluh", "ozon", "sulfur_dioksida",
-                                      "nitrogen_dioksida", "karbon_monoksida")
+    # a fit reads its rows again and again: the panel, from a scan of lineitem, and the features are computed once
+    a = checkpoint(tb.panel_air(spark, d).select("station", "date", "pm_sepuluh", "ozon", "sulfur_dioksida",
+                                                 "nitrogen_dioksida", "karbon_monoksida"))
     a = windows.lags(a, ["pm_sepuluh"], [1, 7])
     a = a.withColumns({"month": F.month("date").cast("double"), "day_of_week": F.weekday("date").cast("double")})
-    return a
+    return checkpoint(a)
 
 
 FEATS = ["pm_sepuluh_lag_1d", "pm_sepuluh_lag_7d", "ozon", "sulfur_dioksida", "nitrogen_dioksida",

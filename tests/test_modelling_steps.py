@@ -125,3 +125,25 @@ def test_ar1_falls_back_step_by_step(spark):
     got = {q.station: q for q in ml.ar1_forecast(h, hz, "v").collect()}
     assert {s: q.method for s, q in got.items()} == {"ar": "ar1", "few": "series_mean", "flat": "last10_mean", "none": "global_mean"}
     assert got["few"].v == 2.0 and got["flat"].v == 4.0 and got["none"].v == pytest.approx(statistics.fmean(v for _, _, v in rows))
+
+
+def test_models_read_settled_features(spark, tmp_path):
+    """A fit's many passes read the panel's features, not the tables they come from."""
+    from panelcast.plans.catalog.modelling import _features
+
+    r = random.Random(7)
+    lines = [(i % 10, dt.datetime(1999, 12, 1) + dt.timedelta(days=r.randrange(60)), float(r.randint(1, 50)), r.randint(0, 10) / 100, r.randint(0, 8) / 100, r.uniform(900, 9000))
+             for i in range(3000)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double, l_extendedprice double") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, i) for i in range(10)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, i % 5) for i in range(10)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    a = _features(spark, str(tmp_path))
+    assert a.inputFiles() == []
+    rows = {(x.station, x.date): x for x in a.collect()}
+    assert len(rows) == len({(x[0] % 5, x[1]) for x in lines})
+    for (s, d), x in rows.items():
+        own = sorted(k[1] for k in rows if k[0] == s)
+        at = own.index(d)
+        assert x.pm_sepuluh_lag_1d == (rows[s, own[at - 1]].pm_sepuluh if at >= 1 else None)
+        assert x.pm_sepuluh_lag_7d == (rows[s, own[at - 7]].pm_sepuluh if at >= 7 else None)
