@@ -27,9 +27,9 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -49,32 +49,37 @@ CELL_BLOCK = 1 << 14
 FREQUENT = 1 << 18
 INTERNED = 500_000
 LANE = 512
+LANES = 512
 WEIGHT, WEIGHT_RATE, STATE_RATE, MAP_RATE = 0.25, 0.015, 0.35, 0.03
 END = b""
 
-_PREFIX = [((1 << b) - 1) for b in range(BITS)]
-NODES = np.array([[_PREFIX[b] + (k >> (BITS - b)) for b in range(BITS)] for k in range(CLASSES)], np.int32)
+
+def node_place(bit: int, prefix: int) -> int:
+    """Place of the node of the code tree that decides ``bit`` after the bits ``prefix``.
+
+    Two levels, then twice four levels below each of their ends lie together,
+    so that the nodes of a class are in few cache lines.
+    """
+    top, first, step = (0, 0, 4) if bit < 2 else (2, 4, 15) if bit < 6 else (6, 64, 16)
+    under = bit - top
+    return first + step * (prefix >> under) + (1 << under) - 1 + (prefix & ((1 << under) - 1))
+
+
+NODES = np.array([[node_place(b, k >> (BITS - b)) for b in range(BITS)] for k in range(CLASSES)], np.int64)
+WIDTH = 64 + CLASSES
 CODE = np.array([[(k >> (BITS - 1 - b)) & 1 for b in range(BITS)] for k in range(CLASSES)], np.float32)
 
 
-class Interner(dict):
+class Interner(defaultdict):
     """Word -> index into growing columns: full hash, hash of the ending, class."""
 
     def __init__(self):
         import xxhash
 
-        super().__init__()
+        super().__init__(itertools.count().__next__)
         self.hash64 = xxhash.xxh64_intdigest
         self.words: list[bytes] = []
-        self.full, self.ending = array("Q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self.words)
-        self[word] = at
-        self.words.append(word)
-        self.full.append(self.hash64(word))
-        self.ending.append(self.hash64(word[-2:], 1))
-        return at
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def indexes(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
@@ -82,8 +87,13 @@ class Interner(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        full, ending = np.array(self.full, np.uint64), np.array(self.ending, np.uint64)
-        return full, ending, word_class(full, ending)
+        if len(self.words) < len(self):
+            fresh = list(itertools.islice(self, len(self.words), None))
+            self.words += fresh
+            full = np.fromiter(map(self.hash64, fresh), np.uint64, len(fresh))
+            ending = np.fromiter((self.hash64(w[-2:], 1) for w in fresh), np.uint64, len(fresh))
+            self.known = tuple(map(np.append, self.known, (full, ending, word_class(full, ending))))
+        return self.known
 
 
 def word_class(full: np.ndarray, ending: np.ndarray) -> np.ndarray:
@@ -184,10 +194,10 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def node_logits(leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From counts of classes per context: logit of a one, and how often seen (0, 1, 2), of every node of the code tree."""
     rows = len(leaf)
-    logit, seen = np.zeros((rows, CLASSES), np.float32), np.zeros((rows, CLASSES), np.uint8)
+    logit, seen = np.zeros((rows, WIDTH), np.float32), np.zeros((rows, WIDTH), np.uint8)
     for b in range(BITS):
         n = leaf.reshape(rows, 1 << b, 2, 1 << (BITS - 1 - b)).sum(-1)
-        at = slice(_PREFIX[b], _PREFIX[b] + (1 << b))
+        at = NODES[::1 << (BITS - b), b]
         logit[:, at] = np.log((n[:, :, 1] + 0.4) / (n[:, :, 0] + 0.4))
         seen[:, at] = (n.sum(-1) >= 4).astype(np.uint8) + (n.sum(-1) >= 64)
     return logit, seen
@@ -217,7 +227,7 @@ def learn(train: DataFrame) -> tuple[SimpleNamespace, DataFrame]:
     tables = [node_logits(t) for t in cells.reshape(TABLES, CONTEXTS, CLASSES)]
     model = SimpleNamespace(
         n=whole["n"], v=whole["v"], least=least,
-        frequent={bytes(r["token"]): r["n"] for r in frequent}, log_in_class=np.log10(in_class),
+        frequent={bytes(r["token"]): math.log10(r["n"] + 1) for r in frequent}, log_in_class=np.log10(in_class),
         plain=node_logits(cells.reshape(TABLES, CONTEXTS, CLASSES)[0].sum(0)[None, :])[0][0],
         logits=[t[0].ravel() for t in tables], seen=tables[1][1].ravel())
     return model, counts
@@ -234,42 +244,56 @@ def class_bits(model, k: np.ndarray, ctx: np.ndarray, starts: np.ndarray, sizes:
     of, at, size = (np.asarray(x, np.int64) for x in (lane_of, lane_at, lane_len))
     order = np.argsort(-size, kind="stable")
     of, at, size = of[order], at[order], size[order]
-    lanes, inputs = len(of), TABLES + 2
-    state = np.repeat(model.plain[None, :], lanes, 0)
-    weights = np.full((lanes, BITS, 3, inputs), WEIGHT, np.float32)
+    # few lanes at a time: what they learn stays in the processor's cache
+    got = [lane_bits(model, k, ctx, at[i:i + LANES], size[i:i + LANES]) for i in range(0, len(of), LANES)]
+    return np.bincount(of, np.concatenate(got) if got else None, minlength=len(starts))
+
+
+def lane_bits(model, k: np.ndarray, ctx: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Per lane (its first word and number of words, longest first): log10 probability of the class bits of its words."""
+    lanes, inputs = len(at), TABLES + 2
+    flat_state = np.tile(model.plain, lanes)
+    flat_w = np.full((lanes * BITS * 3, inputs), WEIGHT, np.float32)
     bins = 17
-    refine = np.broadcast_to(1 / (1 + np.exp(-(np.arange(bins) - 8.0))), (lanes, BITS, bins)).astype(np.float32)
+    flat_r = np.tile((1 / (1 + np.exp(-(np.arange(bins) - 8.0)))).astype(np.float32), lanes * BITS)
     got = np.zeros(lanes)
-    active = np.searchsorted(-size, -np.arange(int(size.max())), side="left") if lanes else []
-    flat_state, flat_w, flat_r = state.ravel(), weights.reshape(-1, inputs), refine.ravel()
-    bit_no = np.arange(BITS, dtype=np.int64)[None, :]
-    for t, n in enumerate(active):
+    active = np.searchsorted(-size, -np.arange(int(size.max())), side="left")
+    of_state = np.arange(lanes, dtype=np.int64)[:, None] * WIDTH
+    of_bit = np.arange(lanes * BITS, dtype=np.int64).reshape(lanes, BITS)
+    of_w, of_r = of_bit * 3, of_bit * bins
+    inputs_of = np.empty((lanes, BITS, inputs), np.float32)
+    each_input = np.arange(lanes * BITS).repeat(inputs)
+    row = np.dtype((np.void, flat_w.itemsize * inputs))  # a weight set as one item, which is stored faster than its parts
+    rows_w = flat_w.view(row)[:, 0]
+    for t, n in enumerate(active.tolist()):
         i = at[:n] + t
-        nodes, bits = NODES[k[i]], CODE[k[i]]
-        rows = np.arange(n, dtype=np.int64)[:, None]
-        where = rows * CLASSES + nodes
-        x = np.empty((n, BITS, inputs), np.float32)
-        x[:, :, 0] = model.plain[nodes]
+        word = k.take(i)
+        nodes, bits = NODES.take(word, axis=0), CODE.take(word, axis=0)
+        x = inputs_of[:n]
+        x[:, :, 0] = model.plain.take(nodes)
         for c in range(TABLES):
-            cell = ctx[c, i][:, None] * CLASSES + nodes
-            x[:, :, 1 + c] = model.logits[c][cell]
+            cell = (ctx[c].take(i) * WIDTH)[:, None] + nodes
+            x[:, :, 1 + c] = model.logits[c].take(cell)
             if c == 1:
-                gate = model.seen[cell]
-        own = flat_state[where]
+                gate = model.seen.take(cell)
+        where = of_state[:n] + nodes
+        own = flat_state.take(where)
         x[:, :, -1] = own
-        slot = (rows * BITS + bit_no) * 3 + gate
-        w = flat_w[slot]
-        dot = np.clip(np.einsum("nbi,nbi->nb", w, x), -8, 8)
+        slot = of_w[:n] + gate
+        w = flat_w.take(slot, axis=0)
+        dot = np.einsum("nbi,nbi->nb", w, x)
+        np.minimum(np.maximum(dot, -8, out=dot), 8, out=dot)
         p = 1 / (1 + np.exp(-dot))
-        w += (WEIGHT_RATE * (bits - p))[:, :, None] * x
-        flat_w[slot] = w
+        w += (WEIGHT_RATE * (bits - p)).take(each_input[:w.size]).reshape(w.shape) * x
+        rows_w[slot] = w.view(row)[:, :, 0]
         flat_state[where] = own + STATE_RATE * (bits - 1 / (1 + np.exp(-own)))
-        cell = (rows * BITS + bit_no) * bins + np.rint(dot + 8).astype(np.int64)
-        fine = flat_r[cell]
+        cell = of_r[:n] + np.rint(dot + 8).astype(np.int64)
+        fine = flat_r.take(cell)
         flat_r[cell] = fine + MAP_RATE * (bits - fine)
-        final = np.clip(0.6 * p + 0.4 * fine, 1e-5, 1 - 1e-5)
-        got[:n] += np.log10(np.where(bits > 0, final, 1 - final)).sum(1, dtype=np.float64)
-    return np.bincount(of, got, minlength=len(starts))
+        final = 0.6 * p + 0.4 * fine
+        np.minimum(np.maximum(final, 1e-5, out=final), 1 - 1e-5, out=final)
+        got[:n] += np.log10(np.abs(1 - bits - final)).sum(1, dtype=np.float64)
+    return got
 
 
 _OUT = "rid long, token binary, tf long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, log_counts double, part double"
@@ -284,17 +308,22 @@ def _scorer(shared):
 
         model = SimpleNamespace(**shared.value)
         rid = TaskContext.get().partitionId() << 33
-        known_log = {w: math.log10(n + 1) for w, n in model.frequent.items()}
+        seen, logs = None, np.zeros(0)
         for batch in batches:
             ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             _, offs, _ = binary_views(batch.column("text"))
             for first, words, index, starts, sizes in _blocks(batch):
                 full, ending, k = words.columns()
-                used, back = np.unique(index, return_inverse=True)
-                logs = np.array([known_log.get(words.words[u], -1.0) for u in used.tolist()])
+                if words is not seen:
+                    seen, logs = words, np.zeros(0)
+                logs = np.append(logs, np.full(len(full) - len(logs), np.nan))  # of each word by index: nan where not asked yet
+                mine = logs[index]
+                fresh = np.unique(index[np.isnan(mine)])
+                if len(fresh):
+                    logs[fresh] = [model.frequent.get(words.words[u], -1.0) for u in fresh.tolist()]
+                    mine = logs[index]
                 part = class_bits(model, k[index], contexts(full[index], ending[index], starts), starts, sizes)
                 part -= np.add.reduceat(model.log_in_class[k[index]], starts)
-                mine = logs[back]
                 rare = mine < 0
                 known = np.add.reduceat((~rare).astype(np.int64), starts)
                 log_counts = np.add.reduceat(np.where(rare, 0.0, mine), starts)
@@ -308,10 +337,10 @@ def _scorer(shared):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names)
                 if rare.any():
                     doc = np.repeat(np.arange(n), sizes)[rare]
-                    pair, tf = np.unique(doc * len(used) + back[rare], return_counts=True)
-                    which = used[pair % len(used)].tolist()
+                    pair, tf = np.unique(doc * len(full) + index[rare], return_counts=True)
+                    which = (pair % len(full)).tolist()
                     m = len(pair)
-                    cols = [pa.array(base + pair // len(used)), pa.array([words.words[u] for u in which], pa.binary()), pa.array(tf, pa.int64())]
+                    cols = [pa.array(base + pair // len(full)), pa.array([words.words[u] for u in which], pa.binary()), pa.array(tf, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols + [pa.nulls(m, t) for t in kinds[3:]], names)
 
     return run

@@ -284,6 +284,43 @@ def test_class_probabilities_sum_to_one():
     assert np.sum(10 ** (whole - head)) == pytest.approx(1, abs=1e-3)
 
 
+def test_nodes_of_a_class_lie_together():
+    """Every node has a place of its own; those of a class are in at most five cache lines of 16 numbers."""
+    nodes = mixing_lm.NODES
+    seen = {(b, k >> (mixing_lm.BITS - b)): int(nodes[k, b]) for k in range(mixing_lm.CLASSES) for b in range(mixing_lm.BITS)}
+    assert len(set(seen.values())) == len(seen) == mixing_lm.CLASSES - 1 and max(seen.values()) < mixing_lm.WIDTH
+    assert max(len(set(row // 16)) for row in nodes) <= 5
+
+
+def test_lanes_at_a_time_do_not_change_the_mixing(monkeypatch):
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(6)
+    logits, seen = mixing_lm.node_logits(rng.integers(0, 90, (mixing_lm.CONTEXTS, mixing_lm.CLASSES)))
+    model = SimpleNamespace(plain=logits[0], logits=[logits.ravel()] * 3, seen=seen.ravel())
+    sizes = np.array([5, 1, 1300, 40, 700, 2])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    k, ctx = rng.integers(0, mixing_lm.CLASSES, sizes.sum()), rng.integers(0, mixing_lm.CONTEXTS, (3, sizes.sum()))
+    whole = mixing_lm.class_bits(model, k, ctx, starts, sizes)
+    monkeypatch.setattr(mixing_lm, "LANES", 2)
+    assert np.allclose(mixing_lm.class_bits(model, k, ctx, starts, sizes), whole, rtol=1e-12) and (whole < 0).all()
+    assert len(mixing_lm.class_bits(model, k[:0], ctx[:, :0], starts[:0], sizes[:0])) == 0
+
+
+def test_words_keep_their_columns_as_more_come():
+    import xxhash
+
+    words = mixing_lm.Interner()
+    for text in (b"A b a", b"", b"c b \xff\xfe d"):
+        index = words.indexes(text)
+        full, ending, k = words.columns()
+        asked = [*text.lower().split(), b""]
+        assert [words.words[i] for i in index] == asked
+        assert full[index].tolist() == [xxhash.xxh64_intdigest(w) for w in asked]
+        assert ending[index].tolist() == [xxhash.xxh64_intdigest(w[-2:], 1) for w in asked]
+        assert k[index].tolist() == mixing_lm.word_class(full[index], ending[index]).tolist()
+
+
 # -- chunks
 
 def test_gear_hash_by_doubling_is_the_rolling_hash():
