@@ -62,12 +62,12 @@ def _argmax_sql(probs, classes=CLASSES, weights=(1.0, 1.0, 1.0)):
 
 
 def _features(spark, d):
-    # a fit reads its rows again and again: the panel, from a scan of lineitem, and the features are computed once
+    # a fit reads its rows again and again: the panel, which scans lineitem, is computed once
     a = checkpoint(tb.panel_air(spark, d).select("station", "date", "pm_sepuluh", "ozon", "sulfur_dioksida",
                                                  "nitrogen_dioksida", "karbon_monoksida"))
     a = windows.lags(a, ["pm_sepuluh"], [1, 7])
     a = a.withColumns({"month": F.month("date").cast("double"), "day_of_week": F.weekday("date").cast("double")})
-    return checkpoint(a)
+    return a
 
 
 FEATS = ["pm_sepuluh_lag_1d", "pm_sepuluh_lag_7d", "ozon", "sulfur_dioksida", "nitrogen_dioksida",
@@ -98,7 +98,7 @@ def ml2_persistence_metrics(spark, d):
 @register("ml3_ml17_weighted_forest_probabilities", None, note="fitted forest: rows-only")
 def ml3_ml17_weighted_forest_probabilities(spark, d):
     a = _features(spark, d).where(F.col("pm_sepuluh").isNotNull()).withColumn("kategori", _label())
-    a = ml.balanced_weights(a, "kategori")
+    a = checkpoint(ml.balanced_weights(a, "kategori"))
     idx = StringIndexer(inputCol="kategori", outputCol="label", stringOrderType="alphabetAsc").fit(a)
     a = idx.transform(a)
     feats = [f for f in FEATS if f not in ("pm_sepuluh_lag_1d",)]

@@ -127,8 +127,8 @@ def test_ar1_falls_back_step_by_step(spark):
     assert got["few"].v == 2.0 and got["flat"].v == 4.0 and got["none"].v == pytest.approx(statistics.fmean(v for _, _, v in rows))
 
 
-def test_models_read_settled_features(spark, tmp_path):
-    """A fit's many passes read the panel's features, not the tables they come from."""
+def test_models_read_a_settled_panel(spark, tmp_path):
+    """A fit's many passes read the panel, not the tables it comes from."""
     from panelcast.plans.catalog.modelling import _features
 
     r = random.Random(7)
